@@ -19,7 +19,7 @@ def _order_cols(cols) -> list[Column]:
 
 
 def global_rank(df: DataFrame, order_cols, rank_col: str = "_rank",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, total_col: str | None = None) -> DataFrame:
     """Add a 0-based global position by ``order_cols`` (which must be a total order).
 
     Plan: range exchange -> local sort -> (partition id, position) in the same
@@ -37,7 +37,8 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "_rank",
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window over it is bounded by the partition count
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    extra = [F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total_col)] if total_col else []
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), *extra)
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(rank_col, (F.col("_off") + F.col("_pos")).cast("long"))
             .drop("_pid", "_pos", "_off"))
