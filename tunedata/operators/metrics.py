@@ -32,59 +32,152 @@ def pair_predictions(samples: DataFrame, preds: DataFrame, keys: list[str],
              .withColumn(pred_col, F.coalesce(F.col(pred_col), F.lit(""))))
 
 
-# ----------------------------------------------------------- multiset overlap
-def overlap_counts(pairs: DataFrame, keys: list[str], pred_tokens: Column, ref_tokens: Column) -> DataFrame:
-    """Per pair: n_pred, n_ref, overlap = sum over tokens of min(pred count, ref count)."""
-    tagged = F.concat(F.transform(pred_tokens, lambda t: F.struct(t.alias("tok"), F.lit(1).alias("side"))),
-                      F.transform(ref_tokens, lambda t: F.struct(t.alias("tok"), F.lit(2).alias("side"))))
-    per_tok = (pairs.select(*keys, F.explode(tagged).alias("_t"))
-               .groupBy(*keys, F.col("_t.tok").alias("tok"))
-               .agg(F.count_if(F.col("_t.side") == 1).alias("pc"), F.count_if(F.col("_t.side") == 2).alias("rc")))
-    per_pair = per_tok.groupBy(*keys).agg(
-        F.sum("pc").alias("n_pred"), F.sum("rc").alias("n_ref"),
-        F.sum(F.least("pc", "rc")).alias("overlap"))
-    out = pairs.select(*keys).join(per_pair, keys, "left")
-    return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                               for c in ("n_pred", "n_ref", "overlap")])
+# ------------------------------------------------------------- per-pair scores
+PAIR_METRICS = ("bleu1", "rouge_l", "rouge1", "rouge2", "rougeL", "exact_match", "word_f1")
+
+
+def _tag(arr: Column, side: int, g: int) -> Column:
+    return F.transform(arr, lambda t: F.struct(t.alias("tok"), F.lit(side).alias("side"), F.lit(g).alias("g")))
+
+
+def _f(p: Column, r: Column) -> Column:
+    # rouge-score order: 2 * precision * recall / (precision + recall)
+    return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
+
+
+def _lcs_score(l: Column, n_pred: Column, n_ref: Column, reference_order: bool) -> Column:
+    l = l.cast("double")
+    r, p = l / n_ref, l / n_pred
+    if reference_order:   # (2 * recall * precision) / (recall + precision)
+        f = F.when(r + p > 0, (F.lit(2.0) * r * p) / (r + p)).otherwise(F.lit(0.0))
+    else:
+        f = _f(p, r)
+    return F.when((n_pred == 0) | (n_ref == 0), F.lit(0.0)).otherwise(f)
+
+
+def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
+                pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """Per-pair metric table in one pass over the pairs.
+
+    * bleu1 (E2), rouge1/rouge2 (E4): multiset overlaps.  Both sides' tokens
+      (or bigrams) are exploded once, tagged by side and metric, counted per
+      (pair, metric, token) with partial aggregation, then summed per pair.
+    * rouge_l (E3, reference tokens) and rougeL (E4, rouge-score tokens): LCS
+      through the Arrow UDF, evaluated before the explode.
+    * exact_match (E5), word_f1 (E6): row expressions.
+    Row-level values ride along in one sentinel element per pair, so every pair
+    (also one with no tokens) reaches the per-pair aggregate without a join.
+    """
+    metrics = [m for m in PAIR_METRICS if m in metrics]
+    need_ref = any(m in ("bleu1", "rouge_l") for m in metrics)
+    need_rs = any(m in ("rouge1", "rouge2", "rougeL") for m in metrics)
+    cols = list(keys)
+    if need_ref:
+        cols += [lower_tokens(pred).alias("_pl"), lower_tokens(ref).alias("_rl")]
+    if need_rs:
+        cols += [rouge_tokens(pred).alias("_pr"), rouge_tokens(ref).alias("_rr")]
+    if "exact_match" in metrics:
+        cols.append(exact_match(pred, ref).alias("exact_match"))
+    if "word_f1" in metrics:
+        cols.append(word_set_f1(pred, ref).alias("word_f1"))
+    base = pairs.select(*cols)
+
+    scalars: dict[str, Column] = {}
+    if need_ref:
+        scalars["_npl"], scalars["_nrl"] = F.size("_pl"), F.size("_rl")
+    if need_rs:
+        scalars["_npr"], scalars["_nrr"] = F.size("_pr"), F.size("_rr")
+    for m in ("exact_match", "word_f1"):
+        if m in metrics:
+            scalars[m] = F.col(m)
+    if "rouge_l" in metrics:
+        scalars["_lcs_l"] = F.when((F.size("_pl") == 0) | (F.size("_rl") == 0), F.lit(0)) \
+            .otherwise(lcs(F.col("_pl"), F.col("_rl")))
+    if "rougeL" in metrics:
+        scalars["_lcs_rs"] = F.when((F.size("_pr") == 0) | (F.size("_rr") == 0), F.lit(0)) \
+            .otherwise(lcs(F.col("_pr"), F.col("_rr")))
+
+    specs: dict[str, tuple[Column, Column]] = {}
+    if "bleu1" in metrics:
+        specs["b1"] = (F.col("_pl"), F.col("_rl"))
+    if "rouge1" in metrics:
+        specs["r1"] = (F.col("_pr"), F.col("_rr"))
+    if "rouge2" in metrics:
+        specs["r2"] = (ngram_array(F.col("_pr"), 2), ngram_array(F.col("_rr"), 2))
+
+    if specs:
+        # scalars are computed once per pair, then carried by the sentinel element
+        staged = base.select(*keys, *[c for c in ("_pl", "_rl", "_pr", "_rr") if c in base.columns],
+                             *[v.alias(k) for k, v in scalars.items()])
+        sentinel = F.array(F.struct(F.lit(None).cast("string").alias("tok"), F.lit(0).alias("side"),
+                                    F.lit(-1).alias("g"), *[F.col(k).alias(k) for k in scalars]))
+        parts = []
+        for gi, (pt, rt) in enumerate(specs.values()):
+            parts += [_tag(pt, 1, gi), _tag(rt, 2, gi)]
+        filler = [F.lit(None).alias(k) for k in scalars]
+        parts = [F.transform(p, lambda e: F.struct(e["tok"].alias("tok"), e["side"].alias("side"),
+                                                   e["g"].alias("g"), *filler)) for p in parts]
+        elems = F.concat(sentinel.cast(_sentinel_type(staged, scalars)), *[
+            p.cast(_sentinel_type(staged, scalars)) for p in parts])
+        exploded = staged.select(*keys, F.explode(elems).alias("_t"))
+        per_tok = exploded.groupBy(*keys, F.col("_t.g").alias("g"), F.col("_t.tok").alias("tok")).agg(
+            F.count_if(F.col("_t.side") == 1).alias("pc"), F.count_if(F.col("_t.side") == 2).alias("rc"),
+            *[F.max(f"_t.{k}").alias(k) for k in scalars])
+        aggs = [F.max(k).alias(k) for k in scalars]
+        for gi, name in enumerate(specs):
+            hit = F.col("g") == gi
+            aggs += [F.sum(F.when(hit, F.col("pc"))).alias(f"_np_{name}"),
+                     F.sum(F.when(hit, F.col("rc"))).alias(f"_nr_{name}"),
+                     F.sum(F.when(hit, F.least("pc", "rc"))).alias(f"_ov_{name}")]
+        t = per_tok.groupBy(*keys).agg(*aggs)
+    else:
+        t = base.select(*keys, *[v.alias(k) for k, v in scalars.items()])
+
+    def z(c):
+        return F.coalesce(F.col(c), F.lit(0)).cast("long")
+
+    out = []
+    for m in metrics:
+        if m == "bleu1":
+            out.append(F.when((F.col("_npl") == 0) | (F.col("_nrl") == 0), F.lit(0.0))
+                       .otherwise(z("_ov_b1").cast("double") / F.col("_npl")).alias("bleu1"))
+        elif m in ("rouge1", "rouge2"):
+            k = "r1" if m == "rouge1" else "r2"
+            p = z(f"_ov_{k}").cast("double") / F.greatest(z(f"_np_{k}"), F.lit(1))
+            r = z(f"_ov_{k}").cast("double") / F.greatest(z(f"_nr_{k}"), F.lit(1))
+            out.append(_f(p, r).alias(m))
+        elif m == "rouge_l":
+            out.append(_lcs_score(F.col("_lcs_l"), F.col("_npl"), F.col("_nrl"), True).alias("rouge_l"))
+        elif m == "rougeL":
+            out.append(_lcs_score(F.col("_lcs_rs"), F.col("_npr"), F.col("_nrr"), False).alias("rougeL"))
+        else:
+            out.append(F.col(m).alias(m))
+    return t.select(*keys, *out)
+
+
+def _sentinel_type(df: DataFrame, scalars: dict[str, Column]) -> str:
+    types = {"exact_match": "double", "word_f1": "double"}
+    fields = ["tok: string", "side: int", "g: int"] + [f"{k}: {types.get(k, 'int')}" for k in scalars]
+    return "array<struct<" + ", ".join(fields) + ">>"
 
 
 def bleu1_pairs(pairs: DataFrame, keys: list[str], pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """E2 per pair: clipped unigram precision, lower-cased, no brevity penalty; empty side -> 0."""
-    o = overlap_counts(pairs, keys, lower_tokens(pred), lower_tokens(ref))
-    score = F.when((F.col("n_pred") == 0) | (F.col("n_ref") == 0), F.lit(0.0)) \
-        .otherwise(F.col("overlap").cast("double") / F.col("n_pred"))
-    return o.select(*keys, score.alias("bleu1"))
+    return pair_scores(pairs, keys, ["bleu1"], pred, ref)
 
 
 def rouge_n_pairs(pairs: DataFrame, keys: list[str], n: int, pred: str = "prediction",
                   ref: str = "reference", out: str | None = None) -> DataFrame:
-    """ROUGE-n F-measure on the rouge-score token rule (no stemming)."""
-    o = overlap_counts(pairs, keys, ngram_array(rouge_tokens(pred), n), ngram_array(rouge_tokens(ref), n))
-    p = F.col("overlap").cast("double") / F.greatest(F.col("n_pred"), F.lit(1))
-    r = F.col("overlap").cast("double") / F.greatest(F.col("n_ref"), F.lit(1))
-    f = F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
-    return o.select(*keys, f.alias(out or f"rouge{n}"))
-
-
-def _lcs_f(pt: Column, rt: Column, reference_order: bool) -> Column:
-    np_, nr = F.size(pt), F.size(rt)
-    l = F.col("_lcs").cast("double")
-    r, p = l / nr, l / np_
-    if reference_order:   # (2 * recall * precision) / (recall + precision)
-        f = F.when(r + p > 0, (F.lit(2.0) * r * p) / (r + p)).otherwise(F.lit(0.0))
-    else:                 # rouge-score: 2 * precision * recall / (precision + recall)
-        f = F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
-    return F.when((np_ == 0) | (nr == 0), F.lit(0.0)).otherwise(f)
+    """ROUGE-n F-measure on the rouge-score token rule (no stemming), n in {1, 2}."""
+    m = f"rouge{n}"
+    return pair_scores(pairs, keys, [m], pred, ref).withColumnRenamed(m, out or m)
 
 
 def rouge_l_pairs(pairs: DataFrame, keys: list[str], pred: str = "prediction", ref: str = "reference",
                   rouge_score_tokens: bool = False, out: str = "rouge_l") -> DataFrame:
     """E3 (reference tokens) or E4's ROUGE-L (rouge-score tokens): LCS F-measure per pair."""
-    tok = rouge_tokens if rouge_score_tokens else lower_tokens
-    t = pairs.select(*keys, tok(pred).alias("_pt"), tok(ref).alias("_rt"))
-    t = t.withColumn("_lcs", F.when((F.size("_pt") == 0) | (F.size("_rt") == 0), F.lit(0))
-                     .otherwise(lcs(F.col("_pt"), F.col("_rt"))))
-    return t.select(*keys, _lcs_f(F.col("_pt"), F.col("_rt"), not rouge_score_tokens).alias(out))
+    m = "rougeL" if rouge_score_tokens else "rouge_l"
+    return pair_scores(pairs, keys, [m], pred, ref).withColumnRenamed(m, out)
 
 
 def exact_match(pred="prediction", ref="reference") -> Column:
@@ -143,9 +236,9 @@ def macro_scores(df: DataFrame, group: list[str], pred: str = "prediction", ref:
 # ---------------------------------------------------------------- summaries
 def generation_summary(pairs: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
     """E10 (generation): mean BLEU-1 and ROUGE-L per group, 4 dp; classification fields null."""
-    b = bleu1_pairs(pairs, keys)
-    rl = rouge_l_pairs(pairs, keys)
-    g = pairs.select(*keys, *[c for c in group if c not in keys]).join(b, keys).join(rl, keys)
+    sc = pair_scores(pairs, keys, ["bleu1", "rouge_l"])
+    extra = [c for c in group if c not in keys]
+    g = pairs.select(*keys, *extra).join(sc, keys) if extra else sc
     null = F.lit(None).cast("double")
     return g.groupBy(*group).agg(
         F.lit(GENERATION).alias("task_type"), round4(F.avg("bleu1")).alias("bleu"),

@@ -103,8 +103,7 @@ WITH r1 AS ({_rouge_n_sql(1)} SELECT * FROM rn), r2 AS ({_rouge_n_sql(2)} SELECT
 SELECT model_id, {rnd('avg(rouge1)', 4)} AS rouge1, {rnd('avg(rouge2)', 4)} AS rouge2
 FROM r1 JOIN r2 USING (id, model_id) GROUP BY model_id""")
 def q_rouge_n(spark, d):
-    p = preds(spark, d)
-    j = M.rouge_n_pairs(p, KEYS, 1).join(M.rouge_n_pairs(p, KEYS, 2), KEYS)
+    j = M.pair_scores(preds(spark, d), KEYS, ["rouge1", "rouge2"])
     return j.groupBy("model_id").agg(round4(F.avg("rouge1")).alias("rouge1"), round4(F.avg("rouge2")).alias("rouge2"))
 
 
@@ -228,12 +227,17 @@ def q_primary_metric(spark, d):
 def q_run_aggregates(spark, d):
     """Per model latency/throughput and mean ROUGE-1/2/L (rouge-score rule) and exact match."""
     p = preds(spark, d)
-    scored = (p.select(*KEYS, "latency_ms", "tokens", M.exact_match().alias("exact_match"))
-              .join(M.rouge_n_pairs(p, KEYS, 1), KEYS).join(M.rouge_n_pairs(p, KEYS, 2), KEYS)
-              .join(M.rouge_l_pairs(p, KEYS, rouge_score_tokens=True, out="rougeL"), KEYS))
+    scores = M.pair_scores(p, KEYS, ["rouge1", "rouge2", "rougeL", "exact_match"])
+    scored = p.select(*KEYS, "latency_ms", "tokens").join(scores, KEYS)
     return M.run_aggregates(scored, ["model_id"])
 
 
+@query("pair_scores")
+def q_pair_scores(spark, d):
+    """Every per-pair metric in one pass (BLEU-1, ROUGE-1/2/L both token rules, EM, word F1)."""
+    return M.pair_scores(preds(spark, d), KEYS)
+
+
 @query("report_preview", ctes=("predictions",), sql=f"""
 SELECT model_id, id,
        CASE WHEN length(replace(reference, chr(10), ' ')) > 50
