@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import WS_RUN, tokens
+from tunedata.operators.catalog import LIFECYCLE
 from tunedata.plans.ordered import row_number_in_group
 
 
@@ -125,8 +126,6 @@ def param_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("p_"), F.col("event_type")).alias("key"), "value"))
 
 
-# The dataset lifecycle, in order (uploaded first, ready last).
-LIFECYCLE = ["uploaded", "validated", "profiled", "split", "registered", "ready"]
 
 
 def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:

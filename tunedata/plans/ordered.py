@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunedata.session import ensure_checkpoint_dir
+
 
 def _order_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -23,17 +25,23 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "_rank",
     """Add a 0-based global position by ``order_cols`` (which must be a total order).
 
     Plan: range exchange -> local sort -> (partition id, position) in the same
-    codegen stage; the per-partition row counts come from the same exchange
-    (reused) and are broadcast -- one row per partition, a proven size bound.
+    codegen stage, checkpointed; the per-partition row counts are broadcast --
+    one row per partition, a proven size bound.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = _order_cols(order_cols)
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # Range bounds are sampled per exchange and the ids are positional, so the
+    # tagged rows are materialised once (reliable checkpoint in the shared
+    # checkpoint folder): every later branch and every task retry then sees the
+    # same partitions and positions.
+    ensure_checkpoint_dir(spark)
     tagged = (ranged
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+                          - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+              .checkpoint(eager=True))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window over it is bounded by the partition count
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
