@@ -11,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code points for which Python's str.isspace() is true.
-WS_CLASS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# The code points for which Python's str.isspace() is true, as ranges.
+WS_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+             (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
+# the same set as a regex class (Java regex in Spark, RE2 in the DuckDB oracle)
+WS_CLASS = "[" + "".join(f"\\x{{{lo:02X}}}" if lo == hi else f"\\x{{{lo:02X}}}-\\x{{{hi:02X}}}"
+                         for lo, hi in WS_RANGES) + "]"
 WS_RUN = WS_CLASS + "+"
 STRIP_PATTERN = f"^{WS_RUN}|{WS_RUN}$"
 
@@ -27,8 +31,12 @@ def _c(col) -> Column:
 
 
 def ustrip(col) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace.
+
+    ``trim(str, chars)`` walks in from both ends over the character set; no
+    regex scan of the whole text.
+    """
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def is_missing(col) -> Column:
@@ -38,8 +46,13 @@ def is_missing(col) -> Column:
 
 
 def tokens(col) -> Column:
-    """``str.split()``: split on Unicode whitespace runs, drop empty pieces."""
-    return F.filter(F.split(F.coalesce(_c(col), F.lit("")), WS_RUN), lambda t: t != F.lit(""))
+    """``str.split()``: split on Unicode whitespace runs, drop empty pieces.
+
+    Every whitespace code point is first mapped to ' ' (``translate``, one pass),
+    then split on the single character, which avoids a regex per row.
+    """
+    spaced = F.translate(F.coalesce(_c(col), F.lit("")), WS_CHARS, " " * len(WS_CHARS))
+    return F.filter(F.split(spaced, " "), lambda t: t != F.lit(""))
 
 
 def lower_tokens(col) -> Column:
@@ -72,8 +85,12 @@ def ngram_array(tok: Column, n: int) -> Column:
     """All contiguous n-grams of a token array (joined by one space); empty if too short."""
     if n == 1:
         return tok
-    grams = F.transform(F.sequence(F.lit(0), F.size(tok) - n),
-                        lambda i: F.array_join(F.slice(tok, i + 1, n), " "))
+    if n == 2:
+        grams = F.transform(F.sequence(F.lit(0), F.size(tok) - 2),
+                            lambda i: F.concat(F.get(tok, i), F.lit(" "), F.get(tok, i + 1)))
+    else:
+        grams = F.transform(F.sequence(F.lit(0), F.size(tok) - n),
+                            lambda i: F.array_join(F.slice(tok, i + 1, n), " "))
     return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 

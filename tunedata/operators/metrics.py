@@ -1,10 +1,9 @@
 """Evaluation metrics (E1-E14) as per-pair tables plus aggregates.
 
-Multiset overlaps (BLEU-1, ROUGE-1/2) are relational: one ``explode`` of both
-token lists tagged by side, counted per (pair, token) with map-side partial
-aggregation, then summed per pair.  The group key always contains the pair
-id, so a very frequent token cannot skew a task.  LCS (ROUGE-L) is the only
-Python step (Arrow UDF over token arrays).
+Per-pair scores are row expressions: multiset overlaps (BLEU-1, ROUGE-1/2)
+are a sort-and-count pass inside each row, so the per-pair table needs no
+shuffle at all and is as parallel as the input.  LCS (ROUGE-L) is the only
+Python step (Arrow UDF over token arrays).  Means are ordinary aggregates.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunedata.functions.lcs import lcs
+from tunedata.functions.pairstats import token_pair_stats
 from tunedata.functions.text import lower_tokens, round2, round4, rouge_tokens, tokens, ustrip
 from tunedata.functions.text import ngram_array
 
@@ -36,10 +35,6 @@ def pair_predictions(samples: DataFrame, preds: DataFrame, keys: list[str],
 PAIR_METRICS = ("bleu1", "rouge_l", "rouge1", "rouge2", "rougeL", "exact_match", "word_f1")
 
 
-def _tag(arr: Column, side: int, g: int) -> Column:
-    return F.transform(arr, lambda t: F.struct(t.alias("tok"), F.lit(side).alias("side"), F.lit(g).alias("g")))
-
-
 def _f(p: Column, r: Column) -> Column:
     # rouge-score order: 2 * precision * recall / (precision + recall)
     return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
@@ -57,19 +52,17 @@ def _lcs_score(l: Column, n_pred: Column, n_ref: Column, reference_order: bool)
 
 def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
                 pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Per-pair metric table in one pass over the pairs.
+    """Per-pair metric table as one projection (no shuffle).
 
-    * bleu1 (E2), rouge1/rouge2 (E4): multiset overlaps.  Both sides' tokens
-      (or bigrams) are exploded once, tagged by side and metric, counted per
-      (pair, metric, token) with partial aggregation, then summed per pair.
-    * rouge_l (E3, reference tokens) and rougeL (E4, rouge-score tokens): LCS
-      through the Arrow UDF, evaluated before the explode.
+    * bleu1 (E2), rouge1 / rouge2 (E4): clipped multiset overlaps of tokens or
+      bigrams; rouge_l (E3, reference tokens) and rougeL (E4, rouge-score
+      tokens): LCS.  Overlaps and LCS lengths come from one Arrow UDF call per
+      batch (functions/pairstats.py) -- the only Python step.
     * exact_match (E5), word_f1 (E6): row expressions.
-    Row-level values ride along in one sentinel element per pair, so every pair
-    (also one with no tokens) reaches the per-pair aggregate without a join.
+    Token arrays are materialised once as columns and shared by all metrics.
     """
     metrics = [m for m in PAIR_METRICS if m in metrics]
-    need_ref = any(m in ("bleu1", "rouge_l") for m in metrics)
+    need_ref = any(m in ("bleu1", "rouge_l", "word_f1") for m in metrics)
     need_rs = any(m in ("rouge1", "rouge2", "rougeL") for m in metrics)
     cols = list(keys)
     if need_ref:
@@ -78,87 +71,39 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
         cols += [rouge_tokens(pred).alias("_pr"), rouge_tokens(ref).alias("_rr")]
     if "exact_match" in metrics:
         cols.append(exact_match(pred, ref).alias("exact_match"))
-    if "word_f1" in metrics:
-        cols.append(word_set_f1(pred, ref).alias("word_f1"))
-    base = pairs.select(*cols)
-
-    scalars: dict[str, Column] = {}
-    if need_ref:
-        scalars["_npl"], scalars["_nrl"] = F.size("_pl"), F.size("_rl")
-    if need_rs:
-        scalars["_npr"], scalars["_nrr"] = F.size("_pr"), F.size("_rr")
-    for m in ("exact_match", "word_f1"):
-        if m in metrics:
-            scalars[m] = F.col(m)
-    if "rouge_l" in metrics:
-        scalars["_lcs_l"] = F.when((F.size("_pl") == 0) | (F.size("_rl") == 0), F.lit(0)) \
-            .otherwise(lcs(F.col("_pl"), F.col("_rl")))
-    if "rougeL" in metrics:
-        scalars["_lcs_rs"] = F.when((F.size("_pr") == 0) | (F.size("_rr") == 0), F.lit(0)) \
-            .otherwise(lcs(F.col("_pr"), F.col("_rr")))
-
-    specs: dict[str, tuple[Column, Column]] = {}
-    if "bleu1" in metrics:
-        specs["b1"] = (F.col("_pl"), F.col("_rl"))
-    if "rouge1" in metrics:
-        specs["r1"] = (F.col("_pr"), F.col("_rr"))
-    if "rouge2" in metrics:
-        specs["r2"] = (ngram_array(F.col("_pr"), 2), ngram_array(F.col("_rr"), 2))
-
-    if specs:
-        # scalars are computed once per pair, then carried by the sentinel element
-        staged = base.select(*keys, *[c for c in ("_pl", "_rl", "_pr", "_rr") if c in base.columns],
-                             *[v.alias(k) for k, v in scalars.items()])
-        sentinel = F.array(F.struct(F.lit(None).cast("string").alias("tok"), F.lit(0).alias("side"),
-                                    F.lit(-1).alias("g"), *[F.col(k).alias(k) for k in scalars]))
-        parts = []
-        for gi, (pt, rt) in enumerate(specs.values()):
-            parts += [_tag(pt, 1, gi), _tag(rt, 2, gi)]
-        filler = [F.lit(None).alias(k) for k in scalars]
-        parts = [F.transform(p, lambda e: F.struct(e["tok"].alias("tok"), e["side"].alias("side"),
-                                                   e["g"].alias("g"), *filler)) for p in parts]
-        elems = F.concat(sentinel.cast(_sentinel_type(staged, scalars)), *[
-            p.cast(_sentinel_type(staged, scalars)) for p in parts])
-        exploded = staged.select(*keys, F.explode(elems).alias("_t"))
-        per_tok = exploded.groupBy(*keys, F.col("_t.g").alias("g"), F.col("_t.tok").alias("tok")).agg(
-            F.count_if(F.col("_t.side") == 1).alias("pc"), F.count_if(F.col("_t.side") == 2).alias("rc"),
-            *[F.max(f"_t.{k}").alias(k) for k in scalars])
-        aggs = [F.max(k).alias(k) for k in scalars]
-        for gi, name in enumerate(specs):
-            hit = F.col("g") == gi
-            aggs += [F.sum(F.when(hit, F.col("pc"))).alias(f"_np_{name}"),
-                     F.sum(F.when(hit, F.col("rc"))).alias(f"_nr_{name}"),
-                     F.sum(F.when(hit, F.least("pc", "rc"))).alias(f"_ov_{name}")]
-        t = per_tok.groupBy(*keys).agg(*aggs)
-    else:
-        t = base.select(*keys, *[v.alias(k) for k, v in scalars.items()])
-
-    def z(c):
-        return F.coalesce(F.col(c), F.lit(0)).cast("long")
+    staged = pairs.select(*cols)
+    want = ("bleu1" in metrics, "rouge_l" in metrics, "rouge1" in metrics, "rouge2" in metrics,
+            "rougeL" in metrics, "word_f1" in metrics)
+    if any(want):
+        empty = F.array().cast("array<string>")
+        arrays = [F.col(c) if need else empty
+                  for c, need in (("_pl", need_ref), ("_rl", need_ref), ("_pr", need_rs), ("_rr", need_rs))]
+        staged = staged.withColumn("_st", token_pair_stats(*arrays, want))
+
+    def n_grams(arr: str, n: int) -> Column:
+        return F.greatest(F.size(arr) - (n - 1), F.lit(0))
 
     out = []
     for m in metrics:
         if m == "bleu1":
-            out.append(F.when((F.col("_npl") == 0) | (F.col("_nrl") == 0), F.lit(0.0))
-                       .otherwise(z("_ov_b1").cast("double") / F.col("_npl")).alias("bleu1"))
+            n_p, n_r = F.size("_pl"), F.size("_rl")
+            out.append(F.when((n_p == 0) | (n_r == 0), F.lit(0.0))
+                       .otherwise(F.col("_st.ov_ref").cast("double") / n_p).alias("bleu1"))
         elif m in ("rouge1", "rouge2"):
-            k = "r1" if m == "rouge1" else "r2"
-            p = z(f"_ov_{k}").cast("double") / F.greatest(z(f"_np_{k}"), F.lit(1))
-            r = z(f"_ov_{k}").cast("double") / F.greatest(z(f"_nr_{k}"), F.lit(1))
+            n = 1 if m == "rouge1" else 2
+            ov = F.col("_st.ov_rs1" if n == 1 else "_st.ov_rs2").cast("double")
+            p = ov / F.greatest(n_grams("_pr", n), F.lit(1))
+            r = ov / F.greatest(n_grams("_rr", n), F.lit(1))
             out.append(_f(p, r).alias(m))
         elif m == "rouge_l":
-            out.append(_lcs_score(F.col("_lcs_l"), F.col("_npl"), F.col("_nrl"), True).alias("rouge_l"))
+            out.append(_lcs_score(F.col("_st.lcs_ref"), F.size("_pl"), F.size("_rl"), True).alias("rouge_l"))
         elif m == "rougeL":
-            out.append(_lcs_score(F.col("_lcs_rs"), F.col("_npr"), F.col("_nrr"), False).alias("rougeL"))
+            out.append(_lcs_score(F.col("_st.lcs_rs"), F.size("_pr"), F.size("_rr"), False).alias("rougeL"))
+        elif m == "word_f1":
+            out.append(word_f1_from_counts(F.col("_st.common_ref"), F.size("_pl"), F.size("_rl")).alias("word_f1"))
         else:
-            out.append(F.col(m).alias(m))
-    return t.select(*keys, *out)
-
-
-def _sentinel_type(df: DataFrame, scalars: dict[str, Column]) -> str:
-    types = {"exact_match": "double", "word_f1": "double"}
-    fields = ["tok: string", "side: int", "g: int"] + [f"{k}: {types.get(k, 'int')}" for k in scalars]
-    return "array<struct<" + ", ".join(fields) + ">>"
+            out.append(F.col(m))
+    return staged.select(*keys, *out)
 
 
 def bleu1_pairs(pairs: DataFrame, keys: list[str], pred: str = "prediction", ref: str = "reference") -> DataFrame:
@@ -185,14 +130,19 @@ def exact_match(pred="prediction", ref="reference") -> Column:
     return (ustrip(F.lower(_c(pred))) == ustrip(F.lower(_c(ref)))).cast("double")
 
 
-def word_set_f1(pred="prediction", ref="reference") -> Column:
+def word_f1_from_counts(common: Column, n_pred: Column, n_ref: Column) -> Column:
     """Common distinct lower-cased words over each side's word count (floored at 1)."""
-    common = F.size(F.array_intersect(F.array_distinct(lower_tokens(ref)), F.array_distinct(lower_tokens(pred))))
-    p = common.cast("double") / F.greatest(F.size(tokens(pred)), F.lit(1))
-    r = common.cast("double") / F.greatest(F.size(tokens(ref)), F.lit(1))
+    p = common.cast("double") / F.greatest(n_pred, F.lit(1))
+    r = common.cast("double") / F.greatest(n_ref, F.lit(1))
     return F.when(p + r > 0, (F.lit(2.0) * p * r) / (p + r)).otherwise(F.lit(0.0))
 
 
+def word_set_f1_pairs(pairs: DataFrame, keys: list[str], pred: str = "prediction",
+                      ref: str = "reference") -> DataFrame:
+    """E6 per pair."""
+    return pair_scores(pairs, keys, ["word_f1"], pred, ref)
+
+
 # ------------------------------------------------------------ classification
 def _norm(col) -> Column:
     return F.lower(ustrip(F.coalesce(_c(col), F.lit(""))))

@@ -123,12 +123,13 @@ def q_exact_match(spark, d):
 @query("word_set_f1", ctes=("predictions",), sql=_WF1_SQL + f"""
 SELECT model_id, {rnd('avg(word_f1)', 4)} AS word_f1 FROM wf GROUP BY model_id""")
 def q_word_set_f1(spark, d):
-    return preds(spark, d).groupBy("model_id").agg(round4(F.avg(M.word_set_f1())).alias("word_f1"))
+    return M.word_set_f1_pairs(preds(spark, d), KEYS).groupBy("model_id").agg(
+        round4(F.avg("word_f1")).alias("word_f1"))
 
 
 @query("word_set_f1_pairs", ctes=("predictions",), sql=_WF1_SQL + " SELECT * FROM wf")
 def q_word_set_f1_pairs(spark, d):
-    return preds(spark, d).select(*KEYS, M.word_set_f1().alias("word_f1"))
+    return M.word_set_f1_pairs(preds(spark, d), KEYS)
 
 
 # -------------------------------------------------------------- classification
