@@ -15,8 +15,26 @@ from tunedata.operators.catalog import LIFECYCLE
 from tunedata.plans.ordered import row_number_in_group
 
 
+# tables whose rows carry long texts: per-row work dominates, so spread them over all cores
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    A parquet file with one row group is one scan task; text-heavy per-row work
+    (tokenising whole documents) then runs on one core.  At cluster scale a
+    table has thousands of row groups and this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,30 @@ def neighbour_in_group(df: DataFrame, group_cols: list[str], order_cols, value_c
     for v in value_cols:
         joined = joined.withColumn(prefix + v, F.when(same, F.col(f"_nv_{v}")))
     return joined.drop("_grank", *[f"_ng_{g}" for g in group_cols], *[f"_nv_{v}" for v in value_cols])
+
+
+def uniform_key_rank(df: DataFrame, key_col: str, tie_col: str, rank_col: str = "_rank",
+                     total_col: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Global rank by (``key_col``, ``tie_col``) when ``key_col`` is a uniformly
+    distributed lowercase hex string (an md5 digest).
+
+    The digest prefix itself is the range bound: bucket = prefix * B / 16^8,
+    so buckets are balanced without sampling, every expression is
+    deterministic (no checkpoint needed), and the rank inside a bucket is a
+    window over one balanced bucket.  Bucket offsets are a B-row table
+    (broadcast, a proven bound).
+    """
+    spark = df.sparkSession
+    b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = (F.conv(F.substring(F.col(key_col), 1, 8), 16, 10).cast("long") * b / (16 ** 8)).cast("int")
+    tagged = df.withColumn("_bk", bucket)
+    counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total_col)] if total_col else []
+    offsets = counts.select("_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), *extra)
+    in_bucket = Window.partitionBy("_bk").orderBy(key_col, tie_col)
+    return (tagged.repartition(b, "_bk")
+            .withColumn("_pos", F.row_number().over(in_bucket) - 1)
+            .join(F.broadcast(offsets), "_bk")
+            .withColumn(rank_col, (F.col("_off") + F.col("_pos")).cast("long"))
+            .drop("_bk", "_pos", "_off"))
