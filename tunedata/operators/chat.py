@@ -119,3 +119,40 @@ def sft_tokens(df: DataFrame, bos: str = "", eos: str = "", max_length: int = MA
     return (df.withColumn("input_ids", cut_ids)
               .withColumn("labels", F.slice(labels, 1, max_length))
               .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(cut_ids))))
+
+
+# ---------------------------------------------------- turn-per-row conversations
+# The same formatting for tables that keep one row per turn.  Everything is an
+# aggregate per conversation (ordered ``listagg``, ``min_by``), partially
+# aggregated before the shuffle; no array of the whole conversation is built.
+def render_turns(turns: DataFrame, key: str = "conv_id", order_col: str = "turn", role_col: str = "role",
+                 text_col: str = "text", default_system: str | None = TEMPLATE_DEFAULT_SYSTEM) -> DataFrame:
+    """F3 over turn rows: ChatML text per conversation."""
+    piece = F.concat(F.lit(IM_START), F.col(role_col), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")),
+                     F.lit(IM_END + "\n")).alias("_piece")
+    body = F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY {order_col})")
+    agg = (turns.select(key, order_col, role_col, piece).groupBy(key)
+           .agg(body.alias("_body"), F.min_by(role_col, order_col).alias("_first_role")))
+    text = F.col("_body")
+    if default_system is not None:
+        lead = F.lit(f"{IM_START}system\n{default_system}{IM_END}\n")
+        text = F.when(F.coalesce(F.col("_first_role"), F.lit("")) != "system", F.concat(lead, text)).otherwise(text)
+    return agg.select(key, text.alias("text"))
+
+
+def first_contents(turns: DataFrame, key: str = "conv_id", order_col: str = "turn", role_col: str = "role",
+                   text_col: str = "text", defaults: dict[str, str] | None = None) -> DataFrame:
+    """F5 over turn rows: the first content of each role, with defaults."""
+    defaults = defaults if defaults is not None else {"system": DEFAULT_SYSTEM_PROMPT, "user": "", "assistant": ""}
+    aggs = [F.coalesce(F.min_by(F.when(F.col(role_col) == r, F.col(text_col)),
+                                F.when(F.col(role_col) == r, F.col(order_col))), F.lit(d)).alias(r)
+            for r, d in defaults.items()]
+    return turns.groupBy(key).agg(*aggs)
+
+
+def render_prompt_turns(turns: DataFrame, key: str = "conv_id", **kw) -> DataFrame:
+    """F4 over turn rows: system + first user turn + generation suffix."""
+    fc = first_contents(turns, key, **kw)
+    prompt = F.concat(F.lit(f"{IM_START}system\n"), F.col("system"), F.lit(f"{IM_END}\n{IM_START}user\n"),
+                      F.col("user"), F.lit(f"{IM_END}\n{IM_START}assistant\n"))
+    return fc.select(key, prompt.alias("prompt"))

@@ -184,6 +184,24 @@ def chat_turn_violations(df: DataFrame, key_col: str, messages_col: str = "messa
     return record.unionByName(per_turn)
 
 
+def chat_turn_violations_long(turns: DataFrame, key_col: str, order_col: str = "turn",
+                              role_col: str = "role", content_col: str = "text") -> DataFrame:
+    """V7 over turn-per-row conversations: the same rules, no conversation array built.
+
+    The turn index is the turn's position; turns are numbered densely from 0.
+    """
+    role, content = F.col(role_col), F.col(content_col)
+    rec = (turns.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < 2)
+           .select(key_col, F.lit("too_few_turns").alias("rule"), F.lit(None).cast("int").alias("turn_index")))
+    rules = F.array(
+        F.when(role.isNull() | content.isNull(), F.lit("missing_role_or_content")),
+        F.when(role.isNotNull() & ~role.isin(*CHAT_ROLES), F.lit("invalid_role")),
+        F.when(content.isNotNull() & (ustrip(content) == ""), F.lit("blank_content")))
+    per_turn = turns.select(key_col, F.col(order_col).cast("int").alias("turn_index"),
+                            F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    return rec.unionByName(per_turn.select(key_col, "rule", "turn_index"))
+
+
 def chat_text_violations(lines: DataFrame, key_col: str, value_col: str = "value") -> DataFrame:
     """V7 on raw JSONL text, where ``messages`` may be absent or not even a list.
 

@@ -150,7 +150,7 @@ def q_ingest_gate(spark, d):
     return V.ingest_gate(V.validation_report(doc_records(spark, d), "dataset_id"), "dataset_id")
 
 
-@query("chat_schema_audit", sql=f"""
+_CHAT_AUDIT_SQL = f"""
 WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index,
                   role, text FROM conversations),
 rec AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
@@ -158,8 +158,17 @@ SELECT conv_id, 'too_few_turns' AS rule, CAST(NULL AS INTEGER) AS turn_index FRO
 UNION ALL SELECT conv_id, 'missing_role_or_content', turn_index FROM t WHERE role IS NULL OR text IS NULL
 UNION ALL SELECT conv_id, 'invalid_role', turn_index FROM t
           WHERE role IS NOT NULL AND role NOT IN ('system', 'user', 'assistant')
-UNION ALL SELECT conv_id, 'blank_content', turn_index FROM t WHERE text IS NOT NULL AND {strip('text')} = ''""")
+UNION ALL SELECT conv_id, 'blank_content', turn_index FROM t WHERE text IS NOT NULL AND {strip('text')} = ''"""
+
+
+@query("chat_schema_audit", sql=_CHAT_AUDIT_SQL)
 def q_chat_schema_audit(spark, d):
+    return V.chat_turn_violations_long(X.table(spark, d, "conversations"), "conv_id")
+
+
+@query("chat_schema_audit_records", sql=_CHAT_AUDIT_SQL)
+def q_chat_schema_audit_records(spark, d):
+    """V7 on chat records (``messages`` arrays)."""
     return V.chat_turn_violations(X.conversation_messages(spark, d), "conv_id")
 
 

@@ -157,8 +157,7 @@ def _render_sql(default_system: str | None) -> str:
 
 @query("render_chat", sql=_render_sql(H.TEMPLATE_DEFAULT_SYSTEM))
 def q_render_chat(spark, d):
-    cm = X.conversation_messages(spark, d)
-    return cm.select("conv_id", H.render_chat("messages").alias("text"))
+    return H.render_turns(X.table(spark, d, "conversations"))
 
 
 @query("role_extract", sql="""
@@ -168,10 +167,7 @@ SELECT c.conv_id,
        coalesce(arg_min(text, turn) FILTER (WHERE role = 'assistant'), '') AS assistant
 FROM conversations c GROUP BY c.conv_id""")
 def q_role_extract(spark, d):
-    cm = X.conversation_messages(spark, d)
-    return cm.select("conv_id", H.first_content("messages", "system", H.DEFAULT_SYSTEM_PROMPT).alias("system"),
-                     H.first_content("messages", "user").alias("user"),
-                     H.first_content("messages", "assistant").alias("assistant"))
+    return H.first_contents(X.table(spark, d, "conversations"))
 
 
 @query("render_prompt", sql=f"""
@@ -183,8 +179,14 @@ WITH r AS (
 SELECT conv_id, {_IM} || 'system' || {_NL} || s || {_IE} || {_NL} || {_IM} || 'user' || {_NL} || u || {_IE} || {_NL}
        || {_IM} || 'assistant' || {_NL} AS prompt FROM r""")
 def q_render_prompt(spark, d):
+    return H.render_prompt_turns(X.table(spark, d, "conversations"))
+
+
+@query("render_chat_records", sql=_render_sql(H.TEMPLATE_DEFAULT_SYSTEM))
+def q_render_chat_records(spark, d):
+    """F3 on chat records (``messages`` arrays), as written to chat JSONL."""
     cm = X.conversation_messages(spark, d)
-    return cm.select("conv_id", H.render_prompt("messages").alias("prompt"))
+    return cm.select("conv_id", H.render_chat("messages").alias("text"))
 
 
 _TEMPLATE_SQL = ("'<s>' || 'Instruction: ' || coalesce(instruction, '') || chr(10) || "
