@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import estimate_tokens, is_missing, round2, ustrip
-from tunedata.operators.validate import duplicate_count
+from tunedata.operators.validate import fingerprint_stats
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -26,20 +26,18 @@ def response_text(df: DataFrame) -> Column:
 def profile(df: DataFrame, dataset_col: str | None = None) -> DataFrame:
     """Rows, sorted columns, duplicates, mean lengths (2 dp), token estimate.
 
-    Empty input gives the all-zero profile (P7) through ``coalesce``.
+    One scan and one fingerprint pipeline (``fingerprint_stats``) for every
+    number.  Empty input gives the all-zero profile (P7) through ``coalesce``.
     """
     g = dataset_col or "_ds"
-    d = df if dataset_col else df.withColumn("_ds", F.lit("dataset"))
     columns = ",".join(sorted(c for c in df.columns if c != dataset_col))
     p, r = prompt_text(df), response_text(df)
-    sums = d.groupBy(g).agg(
-        F.count(F.lit(1)).alias("rows_count"),
-        F.sum(F.length(p)).alias("_pc"), F.sum(F.length(r)).alias("_rc"),
-        F.sum(estimate_tokens(p) + estimate_tokens(r)).alias("_tok"))
-    dups = duplicate_count(df, dataset_col, _keep=True)
-    n = F.col("rows_count")
-    out = sums.join(dups, g).select(
-        g, n.cast("long").alias("rows_count"), F.lit(columns).alias("columns"),
+    st = fingerprint_stats(df, dataset_col, {
+        "_pc": F.length(p).cast("long"), "_rc": F.length(r).cast("long"),
+        "_tok": (estimate_tokens(p) + estimate_tokens(r)).cast("long")})
+    n = F.col("n_rows")
+    out = st.select(
+        g, n.alias("rows_count"), F.lit(columns).alias("columns"),
         F.coalesce(F.col("duplicate_count"), F.lit(0)).cast("long").alias("duplicate_count"),
         F.when(n > 0, round2(F.col("_pc").cast("double") / n)).otherwise(0.0).alias("avg_prompt_length"),
         F.when(n > 0, round2(F.col("_rc").cast("double") / n)).otherwise(0.0).alias("avg_response_length"),

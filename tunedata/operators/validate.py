@@ -67,13 +67,33 @@ def duplicate_count(df: DataFrame, dataset_col: str | None = None, _keep: bool =
     return out.drop("_ds") if dataset_col is None and not _keep else out
 
 
+def fingerprint_stats(df: DataFrame, dataset_col: str | None, sums: dict[str, Column]) -> DataFrame:
+    """Row count, duplicate count and extra per-row sums per dataset in one pipeline.
+
+    Level 1 groups by (dataset, row fingerprint) -- partially aggregated, so a
+    row repeated in a third of the table collapses map-side and only the
+    16-byte fingerprint plus a few sums are shuffled.  Level 2 folds the
+    fingerprints of a dataset: rows = sum(k), duplicates = sum(k - 1).
+    No join between separate aggregates is needed.
+    """
+    d, g = _group(df, dataset_col)
+    per_fp = d.groupBy(g, row_fingerprint(d, exclude=(g,)).alias("_fp")).agg(
+        F.count(F.lit(1)).alias("_k"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    out = per_fp.groupBy(g).agg(
+        F.sum("_k").cast("long").alias("n_rows"), F.sum(F.col("_k") - 1).cast("long").alias("duplicate_count"),
+        *[F.sum(n).alias(n) for n in sums])
+    return out
+
+
 def audit_counts(df: DataFrame, dataset_col: str | None = None) -> DataFrame:
     """One row per dataset with every count the severity rules need."""
     g = dataset_col or "_ds"
-    joined = missing_counts(df, dataset_col, _keep=True).join(duplicate_count(df, dataset_col, _keep=True), g)
+    d = df if dataset_col else df.withColumn("_ds", F.lit("dataset"))
+    flags = {f"missing_{c}": is_missing(_col_or_null(d, c)).cast("long") for c in ("instruction", "output", "input")}
+    st = fingerprint_stats(df, dataset_col, flags)
     present = set(df.columns)
-    out = joined.select(
-        g, "n_rows", "missing_instruction", "missing_output", "missing_input", "duplicate_count",
+    out = st.select(
+        g, "n_rows", *[F.col(n).cast("long").alias(n) for n in flags], "duplicate_count",
         *[F.lit(f in present).alias(f"has_{f}") for f in REQUIRED_FIELDS])
     return out.drop("_ds") if dataset_col is None else out
 
