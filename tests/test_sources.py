@@ -80,3 +80,17 @@ def test_content_and_file_hash(spark, tmp_dir):
     assert r.content_hash == hashlib.sha256("héllo".encode()).hexdigest()
     df = spark.createDataFrame([("héllo",)], "t string")
     assert df.select(S.content_hash("t").alias("h")).first().h == r.content_hash
+
+
+def test_write_once_is_idempotent(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "once")
+    S.write_once(spark.createDataFrame([(1,)], "a int"), out)
+    S.write_once(spark.createDataFrame([(2,), (3,)], "a int"), out)     # skipped: outputs exist
+    assert [r.a for r in spark.read.json(out).collect()] == [1]
+
+
+def test_provenance(spark):
+    df = spark.createDataFrame([("tatsu-lab/alpaca",)], "repo string")
+    name, src = S.provenance("repo")
+    r = df.select(name.alias("n"), src.alias("s")).first()
+    assert (r.n, r.s) == ("tatsu-lab_alpaca", "huggingface:tatsu-lab/alpaca")

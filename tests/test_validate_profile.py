@@ -80,3 +80,9 @@ def test_chat_text_audit(spark):
     assert got == sorted([(0, "missing_messages", None), (1, "messages_not_list", None),
                           (2, "too_few_turns", None), (3, "invalid_role", 0),
                           (4, "missing_role_or_content", 0), (5, "blank_content", 0), (6, "invalid_json", None)])
+
+
+def test_empty_profile_is_all_zero(spark):
+    p = P.profile(spark.createDataFrame([], REC)).collect()
+    assert len(p) == 1 and (p[0].rows_count, p[0].duplicate_count, p[0].estimated_tokens) == (0, 0, 0)
+    assert (p[0].avg_prompt_length, p[0].avg_response_length) == (0.0, 0.0)

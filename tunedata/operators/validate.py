@@ -79,10 +79,13 @@ def fingerprint_stats(df: DataFrame, dataset_col: str | None, sums: dict[str, Co
     d, g = _group(df, dataset_col)
     per_fp = d.groupBy(g, row_fingerprint(d, exclude=(g,)).alias("_fp")).agg(
         F.count(F.lit(1)).alias("_k"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    out = per_fp.groupBy(g).agg(
-        F.sum("_k").cast("long").alias("n_rows"), F.sum(F.col("_k") - 1).cast("long").alias("duplicate_count"),
-        *[F.sum(n).alias(n) for n in sums])
-    return out
+    folds = [F.coalesce(F.sum("_k"), F.lit(0)).cast("long").alias("n_rows"),
+             F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("long").alias("duplicate_count"),
+             *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums]]
+    if dataset_col is None:
+        # a global aggregate: one row even for an empty input (the all-zero profile)
+        return per_fp.agg(*folds).withColumn("_ds", F.lit("dataset"))
+    return per_fp.groupBy(g).agg(*folds)
 
 
 def audit_counts(df: DataFrame, dataset_col: str | None = None) -> DataFrame:

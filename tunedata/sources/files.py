@@ -96,6 +96,11 @@ def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.json(path)
 
 
+def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """An idempotent output -- if the target already exists, the job does nothing."""
+    df.write.mode("ignore").options(**(JSON_TIME_OPTIONS if fmt == "json" else {})).format(fmt).save(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """CSV with header, every field quoted."""
     df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
@@ -169,6 +174,16 @@ def cache_split(incoming: DataFrame, registry: DataFrame, hash_col: str = "conte
     return incoming.join(done, hash_col, "left_semi"), incoming.join(done, hash_col, "left_anti")
 
 
+# Provenance tag of hub datasets (source "huggingface:<repo>", name with '/' -> '_').
+HUB_PREFIX = "huggingface:"
+
+
+def provenance(repo_col) -> tuple[F.Column, F.Column]:
+    """(dataset_name, source) for a hub repository id column."""
+    repo = F.col(repo_col) if isinstance(repo_col, str) else repo_col
+    return F.replace(repo, F.lit("/"), F.lit("_")), F.concat(F.lit(HUB_PREFIX), repo)
+
+
 # ---------------------------------------------------------------- misc views
 def preview(df: DataFrame, order_cols: list[str], n: int = 5) -> DataFrame:
     """First ``n`` rows in an explicit order (``TakeOrderedAndProject``, no full sort)."""
