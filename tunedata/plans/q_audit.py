@@ -69,8 +69,9 @@ i AS ({hdr}
 
 # ------------------------------------------------------------------ validation
 @query("missing_counts", ctes=("sft_pairs",), sql=f"""
-SELECT count(*) AS n_rows, count_if({missing('instruction')}) AS missing_instruction,
-       count_if({missing('output')}) AS missing_output, count_if({missing('input')}) AS missing_input
+SELECT count(*) AS n_rows, CAST(count_if({missing('instruction')}) AS BIGINT) AS missing_instruction,
+       CAST(count_if({missing('output')}) AS BIGINT) AS missing_output,
+       CAST(count_if({missing('input')}) AS BIGINT) AS missing_input
 FROM sft_pairs""")
 def q_missing_counts(spark, d):
     return V.missing_counts(pair_records(spark, d))

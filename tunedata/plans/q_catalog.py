@@ -86,7 +86,8 @@ def q_json_quarantine(spark, d):
 
 @query("metrics_json", sql="""
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-       to_json({'k': CAST(json_extract_string(props, '$.k') AS INTEGER), 'user_id': user_id}) AS metrics_text
+       CAST(to_json({'k': CAST(json_extract_string(props, '$.k') AS INTEGER), 'user_id': user_id}) AS VARCHAR)
+         AS metrics_text
 FROM events""")
 def q_metrics_json(spark, d):
     """JSON text -> typed field -> JSON text."""
@@ -172,9 +173,10 @@ WITH p AS (SELECT *, lag(ord) OVER (PARTITION BY dataset_id ORDER BY ts, event_i
 t AS (SELECT *, CASE WHEN prev_ord IS NULL THEN CASE WHEN ord = 0 THEN 'start' ELSE 'bad_start' END
                      WHEN ord = prev_ord + 1 THEN 'forward' WHEN ord = prev_ord THEN 'repeat'
                      WHEN ord < prev_ord THEN 'reversed' ELSE 'skipped' END AS transition FROM p)
-SELECT dataset_id, count(*) AS n_events, count_if(transition = 'forward') AS n_forward,
-       count_if(transition = 'repeat') AS n_repeat, count_if(transition = 'reversed') AS n_reversed,
-       count_if(transition = 'skipped') AS n_skipped, arg_max(state, (ts, event_id)) AS current_state
+SELECT dataset_id, count(*) AS n_events, CAST(count_if(transition = 'forward') AS BIGINT) AS n_forward,
+       CAST(count_if(transition = 'repeat') AS BIGINT) AS n_repeat,
+       CAST(count_if(transition = 'reversed') AS BIGINT) AS n_reversed,
+       CAST(count_if(transition = 'skipped') AS BIGINT) AS n_skipped, arg_max(state, (ts, event_id)) AS current_state
 FROM t GROUP BY dataset_id""")
 def q_lifecycle_audit(spark, d):
     return R.lifecycle_audit(X.lifecycle_log(spark, d))
