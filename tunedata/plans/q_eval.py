@@ -10,7 +10,7 @@ from tunedata.operators import metrics as M
 from tunedata.plans import fixtures as X
 from tunedata.plans.ordered import global_rank
 from tunedata.plans.registry import query
-from tunedata.plans.sqlfrag import rnd, rouge_toks, strip, toks
+from tunedata.plans.sqlfrag import lcs, rnd, rouge_toks, strip, toks
 
 KEYS = ["id", "model_id"]
 HOURLY_COST = 0.35   # price of one inference host hour used by perf_matrix (a parameter)
@@ -65,6 +65,33 @@ wf AS (SELECT id, model_id, CASE WHEN p + r > 0 THEN (2.0 * p * r) / (p + r) ELS
 _EM = f"CAST({strip('lower(prediction)')} = {strip('lower(reference)')} AS DOUBLE)"
 
 
+def _lcs_pairs_sql(rouge_rule: bool, out: str) -> str:
+    tk = (lambda x: f"({rouge_toks(x)})") if rouge_rule else (lambda x: toks(f"lower({x})"))
+    f = ("CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END" if rouge_rule
+         else "CASE WHEN r + p > 0 THEN (2.0 * r * p) / (r + p) ELSE 0.0 END")
+    return f"""
+SELECT id, model_id, CASE WHEN np = 0 OR nr = 0 THEN 0.0 ELSE {f} END AS {out} FROM (
+  SELECT id, model_id, np, nr, CAST(l AS DOUBLE) / nr AS r, CAST(l AS DOUBLE) / np AS p FROM (
+    SELECT id, model_id, len(pa) AS np, len(rb) AS nr, {lcs('pa', 'rb')} AS l
+    FROM (SELECT id, model_id, {tk('prediction')} AS pa, {tk('reference')} AS rb FROM predictions) t0) t1) t2"""
+
+
+_RL = _lcs_pairs_sql(False, "rouge_l")
+_RLS = _lcs_pairs_sql(True, "rougeL")
+
+_PAIR_SQL_CTES = f"""
+WITH b AS ({_BLEU_SQL} SELECT * FROM bl),
+r1 AS ({_rouge_n_sql(1)} SELECT * FROM rn),
+r2 AS ({_rouge_n_sql(2)} SELECT * FROM rn),
+rl AS ({_RL}),
+rs AS ({_RLS}),
+w AS ({_WF1_SQL} SELECT * FROM wf),
+ps AS (SELECT p.id, p.model_id, b.bleu1, rl.rouge_l, r1.rouge1, r2.rouge2, rs.rougeL, {_EM} AS exact_match,
+              w.word_f1, p.latency_ms, p.tokens
+       FROM predictions p JOIN b USING (id, model_id) JOIN rl USING (id, model_id) JOIN r1 USING (id, model_id)
+       JOIN r2 USING (id, model_id) JOIN rs USING (id, model_id) JOIN w USING (id, model_id))"""
+
+
 # --------------------------------------------------------------------- pairing
 @query("pair_predictions", ctes=("sft_pairs", "predictions"), sql="""
 SELECT s.id AS sample_id, p.model_id, coalesce(s.output, '') AS reference, coalesce(p.prediction, '') AS prediction
@@ -87,12 +114,13 @@ def q_bleu1(spark, d):
     return M.bleu1_pairs(preds(spark, d), KEYS).groupBy("model_id").agg(round4(F.avg("bleu1")).alias("bleu"))
 
 
-@query("rouge_l_pairs")
+@query("rouge_l_pairs", ctes=("predictions",), sql=_RL)
 def q_rouge_l_pairs(spark, d):
     return M.rouge_l_pairs(preds(spark, d), KEYS)
 
 
-@query("rouge_l")
+@query("rouge_l", ctes=("predictions",), sql=f"""
+SELECT model_id, {rnd('avg(rouge_l)', 4)} AS rouge_l FROM ({_RL}) q GROUP BY model_id""")
 def q_rouge_l(spark, d):
     return M.rouge_l_pairs(preds(spark, d), KEYS).groupBy("model_id").agg(
         round4(F.avg("rouge_l")).alias("rouge_l"))
@@ -107,7 +135,8 @@ def q_rouge_n(spark, d):
     return j.groupBy("model_id").agg(round4(F.avg("rouge1")).alias("rouge1"), round4(F.avg("rouge2")).alias("rouge2"))
 
 
-@query("rouge_lsum_rs")
+@query("rouge_lsum_rs", ctes=("predictions",), sql=f"""
+SELECT model_id, {rnd('avg(rougeL)', 4)} AS rougeL FROM ({_RLS}) q GROUP BY model_id""")
 def q_rouge_l_rs(spark, d):
     """ROUGE-L on the rouge-score token rule (the metric of the evaluation script)."""
     return M.rouge_l_pairs(preds(spark, d), KEYS, rouge_score_tokens=True, out="rougeL") \
@@ -193,7 +222,15 @@ def q_metric_summary_cls(spark, d):
     return M.classification_summary(cls(spark, d), ["model_id"])
 
 
-@query("metric_summary")
+@query("metric_summary", ctes=("predictions", "class_pred"), sql=f"""
+WITH {_NORM.strip()}, {_CLS_SUMMARY.strip()},
+b AS ({_BLEU_SQL} SELECT * FROM bl),
+rl AS ({_RL}),
+g AS (SELECT model_id, 'generation' AS task_type, {rnd('avg(bleu1)', 4)} AS bleu, {rnd('avg(rouge_l)', 4)} AS rouge_l,
+             CAST(NULL AS DOUBLE) AS bert_score, CAST(NULL AS DOUBLE) AS accuracy, CAST(NULL AS DOUBLE) AS precision,
+             CAST(NULL AS DOUBLE) AS recall, CAST(NULL AS DOUBLE) AS f1_score
+      FROM b JOIN rl USING (id, model_id) GROUP BY model_id)
+SELECT * FROM g UNION ALL SELECT * FROM cs""")
 def q_metric_summary(spark, d):
     """Generation models (BLEU-1, ROUGE-L) and classifiers in one table."""
     gen = M.generation_summary(preds(spark, d), ["model_id"], KEYS)
@@ -224,7 +261,18 @@ def q_primary_metric(spark, d):
     return both.select("model_id", "task_type", M.primary_metric(both).alias("primary_metric"))
 
 
-@query("run_aggregates")
+@query("run_aggregates", ctes=("predictions",), sql=_PAIR_SQL_CTES + f"""
+SELECT model_id,
+       {rnd('sum(CAST(latency_ms AS DOUBLE)) / greatest(count(*), 1)', 2)} AS avg_latency_ms,
+       CASE WHEN sum(CAST(latency_ms AS DOUBLE)) > 0
+            THEN {rnd('sum(CAST(tokens AS DOUBLE)) / (sum(CAST(latency_ms AS DOUBLE)) / 1000)', 2)} ELSE 0.0 END
+         AS avg_throughput_tps,
+       {rnd('sum(rouge1) / greatest(count(*), 1)', 4)} AS mean_rouge1,
+       {rnd('sum(rouge2) / greatest(count(*), 1)', 4)} AS mean_rouge2,
+       {rnd('sum(rougeL) / greatest(count(*), 1)', 4)} AS mean_rougeL,
+       {rnd('sum(exact_match) / greatest(count(*), 1)', 4)} AS mean_exact_match,
+       CAST(greatest(count(*), 1) AS BIGINT) AS total_samples
+FROM ps GROUP BY model_id""")
 def q_run_aggregates(spark, d):
     """Per model latency/throughput and mean ROUGE-1/2/L (rouge-score rule) and exact match."""
     p = preds(spark, d)
@@ -233,7 +281,8 @@ def q_run_aggregates(spark, d):
     return M.run_aggregates(scored, ["model_id"])
 
 
-@query("pair_scores")
+@query("pair_scores", ctes=("predictions",), sql=_PAIR_SQL_CTES + """
+SELECT id, model_id, bleu1, rouge_l, rouge1, rouge2, rougeL, exact_match, word_f1 FROM ps""")
 def q_pair_scores(spark, d):
     """Every per-pair metric in one pass (BLEU-1, ROUGE-1/2/L both token rules, EM, word F1)."""
     return M.pair_scores(preds(spark, d), KEYS)
