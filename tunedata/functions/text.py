@@ -19,7 +19,6 @@ WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
 WS_CLASS = "[" + "".join(f"\\x{{{lo:02X}}}" if lo == hi else f"\\x{{{lo:02X}}}-\\x{{{hi:02X}}}"
                          for lo, hi in WS_RANGES) + "]"
 WS_RUN = WS_CLASS + "+"
-STRIP_PATTERN = f"^{WS_RUN}|{WS_RUN}$"
 
 # Fixed value: token rule of the public rouge-score package (lower-case, then
 # every run of characters outside [a-z0-9] is a separator).
@@ -111,8 +110,3 @@ def round4(col) -> Column:
 
 def round2(col) -> Column:
     return round_half_up(col, 2)
-
-
-def sql_ws_class() -> str:
-    """The whitespace class for use inside SQL string literals."""
-    return WS_CLASS

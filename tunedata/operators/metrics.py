@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.pairstats import token_pair_stats
-from tunedata.functions.text import lower_tokens, round2, round4, rouge_tokens, tokens, ustrip
-from tunedata.functions.text import ngram_array
+from tunedata.functions.text import lower_tokens, round2, round4, rouge_tokens, ustrip
 
 GENERATION, CLASSIFICATION = "generation", "classification"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tunedata.operators import chat as H
 from tunedata.operators import split as SP
 from tunedata.plans import fixtures as X
-from tunedata.plans.q_prep import _CLEAN_DOCS, _CLEAN_PAIRS, _MSG_SQL, _split3_sql, clean_docs, clean_pairs
+from tunedata.plans.q_prep import _CLEAN_DOCS, _MSG_SQL, _split3_sql, clean_docs, clean_pairs
 from tunedata.plans.registry import query
 from tunedata.session import scratch_dir
 from tunedata.sources import files as S
