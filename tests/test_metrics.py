@@ -92,3 +92,14 @@ def test_pair_scores_equal_plain_python(spark):
 
 def test_bigrams_helper():
     assert bigrams(["a", "b", "c"]) == [("a", "b"), ("b", "c")] and bigrams(["a"]) == []
+
+
+def test_stemmed_rouge_with_a_stems_table(spark):
+    df = spark.createDataFrame([(1, "m", "the cats were running", "a cat was runs")], PAIR)
+    stems = spark.createDataFrame([("cats", "cat"), ("running", "run"), ("runs", "run"), ("were", "were")],
+                                  "token string, stem string")
+    plain = M.pair_scores(df, ["id", "model_id"], ["rouge1"]).first().rouge1
+    stemmed = M.pair_scores(df, ["id", "model_id"], ["rouge1"], stems=stems).first().rouge1
+    # tokens of length <= 3 are never stemmed ("cat", "was", "a"); "cats"->"cat", "running"/"runs"->"run"
+    ref, pred = ["the", "cat", "were", "run"], ["a", "cat", "was", "run"]
+    assert plain == 0.0 and abs(stemmed - _py_rouge_n(pred, ref, 1)) < 1e-12 and stemmed == 0.5

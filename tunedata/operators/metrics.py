@@ -49,8 +49,28 @@ def _lcs_score(l: Column, n_pred: Column, n_ref: Column, reference_order: bool)
     return F.when((n_pred == 0) | (n_ref == 0), F.lit(0.0)).otherwise(f)
 
 
+def stem_tokens(df: DataFrame, keys: list[str], col: str, stems: DataFrame, min_len: int = 4) -> DataFrame:
+    """Replace tokens of the array ``col`` by their stem from a ``stems(token, stem)`` table.
+
+    The rouge-score package stems tokens longer than three characters with a
+    Porter stemmer; here the stemmer is a table (any stemmer's output, computed
+    once per vocabulary).  Tokens are exploded with their position, joined to
+    the table on the token (AQE splits a very frequent token's partition), and
+    regrouped per row in position order -- each group is one row's own tokens.
+    """
+    ex = df.select(*keys, F.posexplode(col).alias("_pos", "_tok"))
+    st = stems.select(F.col("token").alias("_tok"), F.col("stem").alias("_stem"))
+    mapped = ex.join(st, "_tok", "left").select(
+        *keys, "_pos", F.when(F.length("_tok") >= min_len, F.coalesce("_stem", "_tok")).otherwise(F.col("_tok"))
+        .alias("_t"))
+    back = mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_t"))).alias("_a"))
+    out = back.select(*keys, F.transform("_a", lambda x: x["_t"]).alias("_stemmed"))
+    return (df.join(out, keys, "left")
+              .withColumn(col, F.coalesce(F.col("_stemmed"), F.array().cast("array<string>"))).drop("_stemmed"))
+
+
 def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
-                pred: str = "prediction", ref: str = "reference") -> DataFrame:
+                pred: str = "prediction", ref: str = "reference", stems: DataFrame | None = None) -> DataFrame:
     """Per-pair metric table as one projection (no shuffle).
 
     * bleu1 (E2), rouge1 / rouge2 (E4): clipped multiset overlaps of tokens or
@@ -59,6 +79,7 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
       batch (functions/pairstats.py) -- the only Python step.
     * exact_match (E5), word_f1 (E6): row expressions.
     Token arrays are materialised once as columns and shared by all metrics.
+    With ``stems``, the rouge-score tokens are stemmed first (``stem_tokens``).
     """
     metrics = [m for m in PAIR_METRICS if m in metrics]
     need_ref = any(m in ("bleu1", "rouge_l", "word_f1") for m in metrics)
@@ -71,6 +92,8 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
     if "exact_match" in metrics:
         cols.append(exact_match(pred, ref).alias("exact_match"))
     staged = pairs.select(*cols)
+    if stems is not None and need_rs:
+        staged = stem_tokens(stem_tokens(staged, keys, "_pr", stems), keys, "_rr", stems)
     want = ("bleu1" in metrics, "rouge_l" in metrics, "rouge1" in metrics, "rouge2" in metrics,
             "rougeL" in metrics, "word_f1" in metrics)
     if any(want):
