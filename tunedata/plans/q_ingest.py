@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tunedata.operators import metrics as M
 from tunedata.operators import profile as P
-from tunedata.operators import validate as V
 from tunedata.plans import fixtures as X
 from tunedata.plans.q_audit import _counts_sql, _issues_sql
 from tunedata.plans.q_catalog import _MJ, _metrics_text
@@ -55,14 +54,12 @@ FROM pr JOIN rep ON pr.dataset_id = rep.dataset_id JOIN k ON pr.dataset_id = k.d
         JOIN sz ON pr.dataset_id = sz.dataset_id""")
 def q_ingest_registry(spark, d):
     """Per dataset: validity, profile, exact split sizes, lifecycle state, provenance."""
-    rec = repo_records(spark, d)
-    rep = V.validation_report(rec, "dataset_id").select("dataset_id", "is_valid")
-    prof = P.profile(rec, "dataset_id")
+    ap = P.audit_and_profile(repo_records(spark, d), "dataset_id")
     n = F.col("rows_count")
     tr = F.bround(F.lit(SPLIT[0]) * n, 0)
     va = F.least(n - tr, F.bround(F.lit(SPLIT[1]) * n, 0))
     name, source = S.provenance("dataset_id")
-    return prof.join(rep, "dataset_id").select(
+    return ap.select(
         "dataset_id", name.alias("dataset_name"), source.alias("source"),
         F.when(F.col("is_valid"), "ready").otherwise("validated").alias("lifecycle_state"), "is_valid",
         "rows_count", "duplicate_count", "avg_prompt_length", "avg_response_length", "estimated_tokens",
