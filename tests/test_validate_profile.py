@@ -86,3 +86,13 @@ def test_empty_profile_is_all_zero(spark):
     p = P.profile(spark.createDataFrame([], REC)).collect()
     assert len(p) == 1 and (p[0].rows_count, p[0].duplicate_count, p[0].estimated_tokens) == (0, 0, 0)
     assert (p[0].avg_prompt_length, p[0].avg_response_length) == (0.0, 0.0)
+
+
+def test_chat_fail_fast(spark):
+    import pytest
+    bad = spark.createDataFrame([(1, '{"messages": [{"role": "user", "content": "hi"}]}')], "k int, value string")
+    with pytest.raises(ValueError, match="too_few_turns"):
+        V.assert_chat_schema(V.chat_text_violations(bad, "k"), "k")
+    good = spark.createDataFrame([(1, '{"messages": [{"role": "user", "content": "a"}, '
+                                      '{"role": "assistant", "content": "b"}]}')], "k int, value string")
+    V.assert_chat_schema(V.chat_text_violations(good, "k"), "k")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +100,6 @@ def encode_chars(text) -> Column:
 
 def encode_with(encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
     """F8 pluggable encoder (e.g. a tokenizer's ``encode``) as an Arrow pandas UDF."""
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:

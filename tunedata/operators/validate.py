@@ -225,6 +225,15 @@ def chat_turn_violations_long(turns: DataFrame, key_col: str, order_col: str = "
     return rec.unionByName(per_turn.select(key_col, "rule", "turn_index"))
 
 
+def assert_chat_schema(violations: DataFrame, key_col: str) -> None:
+    """V7 ``fail_fast``: raise on a violation (only one row is brought to the driver)."""
+    first = violations.orderBy(key_col, "turn_index").limit(1).collect()
+    if first:
+        r = first[0]
+        where = "" if r["turn_index"] is None else f" in turn {r['turn_index']}"
+        raise ValueError(f"Dataset schema error: rule '{r['rule']}' broken by record {r[key_col]}{where}")
+
+
 def chat_text_violations(lines: DataFrame, key_col: str, value_col: str = "value") -> DataFrame:
     """V7 on raw JSONL text, where ``messages`` may be absent or not even a list.
 
