@@ -35,7 +35,8 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "_rank",
     # Range bounds are sampled per exchange and the ids are positional, so the
     # tagged rows are materialised once (reliable checkpoint in the shared
     # checkpoint folder): every later branch and every task retry then sees the
-    # same partitions and positions.
+    # same partitions and positions.  (The checkpoint's write job re-reads the
+    # range shuffle's map output rather than recomputing it, so no persist.)
     ensure_checkpoint_dir(spark)
     tagged = (ranged
               .withColumn("_pid", F.spark_partition_id())
