@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 
 from tunedata.functions.text import WS_CLASS, is_missing, ustrip
 
-# Severities and the columns an instruction record needs.
+# Severities, the columns an instruction record needs, chat roles,
+# and the texts of the audit issues (printf formats).
 INFO, WARNING, ERROR = "info", "warning", "error"
 REQUIRED_FIELDS = ["instruction", "output"]
 OPTIONAL_FIELDS = ["input"]
 CHAT_ROLES = ["system", "user", "assistant"]
+MSG_EMPTY = "Dataset file contains no parsed records."
+MSG_MISSING_HEADER = "Dataset lacks required fine-tuning column header: '%s'"
+MSG_MISSING_INSTRUCTION = "Found %d records with null or empty 'instruction' fields."
+MSG_MISSING_OUTPUT = "Found %d records with null or empty 'output' fields."
+MSG_DUPLICATES = "Found %d duplicate row entries."
+MSG_MISSING_INPUT = "Found %d records with empty or omitted optional 'input' values."
 
 ISSUE_SCHEMA = "severity string, message string, affected_field string"
 
@@ -117,22 +124,19 @@ def issues_from_counts(counts: DataFrame, dataset_col: str | None = None) -> Dat
         return F.when(F.col(missing) == n, F.lit(ERROR)).otherwise(F.lit(WARNING))
 
     header_issues = [
-        F.when(~F.col(f"has_{f}"), _issue(F.lit(ERROR), F.lit(
-            f"Dataset lacks required fine-tuning column header: '{f}'"), f))
+        F.when(~F.col(f"has_{f}"), _issue(F.lit(ERROR), F.lit(MSG_MISSING_HEADER % f), f))
         for f in REQUIRED_FIELDS]
     row_issues = [
         F.when(F.col("missing_instruction") > 0, _issue(level("missing_instruction"), F.format_string(
-            "Found %d records with null or empty 'instruction' fields.", F.col("missing_instruction")),
-            "instruction")),
+            MSG_MISSING_INSTRUCTION, F.col("missing_instruction")), "instruction")),
         F.when(F.col("missing_output") > 0, _issue(level("missing_output"), F.format_string(
-            "Found %d records with null or empty 'output' fields.", F.col("missing_output")), "output")),
+            MSG_MISSING_OUTPUT, F.col("missing_output")), "output")),
         F.when(F.col("duplicate_count") > 0, _issue(F.lit(WARNING), F.format_string(
-            "Found %d duplicate row entries.", F.col("duplicate_count")), "records")),
+            MSG_DUPLICATES, F.col("duplicate_count")), "records")),
         F.when(F.col("missing_input") > 0, _issue(F.lit(INFO), F.format_string(
-            "Found %d records with empty or omitted optional 'input' values.", F.col("missing_input")),
-            "input")),
+            MSG_MISSING_INPUT, F.col("missing_input")), "input")),
     ]
-    empty = F.array(_issue(F.lit(ERROR), F.lit("Dataset file contains no parsed records."), "records"))
+    empty = F.array(_issue(F.lit(ERROR), F.lit(MSG_EMPTY), "records"))
     all_issues = F.when(F.coalesce(n, F.lit(0)) == 0, empty).otherwise(
         F.filter(F.array(*header_issues, *row_issues), lambda x: x.isNotNull()))
     return (counts.select(*keys, F.posexplode(all_issues).alias("issue_no", "issue"))
