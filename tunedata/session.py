@@ -49,7 +49,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
+    """Return the shared checkpoint folder named by the session; only a local-mode session
+    without one (tests, local runs) gets a temporary folder."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
@@ -57,6 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith("local"):
+        # executors on other machines cannot see a local folder: the cluster must name a shared one
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="tunedata-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
