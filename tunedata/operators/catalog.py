@@ -99,13 +99,19 @@ def production_entry(flagged: DataFrame, type_col: str = "base_model", key: str
 
 
 def lifecycle_audit(log: DataFrame, key: str = "dataset_id", ts_col: str = "ts",
-                    tie_col: str = "event_id", ord_col: str = "ord") -> DataFrame:
+                    tie_col: str = "event_id", ord_col: str = "ord", seq_col: str | None = None) -> DataFrame:
     """Transitions checked against the lifecycle order, and the current state.
 
-    The previous state comes from a skew-safe ``lag`` (global rank join); a
+    The previous state of each event: when the log carries a dense per-dataset
+    sequence number (``seq_col``, like a catalog version), it is an equi-join on
+    (dataset, seq - 1); otherwise a skew-safe ``lag`` (global rank join).  A
     step is legal when it moves exactly one state forward.
     """
-    prev = neighbour_in_group(log, [key], [ts_col, tie_col], [ord_col], offset=-1, prefix="prev_")
+    if seq_col is not None:
+        before = log.select(key, (F.col(seq_col) + 1).alias(seq_col), F.col(ord_col).alias(f"prev_{ord_col}"))
+        prev = log.join(before, [key, seq_col], "left")
+    else:
+        prev = neighbour_in_group(log, [key], [ts_col, tie_col], [ord_col], offset=-1, prefix="prev_")
     p, o = F.col(f"prev_{ord_col}"), F.col(ord_col)
     kind = (F.when(p.isNull(), F.when(o == 0, "start").otherwise("bad_start"))
             .when(o == p + 1, "forward").when(o == p, "repeat").when(o < p, "reversed").otherwise("skipped"))

@@ -154,7 +154,7 @@ def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.element_at(F.array(*[F.lit(s) for s in LIFECYCLE]), (F.col("ord") + 1).cast("int"))
     return (r.withColumn("ord", ordv)
             .select(F.concat(F.lit("ds"), F.col("user_id").cast("string")).alias("dataset_id"),
-                    "ts", "event_id", "ord", state.alias("state")))
+                    "ts", "event_id", F.col("k").alias("seq"), "ord", state.alias("state")))
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +247,10 @@ param_log AS (
 lifecycle_log AS (
   WITH r AS (SELECT user_id, ts, event_id,
                     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
-  n AS (SELECT user_id, ts, event_id,
+  n AS (SELECT user_id, ts, event_id, k,
                CASE WHEN event_id % 11 = 0 AND k > 0 THEN (k - 1) % 6 ELSE k % 6 END AS ord FROM r)
-  SELECT 'ds' || CAST(user_id AS VARCHAR) AS dataset_id, ts, event_id, CAST(ord AS BIGINT) AS ord,
+  SELECT 'ds' || CAST(user_id AS VARCHAR) AS dataset_id, ts, event_id, CAST(k AS BIGINT) AS seq,
+         CAST(ord AS BIGINT) AS ord,
          CASE ord WHEN 0 THEN 'uploaded' WHEN 1 THEN 'validated' WHEN 2 THEN 'profiled'
                   WHEN 3 THEN 'split' WHEN 4 THEN 'registered' ELSE 'ready' END AS state
   FROM n)""",

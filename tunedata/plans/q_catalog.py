@@ -168,7 +168,7 @@ def q_production_entry(spark, d):
     return R.production_entry(R.promote(X.checkpoints(spark, d), _promotions(spark, d)))
 
 
-@query("lifecycle_audit", ctes=("lifecycle_log",), sql="""
+_LIFECYCLE_SQL = """
 WITH p AS (SELECT *, lag(ord) OVER (PARTITION BY dataset_id ORDER BY ts, event_id) AS prev_ord FROM lifecycle_log),
 t AS (SELECT *, CASE WHEN prev_ord IS NULL THEN CASE WHEN ord = 0 THEN 'start' ELSE 'bad_start' END
                      WHEN ord = prev_ord + 1 THEN 'forward' WHEN ord = prev_ord THEN 'repeat'
@@ -177,9 +177,19 @@ SELECT dataset_id, count(*) AS n_events, CAST(count_if(transition = 'forward') A
        CAST(count_if(transition = 'repeat') AS BIGINT) AS n_repeat,
        CAST(count_if(transition = 'reversed') AS BIGINT) AS n_reversed,
        CAST(count_if(transition = 'skipped') AS BIGINT) AS n_skipped, arg_max(state, (ts, event_id)) AS current_state
-FROM t GROUP BY dataset_id""")
+FROM t GROUP BY dataset_id"""
+
+
+@query("lifecycle_audit", ctes=("lifecycle_log",), sql=_LIFECYCLE_SQL)
 def q_lifecycle_audit(spark, d):
-    return R.lifecycle_audit(X.lifecycle_log(spark, d))
+    """R11 over a log with a per-dataset sequence number (lag = equi-join on seq - 1)."""
+    return R.lifecycle_audit(X.lifecycle_log(spark, d), seq_col="seq")
+
+
+@query("lifecycle_audit_by_time", ctes=("lifecycle_log",), sql=_LIFECYCLE_SQL)
+def q_lifecycle_audit_by_time(spark, d):
+    """R11 over a log ordered only by time (skew-safe lag through the global rank)."""
+    return R.lifecycle_audit(X.lifecycle_log(spark, d).drop("seq"))
 
 
 _PROGRESS = """
