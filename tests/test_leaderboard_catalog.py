@@ -83,3 +83,18 @@ def test_delete_reports_existing_keys(spark):
     rest, hit = R.delete_keys(df, doomed, ["k"])
     assert [r.k for r in rest.collect()] == ["k1"] and [r.k for r in hit.collect()] == ["k2"]
     assert F is not None
+
+
+def test_typed_json_columns_round_trip(spark):
+    from pyspark.sql import types as T
+
+    from tunedata import schemas as SC
+    df = spark.createDataFrame([("c1", '["a", "b"]', '{"lr": "0.0002", "r": "16"}')],
+                               "checkpoint_id string, tags string, hyperparameters string")
+    typed = R.typed_json_columns(df, {"tags": SC.REGISTRY_ENTRY["tags"].dataType,
+                                      "hyperparameters": SC.REGISTRY_ENTRY["hyperparameters"].dataType})
+    r = typed.first()
+    assert r.tags == ["a", "b"] and r.hyperparameters == {"lr": "0.0002", "r": "16"}
+    assert isinstance(typed.schema["hyperparameters"].dataType, T.MapType)
+    back = typed.select(F.to_json("tags").alias("t")).first().t
+    assert back == '["a","b"]'

@@ -52,6 +52,14 @@ def parse_json_column(df: DataFrame, col: str, fields: dict[str, str]) -> tuple[
     return good.drop("_v"), bad
 
 
+def typed_json_columns(df: DataFrame, schemas: dict) -> DataFrame:
+    """JSON-in-text columns (tags, hyperparameters, metrics...) to native arrays / maps /
+    structs with ``from_json``; ``to_json`` is the way back."""
+    for col, schema in schemas.items():
+        df = df.withColumn(col, F.from_json(F.col(col), schema))
+    return df
+
+
 def delete_keys(df: DataFrame, doomed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Table without the doomed keys, and which doomed keys existed."""
     remaining = df.join(doomed.select(*keys), keys, "left_anti")
