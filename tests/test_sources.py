@@ -94,3 +94,10 @@ def test_provenance(spark):
     name, src = S.provenance("repo")
     r = df.select(name.alias("n"), src.alias("s")).first()
     assert (r.n, r.s) == ("tatsu-lab_alpaca", "huggingface:tatsu-lab/alpaca")
+
+
+def test_jsonl_quarantine_keeps_good_rows(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "q.jsonl"), '{"a": 1}\n{"a": 2\n{"a": 3}\n')
+    good, bad = S.read_jsonl_quarantine(spark, p, spark.createDataFrame([], "a long").schema)
+    assert sorted(r.a for r in good.collect()) == [1, 3]
+    assert [r[S.CORRUPT] for r in bad.collect()] == ['{"a": 2']

@@ -57,8 +57,8 @@ def read_jsonl_quarantine(spark: SparkSession, path: str, schema: StructType) ->
     """S2 alternative: keep good lines, put malformed ones in a quarantine frame."""
     s = StructType(schema.fields + [StructType().add(CORRUPT, "string").fields[0]])
     df = spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    df = df.cache()  # Spark refuses queries that reference only the corrupt column of a raw scan
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # the quarantine keeps every column: Spark refuses a raw-file scan that reads only the corrupt column
+    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull())
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
