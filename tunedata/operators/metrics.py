@@ -178,7 +178,10 @@ def confusion(df: DataFrame, group: list[str], pred: str = "prediction", ref: st
 
 def class_report(df: DataFrame, group: list[str], pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per class (classes come from references): tp, fp, fn, precision, recall (0 if undefined)."""
-    cm = confusion(df, group, pred, ref)
+    return class_report_from_confusion(confusion(df, group, pred, ref), group)
+
+
+def class_report_from_confusion(cm: DataFrame, group: list[str]) -> DataFrame:
     by_ref = cm.groupBy(*group, F.col("ref_label").alias("label")).agg(
         F.sum("n").alias("ref_total"),
         F.sum(F.when(F.col("ref_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("tp"))
@@ -194,9 +197,16 @@ def class_report(df: DataFrame, group: list[str], pred: str = "prediction", ref:
 
 
 def macro_scores(df: DataFrame, group: list[str], pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Accuracy, macro precision/recall, and F1 = harmonic mean of the macro values."""
-    acc = df.groupBy(*group).agg(F.avg((_norm(pred) == _norm(ref)).cast("double")).alias("accuracy"))
-    rep = class_report(df, group, pred, ref).groupBy(*group).agg(
+    """Accuracy, macro precision/recall, and F1 = harmonic mean of the macro values.
+
+    Everything comes from the confusion table (classes^2 rows per group), so the
+    predictions are scanned and shuffled once.
+    """
+    cm = confusion(df, group, pred, ref)
+    acc = cm.groupBy(*group).agg(
+        (F.sum(F.when(F.col("ref_label") == F.col("pred_label"), F.col("n")).otherwise(0)).cast("double")
+         / F.sum("n")).alias("accuracy"))
+    rep = class_report_from_confusion(cm, group).groupBy(*group).agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
     p, r = F.col("precision"), F.col("recall")
     return acc.join(rep, group, "left").select(
