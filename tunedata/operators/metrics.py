@@ -70,7 +70,8 @@ def stem_tokens(df: DataFrame, keys: list[str], col: str, stems: DataFrame, min_
 
 
 def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
-                pred: str = "prediction", ref: str = "reference", stems: DataFrame | None = None) -> DataFrame:
+                pred: str = "prediction", ref: str = "reference", stems: DataFrame | None = None,
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """Per-pair metric table as one projection (no shuffle).
 
     * bleu1 (E2), rouge1 / rouge2 (E4): clipped multiset overlaps of tokens or
@@ -80,11 +81,12 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
     * exact_match (E5), word_f1 (E6): row expressions.
     Token arrays are materialised once as columns and shared by all metrics.
     With ``stems``, the rouge-score tokens are stemmed first (``stem_tokens``).
+    ``carry`` columns (e.g. latency, token counts) pass through, so no join back is needed.
     """
     metrics = [m for m in PAIR_METRICS if m in metrics]
     need_ref = any(m in ("bleu1", "rouge_l", "word_f1") for m in metrics)
     need_rs = any(m in ("rouge1", "rouge2", "rougeL") for m in metrics)
-    cols = list(keys)
+    cols = list(keys) + [c for c in carry if c not in keys]
     if need_ref:
         cols += [lower_tokens(pred).alias("_pl"), lower_tokens(ref).alias("_rl")]
     if need_rs:
@@ -125,7 +127,7 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
             out.append(word_f1_from_counts(F.col("_st.common_ref"), F.size("_pl"), F.size("_rl")).alias("word_f1"))
         else:
             out.append(F.col(m))
-    return staged.select(*keys, *out)
+    return staged.select(*keys, *[c for c in carry if c not in keys], *out)
 
 
 def bleu1_pairs(pairs: DataFrame, keys: list[str], pred: str = "prediction", ref: str = "reference") -> DataFrame:

@@ -275,9 +275,8 @@ SELECT model_id,
 FROM ps GROUP BY model_id""")
 def q_run_aggregates(spark, d):
     """Per model latency/throughput and mean ROUGE-1/2/L (rouge-score rule) and exact match."""
-    p = preds(spark, d)
-    scores = M.pair_scores(p, KEYS, ["rouge1", "rouge2", "rougeL", "exact_match"])
-    scored = p.select(*KEYS, "latency_ms", "tokens").join(scores, KEYS)
+    scored = M.pair_scores(preds(spark, d), KEYS, ["rouge1", "rouge2", "rougeL", "exact_match"],
+                           carry=("latency_ms", "tokens"))
     return M.run_aggregates(scored, ["model_id"])
 
 
