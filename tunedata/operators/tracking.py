@@ -39,15 +39,19 @@ def best_checkpoint(history: DataFrame) -> DataFrame:
     return best.select("run_id", F.col("_b.step").alias("best_step"), F.col("_b.eval_loss").alias("best_eval_loss"))
 
 
+def last_value(history: DataFrame, value_col: str, key: str = "run_id") -> DataFrame:
+    """(key, step, value) of the last step that has ``value_col`` (one aggregate, partial before the shuffle)."""
+    last = history.filter(F.col(value_col).isNotNull()).groupBy(key).agg(
+        F.max_by(F.struct("step", value_col), "step").alias("_l"))
+    return last.select(key, F.col("_l.step").alias("step"), F.col(f"_l.{value_col}").alias(value_col))
+
+
 def final_metrics(history: DataFrame) -> DataFrame:
-    """Last train loss and last eval loss per run (by step)."""
-    tr = history.filter(F.col("loss").isNotNull()).groupBy("run_id").agg(
-        F.max_by(F.struct("step", "loss"), "step").alias("_t"))
-    ev = history.filter(F.col("eval_loss").isNotNull()).groupBy("run_id").agg(
-        F.max_by(F.struct("step", "eval_loss"), "step").alias("_e"))
-    return (tr.join(ev, "run_id", "full")
-            .select("run_id", F.col("_t.step").alias("train_step"), F.col("_t.loss").alias("train_loss"),
-                    F.col("_e.step").alias("eval_step"), F.col("_e.eval_loss").alias("eval_loss")))
+    """Last train loss and last eval loss per run (by step), side by side."""
+    tr = last_value(history, "loss").select("run_id", F.col("step").alias("train_step"),
+                                            F.col("loss").alias("train_loss"))
+    ev = last_value(history, "eval_loss").select("run_id", F.col("step").alias("eval_step"), "eval_loss")
+    return tr.join(ev, "run_id", "full")
 
 
 def run_comparison(params: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:

@@ -78,11 +78,8 @@ def q_run_durations(spark, d):
 WITH {_FINAL}
 SELECT run_id, coalesce(eval_step, train_step) AS step, train_loss AS loss, eval_loss FROM fm""")
 def q_run_metrics_merged(spark, d):
-    fm = T.final_metrics(hist(spark, d))
-    train = fm.select("run_id", F.col("train_step").alias("step"), F.col("train_loss").alias("loss"))
-    ev = fm.filter(F.col("eval_step").isNotNull()).select(
-        "run_id", F.col("eval_step").alias("step"), "eval_loss")
-    return T.run_metrics_merged(train, ev)
+    h = hist(spark, d)
+    return T.run_metrics_merged(T.last_value(h, "loss"), T.last_value(h, "eval_loss"))
 
 
 _WINDOW_SQL = f"""
