@@ -44,11 +44,11 @@ _F_SQL = ("CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END")
 
 
 def _rouge_n_sql(n: int) -> str:
-    rp = f"({rouge_toks('prediction')})"
-    rr = f"({rouge_toks('reference')})"
-    if n == 2:
-        rp, rr = _bigrams(rp), _bigrams(rr)
-    return f"""WITH {_overlap_sql(rp, rr)},
+    # tokens first (a column), then the n-grams read that column
+    src = (f"(SELECT id, model_id, {rouge_toks('prediction')} AS tp, {rouge_toks('reference')} AS tr "
+           f"FROM predictions)")
+    rp, rr = ("tp", "tr") if n == 1 else (_bigrams("tp"), _bigrams("tr"))
+    return f"""WITH {_overlap_sql(rp, rr, src)},
 pr AS (SELECT id, model_id, CAST(overlap AS DOUBLE) / greatest(n_pred, 1) AS p,
               CAST(overlap AS DOUBLE) / greatest(n_ref, 1) AS r FROM ov),
 rn AS (SELECT id, model_id, {_F_SQL} AS rouge{n} FROM pr)"""
