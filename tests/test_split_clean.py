@@ -88,3 +88,11 @@ def test_hot_group_spans_several_range_partitions(spark):
     parts = (df.repartitionByRange(6, "g", "t", "u").filter("g = 0")
              .select(F.spark_partition_id().alias("p")).distinct().count())
     assert parts >= 3
+
+
+def test_sft_pairs_dense_join_equals_ordered_lead(spark):
+    from conftest import SF_SMALL
+    from tunedata.plans import fixtures as X
+    a = X.sft_pairs(spark, SF_SMALL)
+    b = X.sft_pairs(spark, SF_SMALL, dense_turns=False)
+    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tunedata.functions.text import WS_RUN, tokens
 from tunedata.operators.catalog import LIFECYCLE
-from tunedata.plans.ordered import row_number_in_group
+from tunedata.plans.ordered import neighbour_in_group, row_number_in_group
 
 
 # tables whose rows carry long texts: per-row work dominates, so spread them over all cores
@@ -37,20 +37,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sft_pairs(spark: SparkSession, sf_dir: str, dense_turns: bool = True) -> DataFrame:
     """User turn + the assistant's reply (output) + the conversation's system text (input).
 
-    Turns are numbered densely per conversation, so "the next turn" is an
-    equi-join on (conv_id, turn + 1): a unique key, no per-conversation task.
+    With turns numbered densely per conversation (as in the driver tables), "the
+    next turn" is an equi-join on (conv_id, turn + 1): a unique key, no
+    per-conversation task.  ``dense_turns=False`` takes the next turn in turn
+    order instead (skew-safe ``lead`` through the global rank).
     """
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"),
-                   F.col("role").alias("_nr"), F.col("text").alias("_nt"))
     system = (c.filter(F.col("role") == "system").groupBy("conv_id")
               .agg(F.min_by("text", "turn").alias("input")))
-    users = c.filter(F.col("role") == "user")
-    return (users.join(nxt, ["conv_id", "turn"], "left")
-            .join(system, "conv_id", "left")
+    if dense_turns:
+        nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                       F.col("role").alias("_nr"), F.col("text").alias("_nt"))
+        with_next = c.filter(F.col("role") == "user").join(nxt, ["conv_id", "turn"], "left")
+    else:
+        led = neighbour_in_group(c, ["conv_id"], ["turn"], ["role", "text"], offset=1, prefix="_n")
+        with_next = (led.filter(F.col("role") == "user")
+                     .withColumnRenamed("_nrole", "_nr").withColumnRenamed("_ntext", "_nt"))
+    return (with_next.join(system, "conv_id", "left")
             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn",
                     F.col("text").alias("instruction"), "input",
                     F.when(F.col("_nr") == "assistant", F.col("_nt")).alias("output")))
