@@ -98,7 +98,9 @@ def round_half_up(col, digits: int) -> Column:
 
     Written the same way in the DuckDB oracle so both engines give identical
     doubles.  It works on the binary value (like Python's ``round``) instead of
-    the shortest decimal string that Spark's ``round`` uses.
+    the shortest decimal string that Spark's ``round`` uses.  Meant for the
+    non-negative values reported here (scores, lengths, latencies); a negative
+    tie would round up, not to even.
     """
     scale = float(10 ** digits)
     return (F.floor(_c(col).cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))

@@ -41,7 +41,8 @@ def prepare_training_data(spark: SparkSession, raw_csv: str, train_path: str, va
     split = SP.two_way_split(cleaned, "id", test_size=test_size, seed=seed)
     chat = H.chat_messages(split, system_prompt)
     for name, path in (("train", train_path), ("validation", val_path)):
-        S.write_once(chat.filter(F.col("split") == name).select("messages"), path)
+        # both outputs are (re)written together; the skip above is the idempotency check
+        S.write_jsonl(chat.filter(F.col("split") == name).select("messages"), path, mode="overwrite")
         audit_chat_jsonl(spark, path)
     return C.cleaning_funnel(keyed.select("id", "instruction", "input", "output"), test_size=test_size).first() \
         .asDict()
