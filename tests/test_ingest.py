@@ -41,3 +41,18 @@ def test_malformed_dataset_stops_validated(spark, tmp_dir):
     states = current_states(spark, reg).collect()
     assert len(states) == 1 and states[0].lifecycle_state == "validated"
     assert states[0].is_valid is False and states[0].n_issues > 0
+
+
+def test_folder_of_files_is_one_dataset(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "parts")
+    os.makedirs(folder)
+    for k in range(3):
+        with open(os.path.join(folder, f"part-{k}.jsonl"), "w", encoding="utf-8") as f:
+            for i in range(4):
+                f.write(json.dumps({"instruction": f"q{k}-{i}", "output": f"a{k}-{i}"}) + "\n")
+    reg = os.path.join(tmp_dir, "registry")
+    meta = ingest_dataset(spark, folder, "jsonl", "parts", os.path.join(tmp_dir, "out"), reg)
+    assert meta["lifecycle_state"] == "ready" and meta["rows_count"] == 12
+    back = spark.read.json(meta["processed_path"])
+    assert {r.split: r["count"] for r in back.groupBy("split").count().collect()} == \
+        {"train": 10, "validation": 1, "test": 1}

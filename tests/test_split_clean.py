@@ -96,3 +96,20 @@ def test_sft_pairs_dense_join_equals_ordered_lead(spark):
     a = X.sft_pairs(spark, SF_SMALL)
     b = X.sft_pairs(spark, SF_SMALL, dense_turns=False)
     assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+
+
+def test_eval_split_choice_prefers_validation_then_train(spark):
+    from tunedata.sources.files import eval_split_choice
+    splits = spark.createDataFrame([("a", "train"), ("a", "validation"), ("b", "train"), ("b", "test"),
+                                    ("c", "test")], "dataset_id string, split string")
+    got = {r.dataset_id: (r.eval_split, r.error) for r in eval_split_choice(splits).collect()}
+    assert got == {"a": ("validation", None), "b": ("train", None), "c": (None, "no validation or train split")}
+
+
+def test_hash_split_is_stable_and_near_ratio(spark):
+    df = spark.range(20000)
+    a = S.hash_split(df, "id").groupBy("split").count().collect()
+    frac = {r.split: r["count"] / 20000 for r in a}
+    assert abs(frac["train"] - 0.8) < 0.02 and abs(frac["validation"] - 0.1) < 0.02
+    b = S.hash_split(df.repartition(7), "id")
+    assert S.split_overlap(S.hash_split(df, "id"), b).count() == 0
