@@ -7,6 +7,10 @@ and event-time windows with a watermark (X9).  Stateful results leave the
 stream through ``foreachBatch`` as versioned appends; "the table" is the
 latest version per key (the catalog upsert of operators/catalog.py), so the
 sink is idempotent under micro-batch retries.
+
+The number of state partitions of a stateful query is taken from
+``spark.sql.shuffle.partitions`` at its first start and then fixed by the
+checkpoint: size it for the cluster before the first run.
 """
 
 from __future__ import annotations
@@ -35,9 +39,13 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(query_builder, timeout_s: int = 600):
+def _run(query_builder, timeout_s: int | None = None):
+    """Process everything available now, then stop (``timeout_s`` None waits for the backlog)."""
     q = query_builder.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    if timeout_s is None:
+        q.awaitTermination()
+    else:
+        q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError("stream did not finish")
