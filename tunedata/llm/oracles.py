@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tunedata.llm import secret_scan, url_filter
+
 UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 LOW = "'abcdefghijklmnopqrstuvwxyz'"
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -48,3 +50,68 @@ h AS (SELECT source, max(n) AS host_docs, max((f + m * s) / (n + s)) <= 0.5 AS h
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept, host_docs, host_kept
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source
 """
+
+_KINDS = r"""
+  ('assign', 1, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+  ('access', 2, 'AKIA[A-Z0-9]+', 16), ('hex', 3, '[0-9a-f]{32,}', 32), ('entropy', 4, '[A-Za-z0-9+/_-]{20,}', 20)"""
+
+ORACLE["op2_secret_scan"] = r"""
+WITH k(kind, rank, pattern, least) AS (VALUES """ + _KINDS + r"""),
+m AS (SELECT doc_id, kind, rank, least, regexp_extract_all(coalesce(text, ''), pattern) AS m, string_split_regex(coalesce(text, ''), pattern) AS g,
+        CASE WHEN kind = 'assign' THEN regexp_extract_all(coalesce(text, ''), pattern, 2) END AS v FROM documents, k),
+e AS (SELECT doc_id, kind, rank, least, i, length(m[i]) AS len, length(g[i]) AS gap, m[i] AS s, length(coalesce(v[i], m[i])) AS size
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+p AS (SELECT *, sum(gap + len) OVER (PARTITION BY doc_id, kind ORDER BY i) - len AS s0 FROM e),
+base AS (SELECT doc_id, kind, rank, s0 AS a, s0 + len AS b FROM p WHERE kind <> 'entropy' AND size >= least),
+c AS (SELECT doc_id, i, s0, s, CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN 'hex' ELSE 'base64' END AS class FROM p
+      WHERE kind = 'entropy' AND NOT regexp_full_match(s, '__ALLOW__')),
+ch AS (SELECT doc_id, i, s0, class, unnest(range(0, length(s))) AS p, unnest(string_split(s, '')) AS c FROM c),
+wn AS (SELECT x.doc_id, x.i, x.s0, x.class, x.p, y.c, count(*) AS n FROM ch x JOIN ch y
+       ON x.doc_id = y.doc_id AND x.i = y.i AND y.p BETWEEN x.p - 19 AND x.p WHERE x.p >= 19 GROUP BY ALL),
+hot AS (SELECT doc_id, i, s0, class, p, sum((__MICRO__)[n + 1]) AS t FROM wn GROUP BY ALL),
+ent AS (SELECT doc_id, 'entropy' AS kind, 4 AS rank, min(s0 + p - 19) AS a, max(s0 + p + 1) AS b FROM hot
+        WHERE t <= CASE class WHEN 'hex' THEN __HEX__ ELSE __B64__ END GROUP BY doc_id, i),
+a AS (SELECT * FROM base UNION ALL SELECT * FROM ent),
+s AS (SELECT doc_id, count(*) FILTER (WHERE rank = 1) AS n1, count(*) FILTER (WHERE rank = 2) AS n2, count(*) FILTER (WHERE rank = 3) AS n3,
+        string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, rank) FILTER (WHERE rank < 4) AS base,
+        string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, rank) AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coalesce(n3, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+ORACLE["op2_secret_scan"] = (ORACLE["op2_secret_scan"].replace("__ALLOW__", "|".join(secret_scan.ALLOW))
+                             .replace("__MICRO__", str(secret_scan._micro(secret_scan.WINDOW)))
+                             .replace("__HEX__", str(secret_scan._most(20, secret_scan.BITS["hex"])))
+                             .replace("__B64__", str(secret_scan._most(20, secret_scan.BITS["base64"]))))
+
+ORACLE["op3_url_filter"] = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), __UP__, __LOW__) AS host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k(kind, h, p) AS (VALUES __RULES__),
+v AS (SELECT page_id, arg_max(k.h || k.p, length(k.h || k.p)) AS rule, arg_max(kind, length(k.h || k.p)) AS verdict
+      FROM h JOIN k ON (host = k.h OR ends_with(host, '.' || k.h)) AND starts_with(path, k.p) GROUP BY page_id),
+s AS (SELECT h.page_id, host, path, rule, verdict, (verdict = 'block')::INT AS label,
+        list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '__VALUE__') THEN '*' ELSE x END) AS s0
+      FROM h LEFT JOIN v ON h.page_id = v.page_id),
+l AS (SELECT page_id, host, path, rule, verdict, label, CASE WHEN len(s0) > 6 THEN list_concat(s0[1:6], ['**']) ELSE s0 END AS t0 FROM s),
+__DEPTHS__
+t AS (SELECT host, t6 AS template, coalesce(sum(label), 0) AS bad, count(label) AS n FROM l6 GROUP BY ALL),
+f AS (SELECT *, CASE WHEN len(template) > 0 THEN list_concat(['+'], template[2:]) ELSE template END AS family FROM t),
+g AS (SELECT *, sum(bad) OVER w AS fb, sum(n) OVER w AS fl FROM f WINDOW w AS (PARTITION BY host, family)),
+m AS (SELECT *, CASE WHEN n > 0 AND fl > n THEN abs(bad / n - (fb - bad) / (fl - n)) <= 1.96 * sqrt(fb / fl * (1 - fb / fl) * (1 / n + 1 / (fl - n))) ELSE false END AS merged FROM g),
+q AS (SELECT *, CASE WHEN merged THEN sum(bad) OVER w ELSE bad END AS gb, CASE WHEN merged THEN sum(n) OVER w ELSE n END AS gl
+      FROM m WINDOW w AS (PARTITION BY host, family, merged)),
+tot AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END AS base FROM t),
+ho AS (SELECT host, (sum(bad) + 10 * any_value(base)) / (sum(n) + 10) AS hs FROM t, tot GROUP BY host),
+j AS (SELECT q.host, template, '/' || array_to_string(CASE WHEN merged THEN family ELSE template END, '/') AS name, (gb + 10 * hs) / (gl + 10) AS share
+      FROM q JOIN ho ON q.host = ho.host)
+SELECT page_id, l6.host, path, rule, coalesce(verdict, CASE WHEN share >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, j.name AS template
+FROM l6 JOIN j ON l6.host = j.host AND l6.t6 = j.template
+"""
+_DEPTH = """
+c{d} AS (SELECT host, t{e}[1:{e}] AS node FROM l{e} WHERE len(t{e}) >= {d} GROUP BY ALL HAVING count(DISTINCT t{e}[{d}]) > 50),
+l{d} AS (SELECT l{e}.*, CASE WHEN c{d}.host IS NOT NULL AND len(t{e}) >= {d} THEN list_concat(t{e}[1:{e}], ['*'], t{e}[{d}+1:]) ELSE t{e} END AS t{d}
+  FROM {src} l{e} LEFT JOIN c{d} ON l{e}.host = c{d}.host AND l{e}.t{e}[1:{e}] = c{d}.node),"""
+ORACLE["op3_url_filter"] = (ORACLE["op3_url_filter"].replace("__UP__", UP).replace("__LOW__", LOW).replace("__VALUE__", url_filter.VALUE)
+                            .replace("__RULES__", ", ".join(str(r) for r in url_filter.RULES))
+                            .replace("__DEPTHS__", "".join(_DEPTH.format(d=d, e=d - 1, src="l" if d == 1 else f"l{d - 1}") for d in range(1, 7)).replace("l0.*", "l0.*").replace("FROM l0 WHERE", "FROM l WHERE")))
