@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm import exact_dedup, line_dedup, quality_rules, secret_scan, url_filter
+from tunedata.llm import exact_dedup, line_dedup, packing, quality_rules, secret_scan, token_counts, url_filter
 from tunedata.llm.common import staged, table
 from tunedata.llm.oracles import ORACLE  # noqa: F401
 
@@ -47,6 +47,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = staged(token_counts.length_histogram(table(spark, sf_dir, "documents")), "length-histogram")
+    return token_counts.suffix_sums(hist)
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

@@ -126,10 +126,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     templates = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     groups = merge_similar(templates, z_max)
 
-    total = leaves.agg(F.sum("bad").alias("_tb"), F.sum("labelled").alias("_tl"))
-    hosts = leaves.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum("labelled").alias("_hl")).join(F.broadcast(total))
-    base = F.coalesce(F.try_divide(F.col("_tb"), F.col("_tl")), F.lit(0.0))
-    hosts = hosts.select("host", ((F.col("_hb") + smoothing * base) / (F.col("_hl") + smoothing)).alias("_hshare"))
+    total = leaves.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()      # two numbers
+    base = total["bad"] / total["labelled"] if total["labelled"] else 0.0
+    hosts = leaves.groupBy("host").agg(((F.sum("bad") + smoothing * base) / (F.sum("labelled") + smoothing)).alias("_hshare"))
     share = (F.col("group_bad") + smoothing * F.col("_hshare")) / (F.col("group_labelled") + smoothing)
     judged = groups.join(hosts, "host").withColumn("bad_share", share)
     by_shape = tree.select("host", "shape", "template").join(judged, ["host", "template"])
