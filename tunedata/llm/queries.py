@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm import exact_dedup, line_dedup, packing, quality_rules, secret_scan, token_counts, url_filter
+from tunedata.llm import exact_dedup, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, url_filter
 from tunedata.llm.common import staged, table
 from tunedata.llm.oracles import ORACLE  # noqa: F401
 
@@ -59,6 +59,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: the source is the repository, ids give two directory levels, and every fifth
+    document is a LICENSE file at one of the three levels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    root, a, b = F.col("source"), F.expr("'d' || doc_id div 2000"), F.expr("'e' || doc_id div 200")
+    level = F.when(F.col("doc_id") % 5 != 0, F.concat_ws("/", root, a, b, F.expr("'f' || doc_id || '.txt'")))
+    level = level.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", root, F.lit("LICENSE"))).when(
+        F.col("doc_id") % 3 == 1, F.concat_ws("/", root, a, F.lit("LICENSE"))).otherwise(F.concat_ws("/", root, a, b, F.lit("LICENSE")))
+    return license_scan.scan_licenses(docs.withColumn("path", level), "path")
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = staged(docs.withColumns(mixing.sized(docs, "doc_id", "text", "source")).drop("source", "text"), "mix-sizes")
+    return mixing.mix_sources(sizes, sizes).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tunedata.llm.tokens import encode, public_path
 
-BLOCK = 4096
+BLOCK = 64
 
 
 def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
