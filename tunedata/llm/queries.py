@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm import exact_dedup, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, url_filter
+from tunedata.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, url_filter
 from tunedata.llm.common import staged, table
 from tunedata.llm.oracles import ORACLE  # noqa: F401
 
@@ -78,6 +78,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sizes, sizes).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
