@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm import exact_dedup, quality_rules
+from tunedata.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
 from tunedata.llm.common import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules on hosts that are kept."""
-    cols = docs.columns
-    marked = quality_rules.document_features(docs.select(F.struct(*cols).alias("doc"), "source", "text")).drop("text")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", "text")
+    marked = quality_rules.document_features(rows).drop("text")
     marked = staged(marked, "quality-documents")
     return quality_rules.judge_documents(marked).where("kept").select("doc.*")
 
@@ -22,7 +22,28 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts: the one whose id names the group.
+
+    Texts without words have no group and stay; so do rows without an id.
+    """
+    groups = staged(jaccard_join.jaccard_components(docs), "near-groups")
+    drop = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(staged(drop, "near-drop"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it (a document taken twice is two rows)."""
+    out = mixing.mix_sources(docs)
+    return out.select(*docs.columns, F.explode(F.expr("array_repeat(0, copies)")).alias("__copy")).drop("__copy")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids (little-endian unsigned 32-bit)."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("jaccard_join", near), ("mixing", mix), ("packing", pack)]
 
 #: iterative and sequential stages: held against a brute-force version in tests/llm instead
 ORACLE_SQL = None
