@@ -327,13 +327,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= 2 * MAX_SMALL).groupBy("n").count().collect()}       # at most 128 rows
     small = boundary(sizes, scan, pct)
     index = inverted_index(docs, text_col, k, parts, names, df, small, pct).join(classes.select("cls"), "cls", "left_semi")
-    index = staged(index, "join-index")
+    index = staged(index, "join-entries")
+    index = staged(index.join(index.groupBy("cls").agg(F.count(F.lit(1)).alias("deg")), "cls"), "join-index")
 
-    links = tested = roots = None
+    tested = roots = None
     for step in range(hub_rounds + 1):
         members = _labelled(index, roots)
         if step < hub_rounds:
-            pick = F.struct(F.xxhash64(F.lit(step), "cls").alias("_o"), "cls", "n", "pos", "comp")
+            # first the class that shares most keys: edits bring rare shingles of their own, an original has few
+            order = -F.col("deg") if step == 0 else F.xxhash64(F.lit(step), "cls")
+            pick = F.struct(order.alias("_o"), "cls", "n", "pos", "comp")
             hubs = members.groupBy("key").agg(F.min(pick).alias("_h")).select("key", "_h.cls", "_h.n", "_h.pos", "_h.comp")
             pairs = _pairs(hubs, members, F.col("a.comp") != F.col("b.comp"), pct)
         else:
@@ -342,9 +345,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tested = pairs if tested is None else tested.unionByName(pairs)
         wanted = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct().join(classes, "cls")
         found = staged(verified(pairs, fetch_sets(docs, id_col, text_col, k, wanted), pct), "join-links")
-        links = found if links is None else links.unionByName(found)
         if not found.isEmpty() or roots is None:
-            roots = components(links)
+            # the components so far stand for their links
+            roots = components(found if roots is None else roots.unionByName(found))
     labels = classes.join(roots.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "rep", F.coalesce("v", "cls").alias("comp"))
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
     answer = staged(labels.join(least, "comp").select(F.col("cls").alias("_cls"), "component_id"), "join-components")
