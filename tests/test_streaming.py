@@ -12,15 +12,17 @@ from conftest import SF_SMALL
 def test_stream_equals_batch(spark):
     h = X.metric_history(spark, SF_SMALL)
     w = S.workdir(spark, "t-append")
-    # one file per micro-batch: the history, then a re-sent slice (older than the watermark by then)
-    S.stage_files(h.coalesce(1).sortWithinPartitions("ts"), w["src"])
-    S.stage_files(h.filter(F.col("step") < 5).coalesce(1), w["src"])
+    # one file per micro-batch, newest first, then a re-sent slice and a second entry of some steps
+    S.stage_arrivals(h, w["src"])
+    again = h.filter((F.col("step") < 5) & F.col("loss").isNotNull())
+    S.stage_files(again.coalesce(1), w["src"])
+    S.stage_files(again.withColumn("loss", F.col("loss") + 1).coalesce(1), w["src"])
     out = S.append_dedup(spark, w["src"], h.schema, w["sink"], w["checkpoint"], max_files_per_trigger=1)
-    assert out.count() == h.count() and out.select("run_id", "step").distinct().count() == h.count()
+    assert out.count() == h.count() + again.count() and out.exceptAll(h).count() == again.count()
 
     w2 = S.workdir(spark, "t-window")
-    S.stage_files(h, w2["src"])
-    stream = S.windowed_loss_stream(spark, w2["src"], h.schema, w2["sink"], w2["checkpoint"])
+    S.stage_arrivals(h, w2["src"], 5)
+    stream = S.windowed_loss_stream(spark, w2["src"], h.schema, w2["sink"], w2["checkpoint"], max_files_per_trigger=1)
     assert sorted(stream.collect()) == sorted(T.windowed_loss(h).collect())
 
     log = X.job_log(spark, SF_SMALL)

@@ -97,12 +97,12 @@ def q_windowed_loss(spark, d):
 # ------------------------------------------------------------------ streaming
 @query("stream_append", ctes=("metric_history",), sql="SELECT * FROM metric_history")
 def q_stream_append(spark, d):
-    """Files of step metrics (one batch re-sent) -> deduplicated parquet append sink."""
+    """Files of step metrics, one per micro-batch and newest first, a slice re-sent -> append sink."""
     h = hist(spark, d)
     w = S.workdir(spark, "stream-append")
-    S.stage_files(h, w["src"])
-    S.stage_files(h.filter(F.col("loss") > 2), w["src"])       # a re-sent slice
-    out = S.append_dedup(spark, w["src"], h.schema, w["sink"], w["checkpoint"])
+    S.stage_arrivals(h, w["src"])
+    S.stage_files(h.filter(F.col("loss") > 2).coalesce(1), w["src"])       # a re-sent slice
+    out = S.append_dedup(spark, w["src"], h.schema, w["sink"], w["checkpoint"], max_files_per_trigger=1)
     return out.select(*h.columns)
 
 
@@ -117,8 +117,8 @@ def q_stream_progress(spark, d):
 
 @query("stream_window_loss", ctes=("metric_history",), sql=_WINDOW_SQL)
 def q_stream_window_loss(spark, d):
-    """Event-time windows with a watermark over the metric stream."""
+    """Event-time windows over the metric stream; late files count."""
     h = hist(spark, d)
     w = S.workdir(spark, "stream-window")
-    S.stage_files(h, w["src"])
-    return S.windowed_loss_stream(spark, w["src"], h.schema, w["sink"], w["checkpoint"])
+    S.stage_arrivals(h, w["src"])
+    return S.windowed_loss_stream(spark, w["src"], h.schema, w["sink"], w["checkpoint"], max_files_per_trigger=1)

@@ -30,7 +30,7 @@ def detect_format(ext: str) -> str:
     """Extension -> format; case/space-insensitive, leading dot optional."""
     e = (ext or "").strip().lower().lstrip(".")
     if e not in FORMATS:
-        raise ValueError(f"Unsupported dataset format: '{ext}'")
+        raise ValueError(f"no reader for the extension {ext!r}")
     return e
 
 

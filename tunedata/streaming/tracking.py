@@ -1,12 +1,13 @@
 """Structured Streaming forms of experiment tracking.
 
 The reference rewrites a JSON file on every step and re-reads it on refresh.
-Here the step metrics are a file stream: an append sink with exactly-once
-checkpointing (X1), a stateful latest-progress aggregate keyed by job (X3)
-and event-time windows with a watermark (X9).  Stateful results leave the
-stream through ``foreachBatch`` as versioned appends; "the table" is the
-latest version per key (the catalog upsert of operators/catalog.py), so the
-sink is idempotent under micro-batch retries.
+Here the step metrics are a file stream: an append sink of one folder per batch
+(X1), a stateful latest-progress aggregate keyed by job (X3) and partial
+event-time windows per batch (X9).  No row is ever too late: X1 and X9 keep no
+state and have no watermark.  The results of X3 leave the stream through
+``foreachBatch`` as versioned appends; "the table" is the latest version per key (the
+catalog upsert of operators/catalog.py), so every sink is idempotent under
+micro-batch retries.
 
 The number of state partitions of a stateful query is taken from
 ``spark.sql.shuffle.partitions`` at its first start and then fixed by the
@@ -29,6 +30,13 @@ def stage_files(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def stage_arrivals(df: DataFrame, path: str, arrivals: int = 4) -> None:
+    """Write ``df`` as that many files, newest events first (each run spans several files)."""
+    hour = F.hour("ts")
+    for i in reversed(range(arrivals)):
+        stage_files(df.filter(F.coalesce(hour, F.lit(0)) % arrivals == i).coalesce(1), path)
+
+
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema).format(fmt)
@@ -54,16 +62,24 @@ def _run(query_builder, timeout_s: int | None = None):
     return q
 
 
+def _batch_folder(path: str, shape=lambda df: df):
+    """foreachBatch sink: one folder per batch id, written again from scratch when a batch is replayed."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
+
+
 def append_dedup(spark: SparkSession, src: str, schema: StructType, sink: str, checkpoint: str,
-                 keys=("run_id", "step"), watermark: str = "1 hour",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Step metrics appended to a parquet table; a re-sent (key) within the
-    watermark is dropped (``dropDuplicatesWithinWatermark``)."""
+    """Step metrics appended to a parquet table; exact re-sends are removed on read.
+
+    No watermark: a row counts whenever it arrives, and no state is kept.  Two entries of one
+    step that differ (train loss, eval loss) are both kept.
+    """
     s = read_stream(spark, src, schema, max_files_per_trigger=max_files_per_trigger)
-    d = s.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
-    _run(d.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", sink)
-         .outputMode("append"))
-    return spark.read.schema(d.schema).parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    _run(s.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_batch_folder(sink)))
+    return (spark.read.schema(s.schema).parquet(sink).select(*s.columns).dropDuplicates()
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 def _versioned_sink(path: str):
@@ -86,17 +102,22 @@ def latest_progress(spark: SparkSession, src: str, schema: StructType, sink: str
 
 
 def windowed_loss_stream(spark: SparkSession, src: str, schema: StructType, sink: str, checkpoint: str,
-                         window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """X9 stream: rows and mean loss per run and event-time window, with a watermark."""
-    s = read_stream(spark, src, schema).withWatermark("ts", watermark)
-    total, n = exact_mean(F.col("loss"))
-    g = s.groupBy("run_id", F.window("ts", window).alias("w")).agg(
-        F.count(F.lit(1)).alias("n_rows"), total.alias("_s"), n.alias("_n"))
-    _run(g.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(_versioned_sink(sink)))
-    latest = latest_per_key(spark.read.parquet(sink).withColumn("_ws", F.col("w.start")),
-                            ["run_id", "_ws"], ["_batch"])
-    return finish_windowed(latest)
+                         window: str = "1 hour", max_files_per_trigger: int | None = None) -> DataFrame:
+    """X9 stream: rows and mean loss per run and event-time window.
+
+    Each micro-batch writes its partial counts and sums per (run, window); the reader adds them
+    up, so late rows count however the files fall into batches, and no state is kept.
+    """
+    s = read_stream(spark, src, schema, max_files_per_trigger=max_files_per_trigger)
+
+    def partial(batch: DataFrame) -> DataFrame:
+        total, n = exact_mean(F.col("loss"))
+        return batch.groupBy("run_id", F.window("ts", window).alias("w")).agg(
+            F.count(F.lit(1)).alias("n_rows"), total.alias("_s"), n.alias("_n"))
+    _run(s.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_batch_folder(sink, partial)))
+    parts = spark.read.parquet(sink).groupBy("run_id", "w").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return finish_windowed(parts)
 
 
 def workdir(spark: SparkSession, name: str) -> dict[str, str]:
