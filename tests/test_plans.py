@@ -8,8 +8,8 @@ from conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 # the one Python step is the Arrow UDF of the per-pair token statistics (and its users)
-PYTHON_ALLOWED = {"bleu1", "bleu1_pairs", "rouge_l", "rouge_l_pairs", "rouge_lsum_rs", "rouge_n", "word_set_f1",
-                  "word_set_f1_pairs", "pair_scores", "metric_summary", "primary_metric", "run_aggregates",
+PYTHON_ALLOWED = {"bleu1", "bleu1_pairs", "rouge_l", "rouge_l_pairs", "rouge_lsum_rs", "rouge_n", "rouge_stems",
+                  "pair_scores", "metric_summary", "primary_metric", "run_aggregates",
                   "scores_csv_roundtrip"}
 
 
@@ -23,6 +23,21 @@ def test_plan_has_no_cartesian_or_row_udf(spark, name):
         assert "ArrowEvalPython" not in plan, f"{name}: unexpected Python UDF"
 
 
+@pytest.mark.parametrize("name", ["run_history", "loss_curve", "best_checkpoint", "run_comparison", "run_durations", "windowed_loss",
+                                  "ready_only", "lifecycle_audit", "lifecycle_audit_by_time", "status_overlay", "history_view",
+                                  "catalog_counts", "readiness_audit", "leaderboard_topk", "leaderboard_entries", "list_recent", "chat_messages"])
+def test_no_rank_where_none_is_asked(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "RDDScan" not in plan
+
+
+def test_one_read(spark):
+    plan = E.queries()["cleaning_funnel"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    plan = E.queries()["leaderboard_topk"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_scans_are_pruned(spark):
     df = E.queries()["token_estimate"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -90,12 +90,29 @@ def test_hot_group_spans_several_range_partitions(spark):
     assert parts >= 3
 
 
-def test_sft_pairs_dense_join_equals_ordered_lead(spark):
-    from conftest import SF_SMALL
+def test_pairs_follow_turn_order_without_dense_turns(spark):
     from tunedata.plans import fixtures as X
-    a = X.sft_pairs(spark, SF_SMALL)
-    b = X.sft_pairs(spark, SF_SMALL, dense_turns=False)
-    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+    turns = [(1, 1, "user", "u1"), (1, 1001, "user", "u1001"), (1, 1023, "assistant", "a1023"), (1, 1024, "user", "u1024"),
+             (1, 5000, "assistant", "a5000"), (2, 1, "user", "v1"), (2, 4, "assistant", "b4"), (2, 9, "user", "v9"), (3, 2, "user", "w")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = X.pairs_of(df).collect()
+    got = {(r.conv_id, r.turn): (r.output, r.reply_id and int(r.reply_id.split(":")[1])) for r in rows}
+    assert got == {(1, 1): (None, None), (1, 1001): ("a1023", 1023), (1, 1024): ("a5000", 5000),
+                   (2, 1): ("b4", 4), (2, 9): (None, None), (3, 2): (None, None)}
+    assert len({r.id for r in rows}) == len(rows)
+
+
+def test_stretches_equal_plain_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tunedata.plans.ordered import neighbour_by_stretch, position_by_stretch
+    df = spark.range(600).select((F.col("id") % 3 % 2).alias("g"), (F.col("id") * 7 % 601).alias("t"), "id")
+    w = Window.partitionBy("g").orderBy("t")
+    for k, plain in ((1, F.lead("id").over(w)), (-1, F.lag("id").over(w))):
+        out = neighbour_by_stretch(df, ["g"], ["t"], ["id"], F.floor(F.col("t") / 10), offset=k, prefix="n_")
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, df.withColumn("n_id", plain).collect()), key=repr)
+    out = position_by_stretch(df, ["g"], ["t"], F.floor(F.col("t") / 10), "p")
+    assert sorted(out.collect()) == sorted(df.withColumn("p", (F.row_number().over(w) - 1).cast("long")).collect())
 
 
 def test_eval_split_choice_prefers_validation_then_train(spark):

@@ -52,3 +52,23 @@ def test_code_points(spark):
     df = spark.createDataFrame([("aé\U0001F600b",), ("",)], "s string")
     got = [r.ids for r in df.select(encode_chars("s").alias("ids")).collect()]
     assert got == [[97, 233, 128512, 98], []]
+
+
+def test_rounding_is_that_of_python(spark):
+    """Values with two decimals over 1000, random doubles, and exact ties, in both engines."""
+    import random
+
+    import duckdb
+
+    from tunedata.functions.text import round2, round4
+    from tunedata.plans.sqlfrag import rnd
+    rng = random.Random(5)
+    xs = [i / 100 / 1000 for i in range(50001)] + [rng.uniform(-3, 3) * 10 ** rng.randint(-4, 5) for _ in range(20000)]
+    xs += [i / 32 for i in range(-64, 64)] + [0.125, 0.375, 2.675, 1.005, -0.00005, 1e15 / 7]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for r in df.select("x", round4("x").alias("a"), round2("x").alias("b")).collect():
+        assert r.a == round(r.x, 4) and r.b == round(r.x, 2), r
+    con = duckdb.connect()
+    values = ", ".join(f"({x!r}::DOUBLE)" for x in xs[:5000] + xs[-2000:])
+    for x, a, b in con.execute(f"SELECT x, {rnd('x', 4)}, {rnd('x', 2)} FROM (VALUES {values}) t(x)").fetchall():
+        assert a == round(x, 4) and b == round(x, 2), x

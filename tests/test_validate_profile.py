@@ -65,21 +65,30 @@ def test_fingerprint_number_and_text_collide(spark):
 
 
 def test_chat_text_audit(spark):
-    lines = [
-        '{"other": 1}',
-        '{"messages": "hello"}',
-        '{"messages": [{"role": "user", "content": "hi"}]}',
-        '{"messages": [{"role": "tool", "content": "x"}, {"role": "user", "content": "y"}]}',
-        '{"messages": [{"role": "user"}, {"role": "assistant", "content": "ok"}]}',
-        '{"messages": [{"role": "user", "content": "  "}, {"role": "assistant", "content": "ok"}]}',
-        '{not json',
-        '{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]}',
+    ok = '{"role": "user", "content": "y"}'
+    cases = [
+        ('{"other": 1}', "missing_messages", None), ("[1]", "missing_messages", None), ('"text"', "missing_messages", None),
+        ('{"messages": "hello"}', "messages_not_list", None), ('{"messages": null}', "messages_not_list", None),
+        ('{"messages": {"role": "user", "content": "y"}}', "messages_not_list", None),
+        ('{"messages": []}', "too_few_turns", None), ('{"messages": [%s]}' % ok, "too_few_turns", None),
+        ("{not json", "invalid_json", None),
+        ('{"messages": [{"role": "tool", "content": "x"}, %s]}' % ok, "invalid_role", 0),
+        ('{"messages": [%s, {"role": null, "content": "x"}]}' % ok, "invalid_role", 1),
+        ('{"messages": [{"role": 1, "content": "x"}, %s]}' % ok, "invalid_role", 0),
+        ('{"messages": [{"role": "user"}, %s]}' % ok, "missing_role_or_content", 0),
+        ('{"messages": [{"content": "c"}, %s]}' % ok, "missing_role_or_content", 0),
+        ('{"messages": [{"role": "user", "content": "  "}, %s]}' % ok, "blank_content", 0),
+        ('{"messages": [%s, {"role": "user", "content": 42}]}' % ok, "content_not_string", 1),
+        ('{"messages": [%s, {"role": "user", "content": {"t": 1}}]}' % ok, "content_not_string", 1),
+        ('{"messages": [%s, {"role": "user", "content": null}]}' % ok, "content_not_string", 1),
+        ('{"messages": [%s, {"role": "user", "content": ["a"]}]}' % ok, "content_not_string", 1),
+        ('{"messages": [%s, 7]}' % ok, "turn_not_object", 1), ('{"messages": [%s, null]}' % ok, "turn_not_object", 1),
+        ('{"messages": [%s, "user"]}' % ok, "turn_not_object", 1),
     ]
-    df = spark.createDataFrame(list(enumerate(lines)), "k int, value string")
-    got = sorted((r.k, r.rule, r.turn_index) for r in V.chat_text_violations(df, "k").collect())
-    assert got == sorted([(0, "missing_messages", None), (1, "messages_not_list", None),
-                          (2, "too_few_turns", None), (3, "invalid_role", 0),
-                          (4, "missing_role_or_content", 0), (5, "blank_content", 0), (6, "invalid_json", None)])
+    fine = ['{"messages": [%s, %s]}' % (ok, ok), "   ", ""]
+    df = spark.createDataFrame(list(enumerate([c[0] for c in cases] + fine)), "k int, value string")
+    got = sorted(((r.k, r.rule, r.turn_index) for r in V.chat_text_violations(df, "k").collect()), key=repr)
+    assert got == sorted(((k, rule, i) for k, (_, rule, i) in enumerate(cases)), key=repr)
 
 
 def test_empty_profile_is_all_zero(spark):

@@ -9,12 +9,10 @@ helper computes
 
 * overlap: sum over tokens of min(count in a, count in b) (clipped unigram or
   bigram matches), with ``collections.Counter``;
-* distinct common words (set intersection; Spark's ``array_intersect`` on
-  strings compares every pair of elements);
 * LCS length: the bit-parallel algorithm of Allison-Dix / Hyyro over Python
   integers used as bit vectors, O(m*n/64) instead of the O(m*n) table;
 
-and everything else (sizes, precision, recall, F-measures, means) stays native.
+and everything else (set intersections, sizes, precision, recall, F-measures, means) stays native.
 """
 
 from __future__ import annotations
@@ -62,11 +60,11 @@ def bigrams(a) -> list:
 
 
 STATS_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in
-                           ("ov_ref", "lcs_ref", "ov_rs1", "ov_rs2", "lcs_rs", "common_ref")])
+                           ("ov_ref", "lcs_ref", "ov_rs1", "ov_rs2", "lcs_rs")])
 
 
-def _stats_udf(want: tuple[bool, bool, bool, bool, bool, bool]):
-    w_ov, w_lcs, w_ov1, w_ov2, w_lcs2, w_common = want
+def _stats_udf(want: tuple[bool, bool, bool, bool, bool]):
+    w_ov, w_lcs, w_ov1, w_ov2, w_lcs2 = want
 
     @F.pandas_udf(STATS_TYPE)
     def stats(pl: pd.Series, rl: pd.Series, pr: pd.Series, rr: pd.Series) -> pd.DataFrame:
@@ -79,7 +77,6 @@ def _stats_udf(want: tuple[bool, bool, bool, bool, bool, bool]):
             out["ov_rs1"].append(overlap_count(c, d) if w_ov1 else 0)
             out["ov_rs2"].append(overlap_count(bigrams(c), bigrams(d)) if w_ov2 else 0)
             out["lcs_rs"].append(lcs_length(c, d) if w_lcs2 else 0)
-            out["common_ref"].append(len(set(a) & set(b)) if w_common else 0)
         return pd.DataFrame(out, dtype="int32")
     return stats
 
@@ -88,8 +85,8 @@ _UDFS: dict = {}
 
 
 def token_pair_stats(pl: Column, rl: Column, pr: Column, rr: Column,
-                     want: tuple[bool, bool, bool, bool, bool, bool]) -> Column:
-    """struct(ov_ref, lcs_ref, ov_rs1, ov_rs2, lcs_rs, common_ref) for (reference-rule, rouge-rule) token pairs.
+                     want: tuple[bool, bool, bool, bool, bool]) -> Column:
+    """struct(ov_ref, lcs_ref, ov_rs1, ov_rs2, lcs_rs) for (reference-rule, rouge-rule) token pairs.
 
     ``want`` switches each statistic on; unused arrays may be passed empty.
     """
@@ -101,4 +98,4 @@ def token_pair_stats(pl: Column, rl: Column, pr: Column, rr: Column,
 def lcs(a: Column, b: Column) -> Column:
     """LCS length of two ``array<string>`` columns."""
     empty = F.array().cast("array<string>")
-    return token_pair_stats(a, b, empty, empty, (False, True, False, False, False, False))["lcs_ref"]
+    return token_pair_stats(a, b, empty, empty, (False, True, False, False, False))["lcs_ref"]

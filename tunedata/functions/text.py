@@ -93,22 +93,29 @@ def ngram_array(tok: Column, n: int) -> Column:
     return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def round_half_up(col, digits: int) -> Column:
-    """``floor(x * 10^d + 0.5) / 10^d`` in IEEE doubles.
-
-    Written the same way in the DuckDB oracle so both engines give identical
-    doubles.  It works on the binary value (like Python's ``round``) instead of
-    the shortest decimal string that Spark's ``round`` uses.  Meant for the
-    non-negative values reported here (scores, lengths, latencies); a negative
-    tie would round up, not to even.
+def round_exact(col, digits: int) -> Column:
+    """Python's ``round(x, digits)``: the decimal nearest to the binary value, real ties to even.
+
+    Where the double product ``x * 10^d`` lands on .5, the sign of its rounding error says on which
+    side the exact product lies.  The error comes from splitting ``x`` in two halves
+    whose products with ``10^d`` are exact.  The DuckDB oracle computes the same (``sqlfrag.rnd``).
     """
     scale = float(10 ** digits)
-    return (F.floor(_c(col).cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
+    x = _c(col).cast("double")
+    product = x * F.lit(scale)
+    low = F.floor(product).cast("double")
+    rest = product - low
+    big = x * F.lit(134217729.0)                 # 2^27 + 1
+    head = big - (big - x)
+    error = (head * F.lit(scale) - product) + (x - head) * F.lit(scale)
+    up = (F.when(rest > 0.5, 1.0).when(rest < 0.5, 0.0).when(error > 0, 1.0).when(error < 0, 0.0)
+          .otherwise(F.pmod(low, F.lit(2.0))))
+    return (low + up) / F.lit(scale)
 
 
 def round4(col) -> Column:
-    return round_half_up(col, 4)
+    return round_exact(col, 4)
 
 
 def round2(col) -> Column:
-    return round_half_up(col, 2)
+    return round_exact(col, 2)

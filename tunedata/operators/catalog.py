@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import round4
-from tunedata.plans.ordered import global_rank, neighbour_in_group
+from tunedata.plans.ordered import global_rank, neighbour_by_stretch
 
 READY = "ready"
 # The dataset lifecycle, in order (uploaded first, ready last).
@@ -36,8 +36,10 @@ def lookup(df: DataFrame, key_set: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(key_set.select(*keys).distinct(), keys, "left_semi")
 
 
-def list_recent(df: DataFrame, ts_col: str, key: str, pos_col: str = "pos") -> DataFrame:
-    """Newest first; the position is a global rank (no single-partition window)."""
+def list_recent(df: DataFrame, ts_col: str, key: str, pos_col: str | None = None) -> DataFrame:
+    """Newest first (a range sort); with ``pos_col`` also the position, by a global rank."""
+    if pos_col is None:
+        return df.orderBy(F.col(ts_col).desc(), F.col(key).asc())
     return global_rank(df, [F.col(ts_col).desc(), F.col(key).asc()], pos_col)
 
 
@@ -107,19 +109,18 @@ def production_entry(flagged: DataFrame, type_col: str = "base_model", key: str
 
 
 def lifecycle_audit(log: DataFrame, key: str = "dataset_id", ts_col: str = "ts",
-                    tie_col: str = "event_id", ord_col: str = "ord", seq_col: str | None = None) -> DataFrame:
+                    tie_col: str = "event_id", ord_col: str = "ord", seq_col: str | None = None,
+                    span: int = 1 << 16) -> DataFrame:
     """Transitions checked against the lifecycle order, and the current state.
 
-    The previous state of each event: when the log carries a dense per-dataset
-    sequence number (``seq_col``, like a catalog version), it is an equi-join on
-    (dataset, seq - 1); otherwise a skew-safe ``lag`` (global rank join).  A
+    The log is ordered by ``seq_col`` (a number that grows along the log, dense or not), else by time and
+    ``tie_col``.  The previous state of each event is a ``lag`` inside stretches (``span`` sequence numbers, or
+    one hour), so a dataset with a third of all events is many small windows.  A
     step is legal when it moves exactly one state forward.
     """
-    if seq_col is not None:
-        before = log.select(key, (F.col(seq_col) + 1).alias(seq_col), F.col(ord_col).alias(f"prev_{ord_col}"))
-        prev = log.join(before, [key, seq_col], "left")
-    else:
-        prev = neighbour_in_group(log, [key], [ts_col, tie_col], [ord_col], offset=-1, prefix="prev_")
+    order = [seq_col] if seq_col else [ts_col, tie_col]
+    stretch = F.floor(F.col(seq_col) / span) if seq_col else F.date_trunc("hour", F.col(ts_col))
+    prev = neighbour_by_stretch(log, [key], order, [ord_col], stretch, offset=-1, prefix="prev_")
     p, o = F.col(f"prev_{ord_col}"), F.col(ord_col)
     kind = (F.when(p.isNull(), F.when(o == 0, "start").otherwise("bad_start"))
             .when(o == p + 1, "forward").when(o == p, "repeat").when(o < p, "reversed").otherwise("skipped"))
@@ -131,7 +132,7 @@ def lifecycle_audit(log: DataFrame, key: str = "dataset_id", ts_col: str = "ts",
         F.count_if(F.col("transition") == "repeat").alias("n_repeat"),
         F.count_if(F.col("transition") == "reversed").alias("n_reversed"),
         F.count_if(F.col("transition") == "skipped").alias("n_skipped"),
-        F.element_at(states, (F.max_by(o, F.struct(ts_col, tie_col)) + 1).cast("int")).alias("current_state"))
+        F.element_at(states, (F.max_by(o, F.struct(*order)) + 1).cast("int")).alias("current_state"))
 
 
 def current_state(log: DataFrame, key: str = "dataset_id", ts_col: str = "ts", tie_col: str = "event_id") -> DataFrame:
@@ -163,7 +164,3 @@ def readiness_audit(jobs: DataFrame, datasets: DataFrame, key: str = "dataset_id
     reason = (F.when(F.col("dataset_state").isNull(), "dataset_missing")
               .when(F.col("dataset_state") != READY, "dataset_not_ready").otherwise("ok"))
     return j.withColumn("reason", reason)
-
-
-def hit_count(c: Column) -> Column:
-    return F.count_if(c)

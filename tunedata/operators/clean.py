@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import ustrip
@@ -32,6 +32,11 @@ def strip_fields(df: DataFrame) -> DataFrame:
               .withColumn("input", ustrip(F.coalesce(F.col("input").cast("string"), F.lit("")))))
 
 
+def key_hash(keys) -> Column:
+    """16 bytes that stand for the combination of ``keys``."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(k).alias(k) for k in keys]))))
+
+
 def dedup_keep_first(df: DataFrame, keys=("instruction", "output", "input"), order_col: str = "id") -> DataFrame:
     """Keep the first row (smallest ``order_col``) of every key combination.
 
@@ -40,8 +45,7 @@ def dedup_keep_first(df: DataFrame, keys=("instruction", "output", "input"), ord
     table collapses before the shuffle and the wide text never moves; the
     survivors are picked with a semi-join on the (unique) order column.
     """
-    kh = F.unhex(F.md5(F.to_json(F.struct(*[F.col(k).alias(k) for k in keys]))))
-    firsts = df.select(kh.alias("_kh"), order_col).groupBy("_kh").agg(F.min(order_col).alias(order_col))
+    firsts = df.select(key_hash(keys).alias("_kh"), order_col).groupBy("_kh").agg(F.min(order_col).alias(order_col))
     return df.join(firsts.select(order_col), order_col, "left_semi")
 
 
@@ -51,20 +55,20 @@ def clean_instructions(df: DataFrame, mapping: dict[str, str] | None = None,
     return dedup_keep_first(strip_fields(drop_null(map_columns(df, mapping))), order_col=order_col)
 
 
-def cleaning_funnel(df: DataFrame, test_size: float = 0.2, order_col: str = "id") -> DataFrame:
-    """Initial, null-free, duplicates removed, final, train and validation sizes.
+def cleaning_funnel(df: DataFrame, test_size: float = 0.2, keys=("instruction", "output", "input")) -> DataFrame:
+    """Initial, null-free, duplicates removed, final, train and validation sizes, from one read.
 
-    One aggregate over flagged rows instead of a ``count()`` action per stage.
+    Rows are counted per key hash (null: a row that C2 drops) with partial aggregation; the final
+    rows are the hashes that occur, so no row is joined back.
     Validation size follows the two-way split rule ceil(test_size * n).
     """
     m = map_columns(df)
-    flagged = m.withColumn("_nn", F.col("instruction").isNotNull() & F.col("output").isNotNull())
-    kept = dedup_keep_first(strip_fields(flagged.filter("_nn")), order_col=order_col) \
-        .select(order_col, F.lit(True).alias("_kept"))
-    agg = flagged.join(kept, order_col, "left").agg(
-        F.count(F.lit(1)).alias("initial_rows"),
-        F.count_if(F.col("_nn")).alias("null_free_rows"),
-        F.count_if(F.col("_kept")).alias("final_rows"))
+    whole = F.col("instruction").isNotNull() & F.col("output").isNotNull()
+    flagged = strip_fields(m.withColumn("_nn", whole)).select(F.when(F.col("_nn"), key_hash(keys)).alias("_kh"))
+    agg = flagged.groupBy("_kh").agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("initial_rows"),
+        F.coalesce(F.sum(F.when(F.col("_kh").isNotNull(), F.col("_n"))), F.lit(0)).alias("null_free_rows"),
+        F.count("_kh").alias("final_rows"))
     val = F.ceil(F.lit(test_size) * F.col("final_rows")).cast("long")
     return agg.select(
         "initial_rows", "null_free_rows",

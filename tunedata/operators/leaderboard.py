@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import round2, round4
@@ -51,10 +51,12 @@ def leaderboard(entries: DataFrame, checkpoints: DataFrame, per_metric: bool = F
     """All datasets at once; models ranked per dataset (metrics mixed unless ``per_metric``)."""
     part = ["dataset_id", "metric_name"] if per_metric else ["dataset_id"]
     best = best_per_model(normalise(entries), part + ["model_id"])
-    ranked = row_number_in_group(best.withColumn("_nv", -F.col("metric_value")).withColumn("_nr", -F.col("metric_raw")),
-                                 part, ["_nv", "_nr", "model_id"], "rank").drop("_nv", "_nr")
-    if top_k is not None:
-        ranked = ranked.filter(F.col("rank") <= top_k)
+    if top_k is not None:       # Spark trims every partition to the first k before the shuffle
+        w = Window.partitionBy(*part).orderBy(F.col("metric_value").desc(), F.col("metric_raw").desc(), "model_id")
+        ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
+    else:
+        ranked = row_number_in_group(best.withColumn("_nv", -F.col("metric_value")).withColumn("_nr", -F.col("metric_raw")),
+                                     part, ["_nv", "_nr", "model_id"], "rank").drop("_nv", "_nr")
     return enrich(ranked, checkpoints).select(
         *part, "rank", "model_id", "model_name", "base_model",
         *([] if per_metric else ["metric_name"]), "metric_value", "evaluated_at")

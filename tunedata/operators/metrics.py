@@ -78,7 +78,7 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
       bigrams; rouge_l (E3, reference tokens) and rougeL (E4, rouge-score
       tokens): LCS.  Overlaps and LCS lengths come from one Arrow UDF call per
       batch (functions/pairstats.py) -- the only Python step.
-    * exact_match (E5), word_f1 (E6): row expressions.
+    * exact_match (E5), word_f1 (E6, ``array_intersect``): row expressions.
     Token arrays are materialised once as columns and shared by all metrics.
     With ``stems``, the rouge-score tokens are stemmed first (``stem_tokens``).
     ``carry`` columns (e.g. latency, token counts) pass through, so no join back is needed.
@@ -97,7 +97,7 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
     if stems is not None and need_rs:
         staged = stem_tokens(stem_tokens(staged, keys, "_pr", stems), keys, "_rr", stems)
     want = ("bleu1" in metrics, "rouge_l" in metrics, "rouge1" in metrics, "rouge2" in metrics,
-            "rougeL" in metrics, "word_f1" in metrics)
+            "rougeL" in metrics)
     if any(want):
         empty = F.array().cast("array<string>")
         arrays = [F.col(c) if need else empty
@@ -124,12 +124,19 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
         elif m == "rougeL":
             out.append(_lcs_score(F.col("_st.lcs_rs"), F.size("_pr"), F.size("_rr"), False).alias("rougeL"))
         elif m == "word_f1":
-            out.append(word_f1_from_counts(F.col("_st.common_ref"), F.size("_pl"), F.size("_rl")).alias("word_f1"))
+            out.append(word_f1_from_counts(F.size(F.array_intersect("_pl", "_rl")), F.size("_pl"), F.size("_rl")).alias("word_f1"))
         else:
             out.append(F.col(m))
     return staged.select(*keys, *[c for c in carry if c not in keys], *out)
 
 
+def prediction_sheet(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per generation with rounded latency and scores (``pair_scores`` with the texts carried)."""
+    return scored.select(
+        *keys, "prompt", F.col("reference").alias("ground_truth"), "prediction", round2("latency_ms").alias("latency_ms"),
+        F.col("tokens").alias("tokens_generated"), *[round4(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")], "exact_match")
+
+
 def bleu1_pairs(pairs: DataFrame, keys: list[str], pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """E2 per pair: clipped unigram precision, lower-cased, no brevity penalty; empty side -> 0."""
     return pair_scores(pairs, keys, ["bleu1"], pred, ref)

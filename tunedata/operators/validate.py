@@ -6,10 +6,11 @@ One Spark table may hold many datasets; every audit takes an optional
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import WS_CLASS, is_missing, ustrip
+from tunedata.plans.ordered import position_by_stretch
 
 # Severities, the columns an instruction record needs, chat roles,
 # and the texts of the audit issues (printf formats).
@@ -215,8 +216,9 @@ def chat_turn_violations_long(turns: DataFrame, key_col: str, order_col: str = "
                               role_col: str = "role", content_col: str = "text") -> DataFrame:
     """V7 over turn-per-row conversations: the same rules, no conversation array built.
 
-    The turn index is the turn's position; turns are numbered densely from 0.
+    The turn index is the turn's position in the conversation (turn numbers need not be dense).
     """
+    turns = position_by_stretch(turns, [key_col], [order_col], F.floor(F.col(order_col) / 1024), "_index")
     role, content = F.col(role_col), F.col(content_col)
     rec = (turns.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < 2)
            .select(key_col, F.lit("too_few_turns").alias("rule"), F.lit(None).cast("int").alias("turn_index")))
@@ -224,7 +226,7 @@ def chat_turn_violations_long(turns: DataFrame, key_col: str, order_col: str = "
         F.when(role.isNull() | content.isNull(), F.lit("missing_role_or_content")),
         F.when(role.isNotNull() & ~role.isin(*CHAT_ROLES), F.lit("invalid_role")),
         F.when(content.isNotNull() & (ustrip(content) == ""), F.lit("blank_content")))
-    per_turn = turns.select(key_col, F.col(order_col).cast("int").alias("turn_index"),
+    per_turn = turns.select(key_col, F.col("_index").cast("int").alias("turn_index"),
                             F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
     return rec.unionByName(per_turn.select(key_col, "rule", "turn_index"))
 
@@ -239,26 +241,56 @@ def assert_chat_schema(violations: DataFrame, key_col: str) -> None:
 
 
 def chat_text_violations(lines: DataFrame, key_col: str, value_col: str = "value") -> DataFrame:
-    """V7 on raw JSONL text, where ``messages`` may be absent or not even a list.
+    """V7 on raw JSONL text: one row per (record, turn, rule) broken, types as written in the file.
 
-    Each line is parsed as VARIANT; the JSON type of ``$.messages`` separates
-    invalid JSON / absent / non-list before the typed turn checks run.
+    Lines are parsed as VARIANT and nothing is cast: a number or an object is no text content.
+    Rules of a record: ``invalid_json``, ``missing_messages``, ``messages_not_list``, ``too_few_turns``;
+    of a turn: ``turn_not_object``, ``missing_role_or_content`` (a key is absent), ``invalid_role`` (also
+    null), ``content_not_string`` (also null), ``blank_content``.  Blank lines are skipped.
     """
-    v = F.try_parse_json(F.col(value_col))
-    parsed = lines.filter(ustrip(F.col(value_col)) != "").select(key_col, v.alias("_v"))
-    mtype = F.expr("schema_of_variant(variant_get(_v, '$.messages', 'variant'))")
-    typed = parsed.withColumn("_mt", mtype)
+    parsed = lines.filter(ustrip(F.col(value_col)) != "").select(key_col, F.try_parse_json(F.col(value_col)).alias("_v"))
+    parsed = parsed.withColumn("_m", F.expr("try_variant_get(_v, '$.messages', 'variant')"))
+    is_list = F.expr("startswith(schema_of_variant(_m), 'ARRAY')")
+    turns = F.when(is_list, F.expr("try_variant_get(_m, '$', 'array<variant>')"))
+    typed = parsed.select(key_col, "_v", "_m", turns.alias("_turns"))
     record_rule = (F.when(F.col("_v").isNull(), F.lit("invalid_json"))
-                   .when(F.expr("variant_get(_v, '$.messages', 'variant')").isNull(), F.lit("missing_messages"))
-                   .when(~F.col("_mt").startswith("ARRAY"), F.lit("messages_not_list")))
+                   .when(F.col("_m").isNull(), F.lit("missing_messages"))
+                   .when(F.col("_turns").isNull(), F.lit("messages_not_list"))
+                   .when(F.size("_turns") < 2, F.lit("too_few_turns")))
     bad = typed.select(key_col, record_rule.alias("rule"), F.lit(None).cast("int").alias("turn_index")) \
         .filter(F.col("rule").isNotNull())
-    good = typed.filter(record_rule.isNull()).select(
-        key_col, F.expr("try_variant_get(_v, '$.messages', 'array<struct<role string, content string>>')")
-        .alias("messages"))
-    return bad.unionByName(chat_turn_violations(good, key_col, "messages"))
+
+    def kind(path: str) -> Column:
+        return F.expr(f"schema_of_variant(try_variant_get(_t, '{path}', 'variant'))")
+    each = (typed.select(key_col, F.posexplode("_turns").alias("turn_index", "_t"))
+            .select(key_col, "turn_index", F.coalesce(kind("$"), F.lit("VOID")).alias("_kind"), kind("$.role").alias("_role"),
+                    kind("$.content").alias("_content"), F.expr("try_variant_get(_t, '$.role', 'string')").alias("_r"),
+                    F.expr("try_variant_get(_t, '$.content', 'string')").alias("_c")))
+    is_object = F.col("_kind").startswith("OBJECT")
+    no_role = (F.col("_role") != "STRING") | ~F.col("_r").isin(*CHAT_ROLES)
+    rules = F.array(
+        F.when(~is_object, F.lit("turn_not_object")),
+        F.when(is_object & (F.col("_role").isNull() | F.col("_content").isNull()), F.lit("missing_role_or_content")),
+        F.when(is_object & no_role, F.lit("invalid_role")),
+        F.when(is_object & (F.col("_content") != "STRING"), F.lit("content_not_string")),
+        F.when(is_object & (F.col("_content") == "STRING") & (ustrip(F.col("_c")) == ""), F.lit("blank_content")))
+    per_turn = each.select(key_col, "turn_index", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    return bad.unionByName(per_turn.select(key_col, "rule", "turn_index"))
+
+
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """V7: files without a byte below ``path``, from the folder listing (a Spark scan skips such files)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+            found.append((f.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
 
 
 __all__ = ["missing_counts", "duplicate_count", "audit_counts", "validation_issues", "validation_report",
-           "ingest_gate", "require_columns", "chat_turn_violations", "chat_text_violations",
+           "ingest_gate", "require_columns", "chat_turn_violations", "chat_text_violations", "empty_files",
            "row_fingerprint", "WS_CLASS", "is_missing"]

@@ -7,41 +7,54 @@ CTEs for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import WS_RUN, tokens
 from tunedata.operators.catalog import LIFECYCLE
-from tunedata.plans.ordered import neighbour_in_group, row_number_in_group
+from tunedata.plans.ordered import neighbour_by_stretch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sft_pairs(spark: SparkSession, sf_dir: str, dense_turns: bool = True) -> DataFrame:
+def turn_id(turn: str = "turn") -> Column:
+    """Text key of one turn: conversation and turn padded to 20 digits.
+
+    No two turns share a key, however long a conversation is, and keys of numbers from 0 up
+    sort like (conv_id, turn).
+    """
+    return F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 20, "0"), F.lpad(F.col(turn).cast("string"), 20, "0"))
+
+
+def with_next_turn(turns: DataFrame, span: int = 1024) -> DataFrame:
+    """``turns`` with ``next_turn``, ``next_role``, ``next_text`` of the next row in turn order (null at the end).
+
+    Turns need not be dense; no window holds more than ``span`` turns of one conversation.
+    """
+    return neighbour_by_stretch(turns, ["conv_id"], ["turn"], ["turn", "role", "text"], F.floor(F.col("turn") / span))
+
+
+def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn + the assistant's reply (output) + the conversation's system text (input).
 
-    With turns numbered densely per conversation (as in the driver tables), "the
-    next turn" is an equi-join on (conv_id, turn + 1): a unique key, no
-    per-conversation task.  ``dense_turns=False`` takes the next turn in turn
-    order instead (skew-safe ``lead`` through the global rank).
+    The reply is the next row in turn order if an assistant says it; ``reply_id`` is its key.
     """
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return pairs_of(c)
+
+
+def pairs_of(c: DataFrame) -> DataFrame:
+    """``sft_pairs`` of turn rows (conv_id, turn, role, text)."""
     system = (c.filter(F.col("role") == "system").groupBy("conv_id")
               .agg(F.min_by("text", "turn").alias("input")))
-    if dense_turns:
-        nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"),
-                       F.col("role").alias("_nr"), F.col("text").alias("_nt"))
-        with_next = c.filter(F.col("role") == "user").join(nxt, ["conv_id", "turn"], "left")
-    else:
-        led = neighbour_in_group(c, ["conv_id"], ["turn"], ["role", "text"], offset=1, prefix="_n")
-        with_next = (led.filter(F.col("role") == "user")
-                     .withColumnRenamed("_nrole", "_nr").withColumnRenamed("_ntext", "_nt"))
-    return (with_next.join(system, "conv_id", "left")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn",
-                    F.col("text").alias("instruction"), "input",
-                    F.when(F.col("_nr") == "assistant", F.col("_nt")).alias("output")))
+    users = with_next_turn(c).filter(F.col("role") == "user")
+    reply = F.col("next_role") == "assistant"
+    return (users.join(system, "conv_id", "left")
+            .select(turn_id().alias("id"), "conv_id", "turn",
+                    F.col("text").alias("instruction"), "input", F.when(reply, F.col("next_text")).alias("output"),
+                    F.when(reply, turn_id("next_turn")).alias("reply_id")))
 
 
 def sft_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +66,10 @@ def sft_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)").alias("output"))
 
 
+#: the synthetic models of ``predictions``
+MODELS = ("m0", "m1", "m2")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three synthetic models over assistant turns; model m replaces every (5-m)-th word."""
     a = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
@@ -62,12 +79,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                 F.lit("unk")).otherwise(x)), " ")
     n = F.size(tok).cast("long")
     return (a.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn",
+            .select(turn_id().alias("id"), "conv_id", "turn",
                     F.concat(F.lit("m"), m.cast("string")).alias("model_id"),
                     F.coalesce(F.col("text"), F.lit("")).alias("reference"),
                     pred.alias("prediction"),
                     n.alias("tokens"),
                     (100 + 10 * m + (2 + m) * n).cast("long").alias("latency_ms"),
+                    (1000 + 50 * m + 2 * n).cast("long").alias("peak_memory_mb"),
                     (1 + F.col("turn") % 4).cast("long").alias("batch_size")))
 
 
@@ -115,11 +133,11 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    numbered = row_number_in_group(e, ["user_id"], ["ts", "event_id"], "step")
-    return numbered.select(
+    """Log entries of every run; the step is a column of the log (its entry number), not a rank."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
         F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"),
-        F.col("step"), "ts", "event_id",
+        F.col("event_id").alias("step"), "ts", "event_id",
         F.when(F.col("event_type") != "view", F.col("value") / 100).alias("loss"),
         F.when(F.col("event_type") == "view", F.col("value") / 100).alias("eval_loss"))
 
@@ -135,14 +153,11 @@ def param_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    r = row_number_in_group(e, ["user_id"], ["ts", "event_id"], "rn").withColumn("k", F.col("rn") - 1)
-    ordv = (F.when((F.col("event_id") % 11 == 0) & (F.col("k") > 0), (F.col("k") - 1) % 6)
-            .otherwise(F.col("k") % 6)).cast("long")
-    state = F.element_at(F.array(*[F.lit(s) for s in LIFECYCLE]), (F.col("ord") + 1).cast("int"))
-    return (r.withColumn("ord", ordv)
-            .select(F.concat(F.lit("ds"), F.col("user_id").cast("string")).alias("dataset_id"),
-                    "ts", "event_id", F.col("k").alias("seq"), "ord", state.alias("state")))
+    """State changes of datasets (legal and illegal ones); ``event_id`` numbers the log."""
+    e = table(spark, sf_dir, "events")
+    state = F.element_at(F.array(*[F.lit(s) for s in LIFECYCLE]), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select(F.concat(F.lit("ds"), F.col("user_id").cast("string")).alias("dataset_id"),
+                    "ts", "event_id", (F.col("event_id") % 6).cast("long").alias("ord"), state.alias("state"))
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,17 +177,24 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- oracle CTEs
 _WS = WS_RUN
 
+
+def _sql_id(conv: str, turn: str) -> str:
+    return f"lpad(CAST({conv} AS VARCHAR), 20, '0') || ':' || lpad(CAST({turn} AS VARCHAR), 20, '0')"
+
+
 SQL = {
-    "sft_pairs": """
+    "sft_pairs": f"""
 sft_pairs AS (
   WITH t AS (
     SELECT conv_id, turn, role, text,
+           lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx,
            lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
            lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt
     FROM conversations),
   s AS (SELECT conv_id, min_by(text, turn) AS input FROM conversations WHERE role = 'system' GROUP BY conv_id)
-  SELECT t.conv_id * 1000 + t.turn AS id, t.conv_id, t.turn, t.text AS instruction, s.input,
-         CASE WHEN nr = 'assistant' THEN nt END AS output
+  SELECT {_sql_id('t.conv_id', 't.turn')} AS id, t.conv_id, t.turn, t.text AS instruction, s.input,
+         CASE WHEN nr = 'assistant' THEN nt END AS output,
+         CASE WHEN nr = 'assistant' THEN {_sql_id('t.conv_id', 't.nx')} END AS reply_id
   FROM t LEFT JOIN s ON t.conv_id = s.conv_id WHERE role = 'user')""",
     "sft_docs": """
 sft_docs AS (
@@ -181,12 +203,13 @@ sft_docs AS (
   FROM documents)""",
     "predictions": f"""
 predictions AS (
-  SELECT conv_id * 1000 + turn AS id, conv_id, turn, 'm' || CAST(m AS VARCHAR) AS model_id,
+  SELECT {_sql_id('conv_id', 'turn')} AS id, conv_id, turn, 'm' || CAST(m AS VARCHAR) AS model_id,
          coalesce(text, '') AS reference,
          array_to_string(list_transform(tk, lambda x, i: CASE WHEN (i - 1 + turn) % (5 - m) = 0
                                                          THEN 'unk' ELSE x END), ' ') AS prediction,
          CAST(len(tk) AS BIGINT) AS tokens,
          CAST(100 + 10 * m + (2 + m) * len(tk) AS BIGINT) AS latency_ms,
+         CAST(1000 + 50 * m + 2 * len(tk) AS BIGINT) AS peak_memory_mb,
          CAST(1 + turn % 4 AS BIGINT) AS batch_size
   FROM (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '') AS tk
         FROM conversations WHERE role = 'assistant') a
@@ -222,7 +245,7 @@ job_log AS (
     "metric_history": """
 metric_history AS (
   SELECT 'run' || CAST(user_id AS VARCHAR) AS run_id,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, ts, event_id,
+         event_id AS step, ts, event_id,
          CASE WHEN event_type <> 'view' THEN value / 100 END AS loss,
          CASE WHEN event_type = 'view' THEN value / 100 END AS eval_loss
   FROM events)""",
@@ -233,15 +256,10 @@ param_log AS (
   FROM events GROUP BY user_id, event_type)""",
     "lifecycle_log": """
 lifecycle_log AS (
-  WITH r AS (SELECT user_id, ts, event_id,
-                    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
-  n AS (SELECT user_id, ts, event_id, k,
-               CASE WHEN event_id % 11 = 0 AND k > 0 THEN (k - 1) % 6 ELSE k % 6 END AS ord FROM r)
-  SELECT 'ds' || CAST(user_id AS VARCHAR) AS dataset_id, ts, event_id, CAST(k AS BIGINT) AS seq,
-         CAST(ord AS BIGINT) AS ord,
-         CASE ord WHEN 0 THEN 'uploaded' WHEN 1 THEN 'validated' WHEN 2 THEN 'profiled'
-                  WHEN 3 THEN 'split' WHEN 4 THEN 'registered' ELSE 'ready' END AS state
-  FROM n)""",
+  SELECT 'ds' || CAST(user_id AS VARCHAR) AS dataset_id, ts, event_id, CAST(event_id % 6 AS BIGINT) AS ord,
+         CASE event_id % 6 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'validated' WHEN 2 THEN 'profiled'
+                           WHEN 3 THEN 'split' WHEN 4 THEN 'registered' ELSE 'ready' END AS state
+  FROM events)""",
     "conversation_messages": """
 conversation_messages AS (
   SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS messages

@@ -88,6 +88,39 @@ def neighbour_in_group(df: DataFrame, group_cols: list[str], order_cols, value_c
     return joined.drop("_grank", *[f"_ng_{g}" for g in group_cols], *[f"_nv_{v}" for v in value_cols])
 
 
+def neighbour_by_stretch(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
+                         stretch: Column, offset: int = 1, prefix: str = "next_") -> DataFrame:
+    """``lead`` (offset 1) / ``lag`` (offset -1) of ``value_cols`` by a total order, without a global rank.
+
+    ``stretch`` cuts a group into runs of bounded length (it must not decrease along the order, e.g. the
+    hour of a time or ``floor(n / 1024)`` of a number).  The window runs inside a stretch, so a hot group is
+    many small windows; the last row of a stretch gets the edge row of the next stretch that has rows,
+    and only these edge rows (one for each stretch) are ordered per group.  Nothing is checkpointed.
+    """
+    def sort(c) -> Column:
+        return F.col(c).asc() if offset > 0 else F.col(c).desc()
+    cut = df.withColumn("_cut", stretch)
+    w = Window.partitionBy(*group_cols, "_cut").orderBy(*map(sort, order_cols))
+    led = cut.withColumns({"_near": F.lead(F.struct(*value_cols)).over(w), "_edge": F.row_number().over(w) == 1})
+    along = Window.partitionBy(*group_cols).orderBy(sort("_cut"))
+    edges = (led.where("_edge").select(*group_cols, "_cut", F.struct(*value_cols).alias("_far"))
+             .withColumn("_cut", F.lag("_cut").over(along)).where(F.col("_cut").isNotNull()))
+    out = led.join(edges, [*group_cols, "_cut"], "left")
+    near = F.coalesce("_near", "_far")
+    return out.select(*df.columns, *[near[c].alias(prefix + c) for c in value_cols])
+
+
+def position_by_stretch(df: DataFrame, group_cols: list[str], order_cols: list[str], stretch: Column, out_col: str) -> DataFrame:
+    """0-based position of a row in its group; stretches as in ``neighbour_by_stretch``."""
+    cut = df.withColumn("_cut", stretch)
+    w = Window.partitionBy(*group_cols, "_cut").orderBy(*order_cols)
+    sizes = cut.groupBy(*group_cols, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*group_cols).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
+    return (cut.withColumn("_at", F.row_number().over(w) - 1).join(before, [*group_cols, "_cut"])
+            .select(*df.columns, (F.col("_before") + F.col("_at")).cast("long").alias(out_col)))
+
+
 def uniform_key_rank(df: DataFrame, key_col: str, tie_col: str, rank_col: str = "_rank",
                      total_col: str | None = None, buckets: int | None = None) -> DataFrame:
     """Global rank by (``key_col``, ``tie_col``) when ``key_col`` is a uniformly

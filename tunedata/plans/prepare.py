@@ -11,6 +11,7 @@ from tunedata.operators import chat as H
 from tunedata.operators import clean as C
 from tunedata.operators import split as SP
 from tunedata.operators import validate as V
+from tunedata.session import scratch_dir
 from tunedata.sources import files as S
 
 
@@ -33,18 +34,19 @@ def prepare_training_data(spark: SparkSession, raw_csv: str, train_path: str, va
     if _exists(spark, train_path) and _exists(spark, val_path):
         return None
     raw = S.apply_na(S.read_csv(spark, raw_csv))
+    scratch = scratch_dir(spark, "prepare")
     mapped = C.map_columns(raw, columns)                    # C1 + V8 (raises on missing columns)
-    # file order is the row id (a CSV scan is split by byte ranges, so the id is stable on re-reads);
-    # C5 keeps the first row of each key in that order, as the reference does
-    keyed = mapped.withColumn("id", F.monotonically_increasing_id())
-    cleaned = C.clean_instructions(keyed.select("id", "instruction", "input", "output"))
-    split = SP.two_way_split(cleaned, "id", test_size=test_size, seed=seed)
-    chat = H.chat_messages(split, system_prompt)
+    # parsed once: the row id (position in the scan) is written with the rows and stays as it is;
+    # C5 keeps the first row of each key in that order
+    mapped.select(F.monotonically_increasing_id().alias("id"), "instruction", "input", "output").write.parquet(f"{scratch}/parsed")
+    keyed = spark.read.parquet(f"{scratch}/parsed")
+    split = SP.two_way_split(C.clean_instructions(keyed), "id", test_size=test_size, seed=seed)
+    H.chat_messages(split, system_prompt).select("split", "messages").write.partitionBy("split").parquet(f"{scratch}/chat")
+    chat = spark.read.schema("messages array<struct<role string, content string>>, split string").parquet(f"{scratch}/chat")
     for name, path in (("train", train_path), ("validation", val_path)):
         # both outputs are (re)written together; the skip above is the idempotency check
         S.write_jsonl(chat.filter(F.col("split") == name).select("messages"), path, mode="overwrite")
         audit_chat_jsonl(spark, path)
-    return C.cleaning_funnel(keyed.select("id", "instruction", "input", "output"), test_size=test_size).first() \
-        .asDict()
+    return C.cleaning_funnel(keyed, test_size=test_size).first().asDict()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import estimate_tokens, word_count
@@ -9,6 +10,7 @@ from tunedata.operators import profile as P
 from tunedata.operators import validate as V
 from tunedata.plans import fixtures as X
 from tunedata.plans.registry import query
+from tunedata.session import scratch_dir
 from tunedata.plans.sqlfrag import est, missing, rnd, strip, toks
 
 
@@ -173,6 +175,58 @@ def q_chat_schema_audit_records(spark, d):
     return V.chat_turn_violations(X.conversation_messages(spark, d), "conv_id")
 
 
+#: one broken record of each kind by conv_id % 20: (text put in place of the messages, or turn added to them; rule)
+_BROKEN_RECORDS = {0: ('{"messages": [', "invalid_json"), 1: ('{"turns": []}', "missing_messages"),
+                   2: ('{"messages": null}', "messages_not_list"), 3: ('{"messages": {"role": "user"}}', "messages_not_list"),
+                   4: ('{"messages": []}', "too_few_turns"),
+                   5: ('{"messages": [{"role": "user", "content": "alone"}]}', "too_few_turns")}
+_BROKEN_TURNS = {6: ("7", "turn_not_object"), 7: ("null", "turn_not_object"), 8: ('{"role": "user"}', "missing_role_or_content"),
+                 9: ('{"role": "tool", "content": "x"}', "invalid_role"), 10: ('{"role": null, "content": "x"}', "invalid_role"),
+                 11: ('{"role": "user", "content": 42}', "content_not_string"),
+                 12: ('{"role": "user", "content": {"t": 1}}', "content_not_string"),
+                 13: ('{"role": "user", "content": null}', "content_not_string"),
+                 14: ('{"role": "user", "content": " \\t"}', "blank_content")}
+
+
+def _cases(cases: dict) -> str:
+    return "CASE conv_id % 20 " + " ".join(f"WHEN {k} THEN '{rule}'" for k, (_, rule) in cases.items()) + " END"
+
+
+@query("chat_raw_audit", sql=f"""
+WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index,
+                  role, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+c AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id),
+k AS (SELECT * FROM t WHERE conv_id % 20 > 5 AND n + (conv_id % 20 < 15)::INT >= 2)
+SELECT conv_id, {_cases(_BROKEN_RECORDS)} AS rule, CAST(NULL AS INTEGER) AS turn_index FROM c WHERE conv_id % 20 <= 5
+UNION ALL SELECT conv_id, 'too_few_turns', NULL FROM c WHERE conv_id % 20 >= 15 AND n < 2
+UNION ALL SELECT conv_id, {_cases(_BROKEN_TURNS)}, n FROM c WHERE conv_id % 20 BETWEEN 6 AND 14
+UNION ALL SELECT conv_id, 'missing_role_or_content', turn_index FROM k WHERE role IS NULL OR text IS NULL
+UNION ALL SELECT conv_id, 'invalid_role', turn_index FROM k WHERE role NOT IN ('system', 'user', 'assistant')
+UNION ALL SELECT conv_id, 'blank_content', turn_index FROM k WHERE {strip('text')} = ''
+UNION ALL SELECT NULL, 'empty_file', NULL""")
+def q_chat_raw_audit(spark, d):
+    """V7, V9 on raw JSONL files: one line per conversation, most with one fault, and an empty file."""
+    kind = F.col("conv_id") % 20
+
+    def case(cases: dict) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k, (text, _) in cases.items() for x in (k, text)]), kind.cast("int"))
+    messages = F.to_json("messages")
+    added = F.concat(F.expr("substr(_m, 1, length(_m) - 1)"), F.lit(","), case(_BROKEN_TURNS), F.lit("]"))
+    lines = X.conversation_messages(spark, d).withColumn("_m", messages)
+    whole = F.concat(F.lit('{"messages": '), F.coalesce(added, F.col("_m")), F.lit("}"))
+    lines = lines.select(F.concat(F.col("conv_id").cast("string"), F.lit("\t"), F.coalesce(case(_BROKEN_RECORDS), whole)).alias("value"))
+    path = scratch_dir(spark, "chat-raw")
+    lines.write.text(f"{path}/records")
+    lines.limit(0).coalesce(1).write.text(f"{path}/empty")
+    raw = spark.read.text(f"{path}/records").where("value <> ''")
+    keyed = raw.select(F.expr("substr(value, 1, instr(value, '\t') - 1)").cast("long").alias("conv_id"),
+                       F.expr("substr(value, instr(value, '\t') + 1)").alias("value"))
+    broken = V.chat_text_violations(keyed, "conv_id")
+    empty = V.empty_files(spark, f"{path}/empty").select(F.lit(None).cast("long").alias("conv_id"), F.lit("empty_file").alias("rule"),
+                                                         F.lit(None).cast("int").alias("turn_index"))
+    return broken.unionByName(empty)
+
+
 # ------------------------------------------------------------------- profiling
 _PROMPT = strip("coalesce(instruction, '') || ' ' || coalesce(input, '')")
 

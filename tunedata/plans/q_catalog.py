@@ -51,7 +51,7 @@ def q_lookup_semi(spark, d):
 
 @query("list_recent", ctes=("job_log",), sql=f"""
 WITH {_LATEST_JOBS}
-SELECT *, row_number() OVER (ORDER BY ts DESC, job_id) - 1 AS pos FROM lj""")
+SELECT * FROM lj""")
 def q_list_recent(spark, d):
     return R.list_recent(latest_jobs(spark, d), "ts", "job_id")
 
@@ -180,16 +180,17 @@ SELECT dataset_id, count(*) AS n_events, CAST(count_if(transition = 'forward') A
 FROM t GROUP BY dataset_id"""
 
 
-@query("lifecycle_audit", ctes=("lifecycle_log",), sql=_LIFECYCLE_SQL)
+@query("lifecycle_audit", ctes=("lifecycle_log",), sql=_LIFECYCLE_SQL.replace("ORDER BY ts, event_id", "ORDER BY event_id")
+       .replace("(ts, event_id)", "event_id"))
 def q_lifecycle_audit(spark, d):
-    """R11 over a log with a per-dataset sequence number (lag = equi-join on seq - 1)."""
-    return R.lifecycle_audit(X.lifecycle_log(spark, d), seq_col="seq")
+    """R11 over a log with a sequence number."""
+    return R.lifecycle_audit(X.lifecycle_log(spark, d), seq_col="event_id")
 
 
 @query("lifecycle_audit_by_time", ctes=("lifecycle_log",), sql=_LIFECYCLE_SQL)
 def q_lifecycle_audit_by_time(spark, d):
-    """R11 over a log ordered only by time (skew-safe lag through the global rank)."""
-    return R.lifecycle_audit(X.lifecycle_log(spark, d).drop("seq"))
+    """R11 over a log ordered only by time."""
+    return R.lifecycle_audit(X.lifecycle_log(spark, d))
 
 
 _PROGRESS = """

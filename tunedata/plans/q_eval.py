@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tunedata.functions.text import round4
+from tunedata.functions.text import rouge_tokens, round4
 from tunedata.operators import leaderboard as L
 from tunedata.operators import metrics as M
 from tunedata.plans import fixtures as X
-from tunedata.plans.ordered import global_rank
-from tunedata.plans.registry import query
+from tunedata.plans.registry import ORACLE, query
+from tunedata.session import scratch_dir
+from tunedata.sources import files as S
 from tunedata.plans.sqlfrag import lcs, rnd, rouge_toks, strip, toks
 
 KEYS = ["id", "model_id"]
+#: word ends taken off by the stem table of ``rouge_stems`` (any stemmer's table will do)
+SUFFIX = "(ing|ed|es|s|o|a|e)$"
 HOURLY_COST = 0.35   # price of one inference host hour used by perf_matrix (a parameter)
 
 
@@ -43,9 +46,13 @@ bl AS (SELECT id, model_id, CASE WHEN n_pred = 0 OR n_ref = 0 THEN 0.0
 _F_SQL = ("CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END")
 
 
-def _rouge_n_sql(n: int) -> str:
+def _stemmed(x: str) -> str:
+    return f"list_transform({x}, lambda w: CASE WHEN length(w) >= 4 THEN regexp_replace(w, '{SUFFIX}', '') ELSE w END)"
+
+
+def _rouge_n_sql(n: int, shape=str) -> str:
     # tokens first (a column), then the n-grams read that column
-    src = (f"(SELECT id, model_id, {rouge_toks('prediction')} AS tp, {rouge_toks('reference')} AS tr "
+    src = (f"(SELECT id, model_id, {shape(rouge_toks('prediction'))} AS tp, {shape(rouge_toks('reference'))} AS tr "
            f"FROM predictions)")
     rp, rr = ("tp", "tr") if n == 1 else (_bigrams("tp"), _bigrams("tr"))
     return f"""WITH {_overlap_sql(rp, rr, src)},
@@ -95,11 +102,11 @@ ps AS (SELECT p.id, p.model_id, b.bleu1, rl.rouge_l, r1.rouge1, r2.rouge2, rs.ro
 # --------------------------------------------------------------------- pairing
 @query("pair_predictions", ctes=("sft_pairs", "predictions"), sql="""
 SELECT s.id AS sample_id, p.model_id, coalesce(s.output, '') AS reference, coalesce(p.prediction, '') AS prediction
-FROM sft_pairs s LEFT JOIN predictions p ON s.id + 1 = p.id""")
+FROM sft_pairs s LEFT JOIN predictions p ON s.reply_id = p.id""")
 def q_pair_predictions(spark, d):
-    samples = X.sft_pairs(spark, d).select(F.col("id").alias("sample_id"), F.col("output").alias("reference"))
-    p = preds(spark, d).select((F.col("id") - 1).alias("sample_id"), "model_id", "prediction")
-    return M.pair_predictions(samples, p, ["sample_id"]).select("sample_id", "model_id", "reference", "prediction")
+    samples = X.sft_pairs(spark, d).select(F.col("id").alias("sample_id"), "reply_id", F.col("output").alias("reference"))
+    p = preds(spark, d).select(F.col("id").alias("reply_id"), "model_id", "prediction")
+    return M.pair_predictions(samples, p, ["reply_id"]).select("sample_id", "model_id", "reference", "prediction")
 
 
 # --------------------------------------------------------------------- metrics
@@ -305,17 +312,68 @@ def q_report_preview(spark, d):
                     M.preview_text("prediction").alias("prediction_preview"))
 
 
+@query("rouge_stems", ctes=("predictions",), sql=f"""
+WITH r1 AS ({_rouge_n_sql(1, _stemmed)} SELECT * FROM rn), r2 AS ({_rouge_n_sql(2, _stemmed)} SELECT * FROM rn)
+SELECT id, model_id, rouge1, rouge2 FROM r1 JOIN r2 USING (id, model_id)""")
+def q_rouge_stems(spark, d):
+    """E4 with stems: tokens of four and more characters go through a stem table of the vocabulary."""
+    p = preds(spark, d)
+    words = p.select(F.explode(F.array_union(rouge_tokens("prediction"), rouge_tokens("reference"))).alias("token")).distinct()
+    stems = words.where(F.length("token") >= 4).select("token", F.regexp_replace("token", SUFFIX, "").alias("stem"))
+    return M.pair_scores(p, KEYS, ["rouge1", "rouge2"], stems=stems)
+
+
+@query("prediction_sheet", ctes=("sft_pairs", "predictions"), sql=_PAIR_SQL_CTES + f""",
+sh AS (SELECT p.id, p.model_id, coalesce(s.instruction, '') AS prompt, p.reference AS ground_truth, p.prediction
+       FROM predictions p LEFT JOIN sft_pairs s ON p.id = s.reply_id)
+SELECT id, model_id, prompt, ground_truth, prediction, CAST(latency_ms AS DOUBLE) AS latency_ms, tokens AS tokens_generated,
+       {rnd('rouge1', 4)} AS rouge1, {rnd('rouge2', 4)} AS rouge2, {rnd('rougeL', 4)} AS "rougeL", exact_match
+FROM ps JOIN sh USING (id, model_id)""")
+def q_prediction_sheet(spark, d):
+    """The sheet of scored generations (prompt, truth, prediction, latency, tokens, scores), written as CSV and read back."""
+    prompts = X.sft_pairs(spark, d).where("reply_id is not null").select(F.col("reply_id").alias("id"), "instruction")
+    p = preds(spark, d).join(prompts, "id", "left").withColumn("prompt", F.coalesce("instruction", F.lit("")))
+    carry = ("prompt", "reference", "prediction", "latency_ms", "tokens")
+    scored = M.pair_scores(p, KEYS, ["rouge1", "rouge2", "rougeL", "exact_match"], carry=carry)
+    path = scratch_dir(spark, "prediction-sheet")
+    S.write_csv(M.prediction_sheet(scored, KEYS), path)
+    kinds = {"tokens_generated": "long", **{c: "double" for c in ("latency_ms", "rouge1", "rouge2", "rougeL", "exact_match")}}
+    back = S.read_csv(spark, path)
+    return back.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in back.columns])
+
+
+@query("aggregate_json")
+def q_aggregate_json(spark, d):
+    """The aggregates of every run as JSON, written and read back."""
+    out = q_run_aggregates(spark, d)
+    path = scratch_dir(spark, "aggregate-json")
+    S.write_jsonl(out, path)
+    return spark.read.schema(out.schema).json(path)
+
+
+ORACLE["aggregate_json"] = ORACLE["run_aggregates"]
+
+
 @query("report_samples", ctes=("sft_pairs", "predictions"), sql="""
-SELECT 'eval_' || p.model_id AS evaluation_id, p.id, s.instruction, coalesce(s.input, '') AS input,
-       p.reference, p.prediction
-FROM predictions p JOIN sft_pairs s ON s.id + 1 = p.id""")
+SELECT 'eval_' || m.model_id AS evaluation_id, s.id, coalesce(s.instruction, '') AS instruction, coalesce(s.input, '') AS input,
+       coalesce(s.output, '') AS reference, coalesce(p.prediction, '') AS prediction
+FROM (SELECT *, unnest(['m0', 'm1', 'm2']) AS model_id FROM sft_pairs) s
+JOIN (SELECT unnest(['m0', 'm1', 'm2']) AS model_id) m ON s.model_id = m.model_id
+LEFT JOIN predictions p ON s.reply_id = p.id AND s.model_id = p.model_id""")
 def q_report_samples(spark, d):
-    """Per-sample report rows keyed by evaluation id (written partitioned, never collected)."""
-    s = X.sft_pairs(spark, d).select((F.col("id") + 1).alias("id"), "instruction", "input")
-    p = preds(spark, d)
-    return p.join(s, "id").select(F.concat(F.lit("eval_"), F.col("model_id")).alias("evaluation_id"), "id",
-                                  "instruction", F.coalesce("input", F.lit("")).alias("input"),
-                                  "reference", "prediction")
+    """A report row for every sample of every evaluation (no prediction: ''), written in one folder
+    per evaluation id and read back."""
+    samples = X.sft_pairs(spark, d).select(
+        "id", "reply_id", "instruction", "input", F.col("output").alias("reference"),
+        F.explode(F.array(*[F.lit(m) for m in X.MODELS])).alias("model_id"))
+    p = preds(spark, d).select(F.col("id").alias("reply_id"), "model_id", "prediction")
+    rows = M.pair_predictions(samples, p, ["reply_id", "model_id"])
+    path = scratch_dir(spark, "report-samples")
+    out = rows.select(F.concat(F.lit("eval_"), F.col("model_id")).alias("evaluation_id"), "id",
+                      *[F.coalesce(c, F.lit("")).alias(c) for c in ("instruction", "input")], "reference", "prediction")
+    S.write_jsonl(out, path, ["evaluation_id"])
+    back = spark.read.schema("evaluation_id string, id string, instruction string, input string, reference string, prediction string").json(path)
+    return back.select(*out.columns)
 
 
 # ------------------------------------------------------------------ leaderboard
@@ -334,13 +392,12 @@ lb AS (SELECT r.dataset_id, CAST(r.rank AS BIGINT) AS rank, r.model_id,
 
 
 @query("leaderboard_entries", ctes=("bench_results",), sql="""
-SELECT benchmark_id, model_id, metric_name, metric_value, evaluated_at,
-       row_number() OVER (ORDER BY metric_value DESC, benchmark_id) - 1 AS pos
+SELECT benchmark_id, model_id, metric_name, metric_value, evaluated_at
 FROM bench_results WHERE dataset_id = 'd0'""")
 def q_leaderboard_entries(spark, d):
-    """L1: entries of one dataset, best first (position by a skew-safe global rank)."""
+    """L1: entries of one dataset, best first (a range sort; no position column)."""
     e = X.bench_results(spark, d).filter(F.col("dataset_id") == "d0").drop("dataset_id")
-    return global_rank(e.withColumn("_nv", -F.col("metric_value")), ["_nv", "benchmark_id"], "pos").drop("_nv")
+    return e.orderBy(F.col("metric_value").desc(), "benchmark_id")
 
 
 @query("leaderboard_enriched", ctes=("bench_results", "checkpoints"), sql="""
@@ -372,9 +429,10 @@ def q_leaderboard_per_metric(spark, d):
 
 @query("perf_matrix", ctes=("predictions",), sql=f"""
 WITH s AS (SELECT model_id, avg(CAST(latency_ms AS DOUBLE)) AS lat,
-                  sum(CAST(tokens AS DOUBLE)) / (sum(CAST(latency_ms AS DOUBLE)) / 1000) AS tps
+                  sum(CAST(tokens AS DOUBLE)) / (sum(CAST(latency_ms AS DOUBLE)) / 1000) AS tps,
+                  max(peak_memory_mb) AS peak_memory_mb
            FROM predictions GROUP BY model_id)
-SELECT model_id, {rnd('lat', 2)} AS avg_latency_ms, {rnd('tps', 2)} AS tokens_per_sec,
+SELECT model_id, peak_memory_mb, {rnd('lat', 2)} AS avg_latency_ms, {rnd('tps', 2)} AS tokens_per_sec,
        {rnd(f'CAST({HOURLY_COST} AS DOUBLE) / 3600 / tps * 1000000', 4)} AS cost_per_1m_tokens FROM s""")
 def q_perf_matrix(spark, d):
     return L.perf_matrix(preds(spark, d), HOURLY_COST)

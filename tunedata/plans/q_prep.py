@@ -50,7 +50,7 @@ def clean_docs(spark, d):
 
 
 def clean_pairs(spark, d):
-    return C.clean_instructions(X.sft_pairs(spark, d).drop("conv_id", "turn"))
+    return C.clean_instructions(X.sft_pairs(spark, d).drop("conv_id", "turn", "reply_id"))
 
 
 # -------------------------------------------------------------------- cleaning

@@ -23,8 +23,13 @@ def est(x: str) -> str:
 
 
 def rnd(x: str, d: int) -> str:
-    s = float(10 ** d)
-    return f"(CAST(floor(CAST({x} AS DOUBLE) * {s} + 0.5) AS DOUBLE) / {s})"
+    """Python's ``round(x, d)``; see ``functions.text.round_exact``."""
+    s, v, split = f"CAST({10 ** d} AS DOUBLE)", f"CAST({x} AS DOUBLE)", "CAST(134217729 AS DOUBLE)"
+    low, head = f"floor({v} * {s})", f"({v} * {split} - ({v} * {split} - {v}))"
+    error = f"(({head} * {s} - {v} * {s}) + ({v} - {head}) * {s})"
+    up = (f"CASE WHEN {v} * {s} - {low} > 0.5 THEN 1 WHEN {v} * {s} - {low} < 0.5 THEN 0 "
+          f"WHEN {error} > 0 THEN 1 WHEN {error} < 0 THEN 0 ELSE abs({low} % 2) END")
+    return f"(({low} + ({up})) / {s})"
 
 
 def rouge_toks(x: str) -> str:
