@@ -34,6 +34,9 @@ def test_no_rank_where_none_is_asked(spark, name):
 def test_one_read(spark):
     plan = E.queries()["cleaning_funnel"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+    for name in ("validation_report", "ingest_registry"):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1, name
     plan = E.queries()["leaderboard_topk"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 

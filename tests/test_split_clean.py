@@ -130,3 +130,31 @@ def test_hash_split_is_stable_and_near_ratio(spark):
     assert abs(frac["train"] - 0.8) < 0.02 and abs(frac["validation"] - 0.1) < 0.02
     b = S.hash_split(df.repartition(7), "id")
     assert S.split_overlap(S.hash_split(df, "id"), b).count() == 0
+
+
+def test_records_split_with_a_hot_record(spark):
+    """One record in half of the rows: exact sizes, the same rows, the same split for any partitioning, no hot partition."""
+    from collections import Counter
+    from pyspark.sql import functions as F
+    df = spark.range(40000).select(F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.concat(F.lit("r"), "id")).alias("text"),
+                                   F.when(F.col("id") % 2 == 1, F.col("id")).alias("n"))
+    out = S.split_records(df, 0.7, 0.2, 0.1, block=100)
+    rows = [tuple(r) for r in out.collect()]
+    assert Counter(s for *_, s in rows) == {"train": 28000, "validation": 8000, "test": 4000}
+    assert Counter((t, n) for t, n, _ in rows) == Counter(tuple(r) for r in df.collect())
+    again = S.split_records(df.repartition(7), 0.7, 0.2, 0.1, block=33)
+    assert Counter(rows) == Counter(tuple(r) for r in again.collect())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in S.split_records(df, 0.7, 0.2, 0.1, block=100).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) <= 2 * sum(sizes) / 4
+    assert S.split_records(df.limit(0)).count() == 0
+
+
+def test_csv_can_be_split_by_bytes(spark, tmp_dir):
+    from tunedata.sources import files as FS
+    df = spark.range(50).selectExpr("cast(id as string) a", "concat('x \"', id, '\", y') b")
+    FS.write_csv(df, tmp_dir + "/c")
+    assert sorted(FS.read_csv(spark, tmp_dir + "/c", multi_line=False).collect()) == sorted(df.collect())

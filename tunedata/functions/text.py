@@ -80,19 +80,6 @@ def estimate_tokens(col) -> Column:
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(est)
 
 
-def ngram_array(tok: Column, n: int) -> Column:
-    """All contiguous n-grams of a token array (joined by one space); empty if too short."""
-    if n == 1:
-        return tok
-    if n == 2:
-        grams = F.transform(F.sequence(F.lit(0), F.size(tok) - 2),
-                            lambda i: F.concat(F.get(tok, i), F.lit(" "), F.get(tok, i + 1)))
-    else:
-        grams = F.transform(F.sequence(F.lit(0), F.size(tok) - n),
-                            lambda i: F.array_join(F.slice(tok, i + 1, n), " "))
-    return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
 def round_exact(col, digits: int) -> Column:
     """Python's ``round(x, digits)``: the decimal nearest to the binary value, real ties to even.
 

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunedata.functions.text import estimate_tokens, is_missing, round2, ustrip
-from tunedata.operators.validate import REQUIRED_FIELDS, ERROR, _col_or_null, fingerprint_stats, issues_from_counts
+from tunedata.operators.validate import REQUIRED_FIELDS, ERROR, _col_or_null, fingerprint_stats, issue_array, issues_of
 
 
 def _text(df: DataFrame, name: str) -> Column:
-    # the reference's ``str(record.get(name) or "")``
-    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
+    """The value as text; missing, zero and false values are '' (as ``str(value or "")``)."""
+    if name not in df.columns:
+        return F.lit("")
+    c, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        c = F.when(c, c)
+    elif isinstance(kind, T.NumericType):
+        c = F.when(c != 0, c)
+    return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def prompt_text(df: DataFrame) -> Column:
@@ -67,11 +75,6 @@ def profile_lengths(df: DataFrame, dataset_col: str | None = None) -> DataFrame:
         round2(F.sum(F.length(r)).cast("double") / F.count(F.lit(1))).alias("avg_response_length"))
 
 
-def token_estimates(df: DataFrame, key_col: str, text_cols: list[str]) -> DataFrame:
-    """P6 per row: estimated tokens of each text column."""
-    return df.select(key_col, *[estimate_tokens(c).alias(f"{c}_tokens") for c in text_cols])
-
-
 def audit_and_profile(df: DataFrame, dataset_col: str) -> DataFrame:
     """V6 + P8 for every dataset from ONE fingerprint pipeline (one scan, one shuffle of 16-byte
     fingerprints): missing counts, duplicates, validity, lengths and token estimate together."""
@@ -82,11 +85,9 @@ def audit_and_profile(df: DataFrame, dataset_col: str) -> DataFrame:
         "_tok": (estimate_tokens(p) + estimate_tokens(r)).cast("long")})
     present = set(df.columns)
     counts = st.select("*", *[F.lit(f in present).alias(f"has_{f}") for f in REQUIRED_FIELDS])
-    errors = (issues_from_counts(counts, dataset_col).filter(F.col("severity") == ERROR)
-              .groupBy(dataset_col).agg(F.count(F.lit(1)).alias("_errors")))
     n = F.col("n_rows")
-    return counts.join(errors, dataset_col, "left").select(
-        dataset_col, (F.coalesce(F.col("_errors"), F.lit(0)) == 0).alias("is_valid"),
+    return counts.withColumn("issues", issue_array()).select(
+        dataset_col, (issues_of(ERROR) == 0).alias("is_valid"),
         n.alias("rows_count"), F.col("duplicate_count"),
         *[F.col(c).cast("long").alias(c) for c in flags],
         F.when(n > 0, round2(F.col("_pc").cast("double") / n)).otherwise(0.0).alias("avg_prompt_length"),

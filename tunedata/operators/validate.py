@@ -113,12 +113,11 @@ def _issue(sev: Column, msg: Column, field: str) -> Column:
     return F.struct(sev.alias("severity"), msg.alias("message"), F.lit(field).alias("affected_field"))
 
 
-def issues_from_counts(counts: DataFrame, dataset_col: str | None = None) -> DataFrame:
-    """V1, V2, V5: severity rules as an exploded array of issue structs.
+def issue_array() -> Column:
+    """V1, V2, V5: the issues of one dataset as an array, from its counts (``audit_counts``).
 
     Empty dataset -> one ERROR and nothing else (the reference returns early).
     """
-    keys = [dataset_col] if dataset_col else []
     n = F.col("n_rows")
 
     def level(missing: str) -> Column:
@@ -138,8 +137,19 @@ def issues_from_counts(counts: DataFrame, dataset_col: str | None = None) -> Dat
             MSG_MISSING_INPUT, F.col("missing_input")), "input")),
     ]
     empty = F.array(_issue(F.lit(ERROR), F.lit(MSG_EMPTY), "records"))
-    all_issues = F.when(F.coalesce(n, F.lit(0)) == 0, empty).otherwise(
+    return F.when(F.coalesce(n, F.lit(0)) == 0, empty).otherwise(
         F.filter(F.array(*header_issues, *row_issues), lambda x: x.isNotNull()))
+
+
+def issues_of(severity: str) -> Column:
+    """Number of issues of one severity in the array ``issues``."""
+    return F.size(F.filter("issues", lambda x: x["severity"] == severity)).cast("long")
+
+
+def issues_from_counts(counts: DataFrame, dataset_col: str | None = None) -> DataFrame:
+    """The issues as rows."""
+    keys = [dataset_col] if dataset_col else []
+    all_issues = issue_array()
     return (counts.select(*keys, F.posexplode(all_issues).alias("issue_no", "issue"))
             .select(*keys, "issue_no", "issue.severity", "issue.message", "issue.affected_field"))
 
@@ -161,16 +171,9 @@ def validation_report(df: DataFrame, dataset_col: str | None = None,
     counts = audit_counts(df.withColumn("_ds", F.lit("dataset")) if dataset_col is None else df, g)
     if catalog is not None and dataset_col:
         counts = catalog.select(dataset_col).distinct().join(counts, dataset_col, "left")
-    issues = issues_from_counts(counts, g)
-    per = issues.groupBy(g).agg(
-        F.count(F.lit(1)).alias("n_issues"),
-        F.count_if(F.col("severity") == ERROR).alias("n_errors"),
-        F.count_if(F.col("severity") == WARNING).alias("n_warnings"),
-        F.count_if(F.col("severity") == INFO).alias("n_info"))
-    out = counts.select(g).join(per, g, "left").select(
-        g, (F.coalesce(F.col("n_errors"), F.lit(0)) == 0).alias("is_valid"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-          for c in ("n_issues", "n_errors", "n_warnings", "n_info")])
+    marked = counts.select(g, issue_array().alias("issues"))
+    out = marked.select(g, (issues_of(ERROR) == 0).alias("is_valid"), F.size("issues").cast("long").alias("n_issues"),
+                        issues_of(ERROR).alias("n_errors"), issues_of(WARNING).alias("n_warnings"), issues_of(INFO).alias("n_info"))
     return out.drop("_ds") if dataset_col is None else out
 
 

@@ -29,11 +29,13 @@ class DatasetNotReadyError(LookupError):
 
 def load_eval_split(spark: SparkSession, processed_path: str) -> DataFrame:
     """The validation set if the dataset has one, else train; error if neither."""
-    df = spark.read.json(processed_path)
-    choice = S.eval_split_choice(df.select(F.lit("d").alias("dataset_id"), "split").distinct()).first()
-    if choice is None or choice["eval_split"] is None:
-        raise DatasetNotReadyError(f"no validation or train split under {processed_path}")
-    return df.filter(F.col("split") == choice["eval_split"]).drop("split")
+    for name in ("validation", "train"):
+        path = f"{processed_path.rstrip('/')}/split={name}"
+        if S.path_exists(spark, path):                     # the other splits are neither listed nor read
+            rows = spark.read.json(path)
+            if rows.columns and not rows.isEmpty():
+                return rows
+    raise DatasetNotReadyError(f"no validation or train split under {processed_path}")
 
 
 def evaluate(spark: SparkSession, evaluation_id: str, model_id: str, dataset_id: str, task_type: str,

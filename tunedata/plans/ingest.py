@@ -14,12 +14,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tunedata.operators import catalog as R
 from tunedata.operators import profile as P
 from tunedata.operators import split as SP
 from tunedata.operators import validate as V
+from tunedata.session import scratch_dir
 from tunedata.sources import files as S
 
 REGISTRY_SCHEMA = ("dataset_id string, dataset_name string, source string, lifecycle_state string, version long, "
@@ -32,21 +32,18 @@ class DatasetValidationError(ValueError):
 
 
 def dataset_hash(spark: SparkSession, path: str) -> str:
-    """SHA-256 of the file bytes; several files hash the sorted list of file hashes."""
-    h = S.file_hashes(spark, path).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("content_hash")), ","), 256).alias("h"),
-        F.count(F.lit(1)).alias("n"), F.first("content_hash").alias("one")).first()
-    if h is None or h["n"] == 0:
+    """SHA-256 of the file bytes; several files combine their hashes (``combined_hash``)."""
+    h = S.combined_hash(S.file_hashes(spark, path)).first()
+    if h["n"] == 0:
         raise FileNotFoundError(path)
     return h["one"] if h["n"] == 1 else h["h"]
 
 
 def current_states(spark: SparkSession, registry_path: str) -> DataFrame:
     """Latest registry version per dataset."""
-    try:
-        reg = spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
-    except AnalysisException:
+    if not S.path_exists(spark, registry_path):
         return spark.createDataFrame([], REGISTRY_SCHEMA)
+    reg = spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
     return R.latest_per_key(reg, ["dataset_id"], ["version"])
 
 
@@ -71,6 +68,10 @@ def ingest_dataset(spark: SparkSession, path: str, ext: str, dataset_name: str,
 
     log("uploaded")
     records = S.load_dataset(spark, path, ext)
+    if records.columns:                                   # parsed once; the steps below read the parsed rows
+        parsed = scratch_dir(spark, "ingest")
+        records.write.parquet(parsed)
+        records = spark.read.schema(records.schema).parquet(parsed)
     report = V.validation_report(records).first()
     log("validated", is_valid=bool(report["is_valid"]), n_issues=int(report["n_issues"]))
     if not report["is_valid"]:                                               # V10 gate
@@ -79,9 +80,7 @@ def ingest_dataset(spark: SparkSession, path: str, ext: str, dataset_name: str,
     prof = P.profile(records).first()
     log("profiled", rows_count=int(prof["rows_count"]), estimated_tokens=int(prof["estimated_tokens"]))
 
-    # the record's own content is its id for the seeded order (identical records are interchangeable)
-    keyed = records.withColumn("_id", F.sha2(F.to_json(F.struct(*records.columns)), 256))
-    split = SP.three_way_split(keyed, "_id", *ratios, seed=seed).drop("_id")
+    split = SP.split_records(records, *ratios, seed=seed)
     out = f"{out_root.rstrip('/')}/{dataset_id}"
     S.write_jsonl(split, out, partition_by=["split"])
     n = int(prof["rows_count"])

@@ -122,7 +122,8 @@ def position_by_stretch(df: DataFrame, group_cols: list[str], order_cols: list[s
 
 
 def uniform_key_rank(df: DataFrame, key_col: str, tie_col: str, rank_col: str = "_rank",
-                     total_col: str | None = None, buckets: int | None = None) -> DataFrame:
+                     total_col: str | None = None, buckets: int | None = None,
+                     weight_col: str | None = None) -> DataFrame:
     """Global rank by (``key_col``, ``tie_col``) when ``key_col`` is a uniformly
     distributed lowercase hex string (an md5 digest).
 
@@ -130,15 +131,16 @@ def uniform_key_rank(df: DataFrame, key_col: str, tie_col: str, rank_col: str =
     so buckets are balanced without sampling, every expression is
     deterministic (no checkpoint needed), and the rank inside a bucket is a
     window over one balanced bucket.  Bucket offsets are a B-row table
-    (broadcast, a proven bound).
+    (broadcast, a proven bound).  With ``weight_col`` a row takes that many places and gets its first.
     """
     spark = df.sparkSession
+    size = F.col(weight_col) if weight_col else F.lit(1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a few buckets per partition smooths the load; the result depends only on bucket values
     b = buckets or 4 * parts
     bucket = (F.conv(F.substring(F.col(key_col), 1, 8), 16, 10).cast("long") * b / (16 ** 8)).cast("int")
     tagged = df.withColumn("_bk", bucket)
-    counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+    counts = tagged.groupBy("_bk").agg(F.sum(size).alias("_n"))
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total_col)] if total_col else []
     offsets = counts.select("_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), *extra)
@@ -146,7 +148,7 @@ def uniform_key_rank(df: DataFrame, key_col: str, tie_col: str, rank_col: str =
     # contiguous bucket ranges per partition (a hash of the bucket id would pile several
     # buckets onto some partitions); sampled bounds only move whole buckets, never rows
     return (tagged.repartitionByRange(min(parts, b), "_bk")
-            .withColumn("_pos", F.row_number().over(in_bucket) - 1)
+            .withColumn("_pos", F.coalesce(F.sum(size).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .join(F.broadcast(offsets), "_bk")
             .withColumn(rank_col, (F.col("_off") + F.col("_pos")).cast("long"))
             .drop("_bk", "_pos", "_off"))

@@ -15,12 +15,6 @@ from tunedata.session import scratch_dir
 from tunedata.sources import files as S
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def audit_chat_jsonl(spark: SparkSession, path: str) -> None:
     """V7 with ``fail_fast``: read the written lines as text and raise on the first violation."""
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
@@ -31,7 +25,7 @@ def prepare_training_data(spark: SparkSession, raw_csv: str, train_path: str, va
                           columns: dict[str, str] | None = None, test_size: float = 0.2, seed: int = 42,
                           system_prompt: str = H.DEFAULT_SYSTEM_PROMPT) -> dict | None:
     """Returns the cleaning funnel, or None when both outputs already exist."""
-    if _exists(spark, train_path) and _exists(spark, val_path):
+    if S.path_exists(spark, train_path) and S.path_exists(spark, val_path):
         return None
     raw = S.apply_na(S.read_csv(spark, raw_csv))
     scratch = scratch_dir(spark, "prepare")

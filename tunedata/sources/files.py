@@ -61,10 +61,14 @@ def read_jsonl_quarantine(spark: SparkSession, path: str, schema: StructType) ->
     return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull())
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: header row, every cell a string, quoted newlines and doubled quotes allowed."""
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S3: header row, every cell a string, quoted newlines and doubled quotes allowed.
+
+    Cells with newlines need ``multi_line``, which reads a file in one task; files without such cells
+    are split by byte ranges with ``multi_line=False``.
+    """
     # an empty cell is '' (not null); only a short row gives null -- as csv.DictReader does
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
             .option("inferSchema", False).option("nullValue", "\u0000").csv(path))
 
 
@@ -162,11 +166,26 @@ def content_hash(col) -> F.Column:
 
 
 def file_hashes(spark: SparkSession, path_glob: str) -> DataFrame:
-    """S6 for files: SHA-256 of the file bytes (``binaryFile`` source, one row per file)."""
+    """S6 for files: SHA-256 of the file bytes (``binaryFile`` source: one row per file, files up to 2 GB)."""
     b = spark.read.format("binaryFile").load(path_glob)
     return b.select("path", "length", F.sha2(F.col("content"), 256).alias("content_hash"))
 
 
+def combined_hash(hashes: DataFrame, col: str = "content_hash") -> DataFrame:
+    """One row (``n``, ``one``, ``h``) for any number of hex SHA-256 values, whatever their order.
+
+    ``h`` hashes the number of values and the sums of their eight 32-bit parts: partial sums, no list of all files.
+    """
+    part = [F.sum(F.conv(F.substring(col, 1 + 8 * i, 8), 16, 10).cast("long")) for i in range(8)]
+    total = hashes.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("one"), *[p.alias(f"p{i}") for i, p in enumerate(part)])
+    return total.select("n", "one", F.sha2(F.concat_ws(",", "n", *[f"p{i}" for i in range(8)]), 256).alias("h"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cache_split(incoming: DataFrame, registry: DataFrame, hash_col: str = "content_hash",
                 state_col: str = "lifecycle_state", ready: str = "ready") -> tuple[DataFrame, DataFrame]:
     """Inputs whose hash is registered READY (hits, skipped) and the rest (misses, processed)."""
