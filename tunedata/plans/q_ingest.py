@@ -12,7 +12,7 @@ from tunedata.plans.q_audit import _counts_sql, _issues_sql
 from tunedata.plans.q_catalog import _MJ, _metrics_text
 from tunedata.plans.q_eval import _BLEU_SQL, _EM, KEYS, preds
 from tunedata.plans.registry import query
-from tunedata.plans.sqlfrag import est, strip
+from tunedata.plans.sqlfrag import est, rnd, strip
 from tunedata.session import scratch_dir
 from tunedata.sources import files as S
 
@@ -46,8 +46,8 @@ sz AS (SELECT dataset_id, CAST(round_even(CAST(0.8 AS DOUBLE) * n, 0) AS BIGINT)
 SELECT pr.dataset_id, replace(pr.dataset_id, '/', '_') AS dataset_name, 'huggingface:' || pr.dataset_id AS source,
        CASE WHEN rep.is_valid THEN 'ready' ELSE 'validated' END AS lifecycle_state, rep.is_valid,
        CAST(pr.n AS BIGINT) AS rows_count, k.dup AS duplicate_count,
-       CAST(floor(CAST(pc AS DOUBLE) / n * 100.0 + 0.5) AS DOUBLE) / 100.0 AS avg_prompt_length,
-       CAST(floor(CAST(rc AS DOUBLE) / n * 100.0 + 0.5) AS DOUBLE) / 100.0 AS avg_response_length,
+       {rnd('(CAST(pc AS DOUBLE) / n)', 2)} AS avg_prompt_length,
+       {rnd('(CAST(rc AS DOUBLE) / n)', 2)} AS avg_response_length,
        CAST(tok AS BIGINT) AS estimated_tokens,
        sz.tr AS train_rows, sz.va AS validation_rows, CAST(pr.n AS BIGINT) - sz.tr - sz.va AS test_rows
 FROM pr JOIN rep ON pr.dataset_id = rep.dataset_id JOIN k ON pr.dataset_id = k.dataset_id
