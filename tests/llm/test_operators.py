@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from conftest import SF_SMALL
 from tunedata.llm import (exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, shingles,
@@ -119,6 +121,27 @@ def test_both_tokenizer_libraries_agree(text):
     assert a.tolist() == tokens.encode(text, tokens.public_path("byte_bpe_50k.json")).tolist()
 
 
+@lru_cache
+def plain_tokenizer():
+    return Tokenizer.from_file(tokens.public_path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "é", "ab", "1", "'s", "中"]), max_size=12).map("".join))
+def test_ids_are_those_of_the_plain_tokenizer(text):
+    want = plain_tokenizer().encode(text, add_special_tokens=False).ids
+    assert want.count(50256) == text.count("<|endoftext|>")
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        assert tokens.encode(text, tokens.public_path(name)).tolist() == want
+
+
+def test_added_token_in_packing_and_counts(spark):
+    rows = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    got = packing.pack_documents(rows).collect()
+    assert [(r.doc_tokens, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == [(4, [64, 50256, 65, 0])]
+    assert [tuple(r) for r in token_counts.length_histogram(rows).collect()] == [(3, 1)]
+
+
 def test_token_histogram(docs, none, small):
     lens = sorted(len(tokens.encode(r.text, tokens.public_path("byte_bpe_50k.json"))) for r in small.select("text").collect())
     sums = staged(token_counts.suffix_sums(staged(token_counts.length_histogram(small), "t")), "t")

@@ -1,17 +1,22 @@
 """Encoding of whole texts inside tasks.
 
-``tiktoken`` and ``tokenizers`` files of one vocabulary give the same ids
-(``tests/llm`` holds them against each other); the rank file is about three times faster
-and is the default.  The encoder is built once per Python worker from its path.
+``tiktoken`` and ``tokenizers`` files of one vocabulary give the same ids, those of plain
+``Tokenizer.from_file(...).encode(text, add_special_tokens=False)`` (``tests/llm`` holds them against
+it); the rank file is about three times faster and is the default.  The string of an added token in a
+text (``<|endoftext|>``) gets that token's id.  The encoder is built once per Python worker from its path.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
 
+#: added tokens of the ``tokenizers`` file of the same vocabulary (rank files hold none)
+ADDED = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
+
 
 def public_path(name: str) -> str:
     """Place of a public vocabulary file (installed on every executor with its package)."""
@@ -21,16 +26,17 @@ def public_path(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """text -> list of ids without special tokens; strings of special tokens are ordinary text."""
+    """text -> list of ids; none is put around the text, strings of added tokens in it have their own id."""
     if path.endswith(".tiktoken"):
         import public_tokenizers
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = ADDED.get(os.path.basename(path), {})
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        return lambda text: own.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
