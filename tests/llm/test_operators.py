@@ -213,6 +213,50 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, p string, text string"), "p").count() == 0
 
 
+def test_licenses_in_wrapped_and_full_texts(spark):
+    full = license_scan.default_templates()
+    header = full["GPL-3.0"][1]
+    wrapped = "\n".join(" * " + " ".join(header.split()[i:i + 9]) for i in range(0, len(header.split()), 9))
+    apache = "\n".join(f"# {x.strip()}" for x in full["Apache-2.0"][1].split("\n"))
+    prose = "some words of prose that go on and on " * 30
+    cc = "\n".join(license_scan.HEADERS["CC-BY-NC-4.0"][-1].split())
+    rows = [(1, "m/LICENSE", "Copyright (c) 2020 Some Body\n" + full["MIT"][-1]), (2, "m/a/f", prose), (3, "b/LICENSE", full["BSD-3-Clause"][-1] + prose),
+            (4, "b/f", ""), (5, "x/f.c", f"/*\n{wrapped}\n */\nint main;\n{prose}"), (6, "x/g.py", f"{apache}\n\nimport os\n{prose}"),
+            (7, "x/h", f"{prose} {license_scan.TEMPLATES['GPL-2.0']} {prose}"), (8, "g/LICENSE", full["GPL-2.0"][-1]), (9, "l/LICENSE", full["LGPL-3.0"][-1]),
+            (10, "x/i", license_scan.HEADERS["AGPL-3.0"][0].replace(" ", "\n")), (11, "c/LICENSE", f"{prose}\n{cc}\n{prose}"), (12, "x/j", prose),
+            (13, "n/LICENSE", full["BSD-2-Clause"][-1].replace("\n", " ")), (14, "o/LICENSE", full["MPL-2.0"][-1])]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, p string, text string"), "p").collect()}
+    assert {i: r.license for i, r in got.items()} == {
+        1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-3-Clause", 5: "GPL-3.0", 6: "Apache-2.0", 7: "GPL-2.0", 8: "GPL-2.0", 9: "LGPL-3.0",
+        10: "AGPL-3.0", 11: "CC-BY-NC-4.0", 12: None, 13: "BSD-2-Clause", 14: "MPL-2.0"}
+
+
+def test_every_template_text_is_its_own_licence():
+    full = license_scan.default_templates()
+    idf = {t: 1 + len(t) / 4 for texts in full.values() for x in texts for t in license_scan._terms(x)}
+    scorer = license_scan.Scorer(full, idf, 5.0, 0.85)
+    for name, texts in full.items():
+        for x in texts:
+            assert scorer.best(f"Word before\n{x} and words after".encode())[2] == name, (name, x[:80])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(list("abcdexyz")), max_size=30))
+def test_license_windows_against_brute_force(words):
+    templates = {"P": ("a a b c",), "Q": ("a b d e e b",), "R": ("c",)}
+    idf = {"a": 1.5, "b": 2.0, "c": 1.0, "d": 3.0, "e": 2.5}
+    scorer = license_scan.Scorer(templates, idf, 4.0, 0.85)
+
+    def cosine(part, x):
+        u, v = ({t: n * idf.get(t, 4.0) for t, n in Counter(p).items()} for p in (part, x.split()))
+        return sum(u[t] * v.get(t, 0) for t in u) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
+    want = [(round(cosine(words[i:i + n], x), 9), n) for _, (x,) in templates.items() for n in [len(x.split())] for i in range(len(words) - n + 1)]
+    want += [(round(cosine(words, x), 9), len(x.split())) for _, (x,) in templates.items() if words]
+    got = scorer.best(" ".join(words).encode())
+    reached = [c for c, _ in want if c >= 0.85]
+    assert (got is None) == (not reached) and (not reached or abs(-got[0] - max(reached)) < 2e-9)
+
+
 # ---- 7 mixing
 def test_mixing(docs, none, small):
     got = mixing.mix_sources(docs).collect()
