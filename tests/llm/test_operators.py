@@ -113,6 +113,31 @@ def test_urls(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_branches_below_the_first_segment_are_pooled(spark):
+    rows = [(f"http://h.net/p/b{x}/{i}", 1) for x in "abcdefghij" for i in range(3)] + [(f"http://h.net/q/{i}", 0) for i in range(70)]
+    rows += [("http://h.net/p/bz/1", None), ("http://h.net/p/bz/deep/down/1", None), ("http://h.net/r/1", None)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r.url: r for r in df.join(url_filter.judge_urls(df, rules=(("allow", "none", "/"),), label_col="bad"), "page_id").collect()}
+    pooled = got["http://h.net/p/ba/1"]
+    assert (pooled.template, pooled.verdict) == ("/p/+/*", "block") and abs(pooled.bad_share - 33 / 40) < 1e-12       # host: 33 / 110
+    assert abs(got["http://h.net/p/bz/1"].bad_share - 33 / 40) < 1e-12 and got["http://h.net/p/bz/1"].verdict == "block"
+    assert abs(got["http://h.net/p/bz/deep/down/1"].bad_share - 33 / 40) < 1e-12       # no labels: the node /p
+    assert got["http://h.net/q/1"].verdict == "allow" and abs(got["http://h.net/r/1"].bad_share - 0.3) < 1e-12
+
+
+def test_a_long_path_does_not_count_its_labels_again_and_a_different_branch_stays_alone(spark):
+    rows = [(f"http://h.net/a/b/c/d/{i}", 1) for i in range(3)] + [(f"http://h.net/q/{i}", 0) for i in range(7)]
+    rows += [(f"http://h.net/p/b{x}/{i}", 1) for x in "abcdefghij" for i in range(3)] + [(f"http://h.net/p/good/{i}", 0) for i in range(30)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int")
+    got = {r.url: r for r in df.join(url_filter.judge_urls(df, rules=(("allow", "none", "/"),), label_col="bad"), "page_id").collect()}
+    host = (33 + 10 * 33 / 70) / 80
+    assert abs(got["http://h.net/a/b/c/d/1"].bad_share - (3 + 10 * host) / 13) < 1e-12
+    assert got["http://h.net/p/good/1"].template == "/p/good/*" and got["http://h.net/p/good/1"].verdict == "allow"
+    node = (30 + 10 * host) / 40                                  # the other labels of /p
+    assert abs(got["http://h.net/p/good/1"].bad_share - 10 * node / 40) < 1e-12
+
+
 # ---- 4 and 5 tokens
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aA1é'sß \n\t\u00a0\u3000中.<|>endoftext🙂")), max_size=60))

@@ -9,11 +9,13 @@
    children generalised to ``*`` as well.
 4. Merge: branches of one node that have the same rest of the path form a family.  Branches
    whose share of labelled bad pages does not differ significantly from the rest of the
-   family (two-proportion test) are merged and judged by their summed labels.
-5. A template is rejected when its share of bad pages, smoothed towards the share of
-   its host (itself smoothed towards the share of the whole table), reaches
-   ``reject``.  Templates without labels get the smoothed share of the family, which stays
-   below ``reject`` unless the host is bad as a whole.
+   family (two-proportion test) are merged and judged by their summed labels; branches without labels
+   join them.  This goes node by node from the deepest to the host, so merged branches are one branch further up.
+5. A template is rejected when its share of bad pages, smoothed towards the share of its
+   parent node, reaches ``reject``.  A node's share (without the labels that lie further down the path) is smoothed
+   towards that of its parent node, the first nodes' towards the share of the
+   host (itself smoothed towards the share of the whole table).  Templates without labels get the share
+   of the nodes above them.
 
 Labels are the pages that a rule decides (block: bad); other labels may be given.
 """
@@ -76,26 +78,59 @@ def template_tree(leaves: DataFrame, max_depth: int, max_children: int) -> DataF
 
 
 def merge_similar(templates: DataFrame, z_max: float) -> DataFrame:
-    """(host, template, bad, labelled) with ``group_bad``, ``group_labelled`` and ``merged`` of its branch group.
+    """``templates`` (stored: host, template, bad, labelled) with ``branch`` (its group: merged segments as ``+``) and ``name``.
 
-    The family of a branch: its host and the template with the first segment left open.
+    At each depth, from the deepest, the family of a branch is its host and the branch with that segment left open.
     A branch joins the family's group when its share of bad pages is within ``z_max`` standard errors of the
-    rest of the family; a branch or a rest without labels gives no evidence and stays alone.
+    rest of the family; one whose rest has no labels stays alone.  A branch without labels joins a
+    group that others have formed, for its share; it adds no evidence, so its ``name`` keeps the segment.
     """
-    family = F.concat(F.array(F.lit("+")), F.slice("template", 2, 100))
-    t = templates.withColumn("family", F.when(F.size("template") > 0, family).otherwise(F.col("template")))
-    whole = t.groupBy("host", "family").agg(F.sum("bad").alias("_fb"), F.sum("labelled").alias("_fl"))
-    t = t.join(whole, ["host", "family"])
-    n, rest = F.col("labelled"), F.col("_fl") - F.col("labelled")
-    pooled, one = F.try_divide(F.col("_fb"), F.col("_fl")), F.lit(1.0)
-    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(one, n) + F.try_divide(one, rest)))
-    gap = F.abs(F.try_divide(F.col("bad"), n) - F.try_divide(F.col("_fb") - F.col("bad"), rest))
-    t = t.withColumn("merged", (n > 0) & (rest > 0) & F.coalesce(gap <= z_max * error, F.lit(False)))
-    merged = (t.where("merged").groupBy("host", "family").agg(F.sum("bad").alias("_gb"), F.sum("labelled").alias("_gl"))
-              .withColumn("merged", F.lit(True)))
-    return (t.join(merged, ["host", "family", "merged"], "left")
-            .withColumns({"group_bad": F.coalesce("_gb", "bad"), "group_labelled": F.coalesce("_gl", "labelled")})
-            .select("host", "template", "family", "merged", "group_bad", "group_labelled"))
+    out = templates.withColumns({"branch": F.col("template"), "name": F.col("template")})
+    deepest = out.agg(F.max(F.size("template"))).first()[0] or 0
+    for d in range(deepest, 0, -1):
+        def opened(c: str) -> Column:
+            return F.concat(F.slice(c, 1, d - 1), F.array(F.lit("+")), F.slice(c, d + 1, deepest + 1))
+        t = out.where(F.size("branch") >= d).groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+        t = t.withColumn("family", opened("branch"))
+        whole = t.groupBy("host", "family").agg(F.sum("bad").alias("_fb"), F.sum("labelled").alias("_fl"))
+        t = t.join(whole, ["host", "family"])
+        n, rest = F.col("labelled"), F.col("_fl") - F.col("labelled")
+        pooled, one = F.try_divide(F.col("_fb"), F.col("_fl")), F.lit(1.0)
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(one, n) + F.try_divide(one, rest)))
+        gap = F.abs(F.try_divide(F.col("bad"), n) - F.try_divide(F.col("_fb") - F.col("bad"), rest))
+        t = staged(t.withColumn("similar", (n > 0) & (rest > 0) & F.coalesce(gap <= z_max * error, F.lit(False))), f"url-family{d}")
+        formed = t.where("similar").select("host", "family").distinct()
+        joins = t.where("similar or labelled = 0").join(formed, ["host", "family"], "left_semi")
+        out = out.join(joins.select("host", "branch", "family", "similar"), ["host", "branch"], "left")
+        out = out.withColumns({"branch": F.coalesce("family", "branch"), "name": F.when(F.col("similar"), opened("name")).otherwise(F.col("name"))})
+        out = out.drop("family", "similar")
+        out = staged(out, f"url-merge{d}")
+    return out
+
+
+def branch_shares(merged: DataFrame, hosts: DataFrame, smoothing: float) -> DataFrame:
+    """(host, branch, ``bad_share``) of the groups of ``merge_similar``; ``hosts``: (host, ``_hshare``).
+
+    A group's parents are the nodes above its first merged segment (its last segment if none is).  Labels count
+    once: those of the next node on the path, or of the group, are left out of a node's.
+    """
+    groups = merged.groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    first = F.array_position("branch", F.lit("+")).cast("int")
+    groups = groups.withColumn("_q", F.when(first > 0, first - 1).otherwise(F.greatest(F.size("branch") - 1, F.lit(0))))
+    deepest = merged.agg(F.max(F.size("template"))).first()[0] or 0
+    for k in range(1, deepest):
+        node = F.slice("template", 1, k)
+        nodes = (merged.where(F.size("template") >= k).groupBy("host", node.alias("_node"))
+                 .agg(F.sum("bad").alias(f"_b{k}"), F.sum("labelled").alias(f"_l{k}")))
+        groups = groups.withColumn("_node", F.when(F.col("_q") >= k, F.slice("branch", 1, k)))
+        groups = groups.join(nodes, ["host", "_node"], "left").drop("_node")
+    out = groups.join(hosts, "host").withColumn("_share", F.col("_hshare"))
+    for k in range(1, deepest):
+        below = [F.col(own) if k + 1 == deepest else F.when(F.col("_q") == k, F.col(own)).otherwise(F.col(f"{c}{k + 1}"))
+                 for own, c in (("bad", "_b"), ("labelled", "_l"))]
+        share = (F.col(f"_b{k}") - below[0] + smoothing * F.col("_share")) / (F.col(f"_l{k}") - below[1] + smoothing)
+        out = out.withColumn("_share", F.when(F.col("_q") >= k, share).otherwise(F.col("_share")))
+    return out.select("host", "branch", ((F.col("bad") + smoothing * F.col("_share")) / (F.col("labelled") + smoothing)).alias("bad_share"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None,
@@ -124,15 +159,14 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     leaves = staged(leaves.withColumn("bad", F.coalesce("bad", F.lit(0).cast("long"))), "url-shapes")
     tree = template_tree(leaves, max_depth, max_children)
     templates = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    groups = merge_similar(templates, z_max)
+    merged = merge_similar(staged(templates, "url-templates"), z_max)
 
     total = leaves.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()      # two numbers
     base = total["bad"] / total["labelled"] if total["labelled"] else 0.0
     hosts = leaves.groupBy("host").agg(((F.sum("bad") + smoothing * base) / (F.sum("labelled") + smoothing)).alias("_hshare"))
-    share = (F.col("group_bad") + smoothing * F.col("_hshare")) / (F.col("group_labelled") + smoothing)
-    judged = groups.join(hosts, "host").withColumn("bad_share", share)
+    judged = merged.select("host", "template", "branch", "name").join(branch_shares(merged, hosts, smoothing), ["host", "branch"])
     by_shape = tree.select("host", "shape", "template").join(judged, ["host", "template"])
-    name = F.concat(F.lit("/"), F.array_join(F.when(F.col("merged"), F.col("family")).otherwise(F.col("template")), "/"))
+    name = F.concat(F.lit("/"), F.array_join("name", "/"))
     by_shape = staged(by_shape.select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), name.alias("template"), "bad_share"), "url-verdicts")
     out = rows.join(by_shape, ["_host", "_shape"], "left")
     method = F.when(F.col("bad_share") >= reject, F.lit("block")).otherwise(F.lit("allow"))
