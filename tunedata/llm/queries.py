@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, url_filter
+from tunedata.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, url_filter, vector_codes
 from tunedata.llm.common import staged, table
 from tunedata.llm.oracles import ORACLE  # noqa: F401
 
@@ -95,3 +95,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.lit(books.text() if books else ""), 256).alias("codebooks_sha256")
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest)
