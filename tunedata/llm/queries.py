@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm import conversation_repair, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, url_filter, vector_codes
+from tunedata.llm import conversation_repair, embedding_dedup, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, url_filter, vector_codes
 from tunedata.llm.common import staged, table
 from tunedata.llm.oracles import ORACLE  # noqa: F401
 
@@ -125,6 +125,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("h.sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@query
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
