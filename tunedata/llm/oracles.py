@@ -64,8 +64,8 @@ e AS (SELECT doc_id, kind, rank, least, i, length(m[i]) AS len, length(g[i]) AS
 p AS (SELECT *, sum(gap + len) OVER (PARTITION BY doc_id, kind ORDER BY i) - len AS s0 FROM e),
 base AS (SELECT doc_id, kind, rank, s0 AS a, s0 + len AS b FROM p WHERE kind <> 'entropy' AND size >= least),
 c AS (SELECT doc_id, i, s0, s, CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN 'hex' ELSE 'base64' END AS class FROM p
-      WHERE kind = 'entropy' AND NOT regexp_full_match(s, '__ALLOW__')),
-ch AS (SELECT doc_id, i, s0, class, unnest(range(0, length(s))) AS p, unnest(string_split(s, '')) AS c FROM c),
+      WHERE kind = 'entropy' AND NOT regexp_full_match(s, '__ALLOW__') AND NOT (regexp_full_match(s, '__WORDS__') AND NOT regexp_matches(s, '__HUMP__'))),
+ch AS (SELECT doc_id, i, s0, class, unnest(range(0, length(s))) AS p, unnest(string_split(regexp_replace(s, '__PLACEHOLDER__', '__FILLER__', 'g'), '')) AS c FROM c),
 wn AS (SELECT x.doc_id, x.i, x.s0, x.class, x.p, y.c, count(*) AS n FROM ch x JOIN ch y
        ON x.doc_id = y.doc_id AND x.i = y.i AND y.p BETWEEN x.p - 19 AND x.p WHERE x.p >= 19 GROUP BY ALL),
 hot AS (SELECT doc_id, i, s0, class, p, sum((__MICRO__)[n + 1]) AS t FROM wn GROUP BY ALL),
@@ -79,6 +79,8 @@ SELECT d.doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coale
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
 """
 ORACLE["op2_secret_scan"] = (ORACLE["op2_secret_scan"].replace("__ALLOW__", "|".join(secret_scan.ALLOW))
+                             .replace("__WORDS__", secret_scan.WORDS).replace("__HUMP__", secret_scan.HUMP)
+                             .replace("__PLACEHOLDER__", secret_scan.PLACEHOLDER).replace("__FILLER__", secret_scan.FILLER)
                              .replace("__MICRO__", str(secret_scan._micro(secret_scan.WINDOW)))
                              .replace("__HEX__", str(secret_scan._most(20, secret_scan.BITS["hex"])))
                              .replace("__B64__", str(secret_scan._most(20, secret_scan.BITS["base64"]))))

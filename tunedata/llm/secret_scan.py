@@ -11,7 +11,8 @@ from ``c - 1`` to ``c``, one that leaves lowers it, and both counts come from ra
 frames over the positions of that character.  The increments are integers
 (millionths of a bit), so the running sum is exact and the same in any order of work.
 A window is hot when its entropy reaches the bits asked for the candidate's
-character class.
+character class.  Candidates are cut into pieces that overlap by ``window - 1`` characters, so a run of any
+length is many small groups.
 """
 
 from __future__ import annotations
@@ -28,9 +29,14 @@ ASSIGN = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][
 #: kind -> (pattern, group whose length counts, least length); in the order of ties
 KINDS = {"assign": (ASSIGN, 2, 8), "access": (r"AKIA[A-Z0-9]+", 0, 16), "hex": (r"[0-9a-f]{32,}", 0, 32)}
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: candidates that look like words, numbers, identifiers or paths rather than keys
-ALLOW = (r"[A-Za-z]?[a-z]+", r"[A-Z]+", r"[0-9]+", r"[A-Za-z]?[a-z]*(?:[-_/+][A-Za-z]?[a-z]*)+", r"[A-Z]*(?:[-_][A-Z]*)+",
-         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r".*(?:EXAMPLE|example|xxxxxx|XXXXXX|000000).*")
+#: candidates that look like words or paths (``WORDS`` without ``HUMP``: no letter before a capital) ...
+WORDS, HUMP = r"[A-Za-z_/+-]+", r"[A-Za-z][A-Z]"
+#: ... or like capitals, numbers or identifiers rather than keys.  No pattern repeats a group: Java would recurse for each repetition.
+ALLOW = (r"[A-Z_-]+", r"[0-9]+", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+#: placeholders count as a run of one character, which leaves the windows around them cold
+PLACEHOLDER, FILLER = r"EXAMPLE|example", "xxxxxxx"
+#: windows of a candidate that are examined together
+PIECE = 4096
 WINDOW = 20
 #: character class -> least bits for each character (at most log2(20) = 4.32)
 BITS = {"hex": 3.0, "base64": 3.6}
@@ -86,18 +92,23 @@ def entropy_spans(scan: DataFrame, window: int = WINDOW, bits: dict[str, float]
     bits = bits or BITS
     rows = scan.select("_rid", F.lit("entropy").alias("kind"), F.posexplode("cand").alias("_k", "x")).where(F.col("x.str").isNotNull())
     cands = _starts(rows, F.length("x.str").cast("long")).select("_rid", "_k", "start", F.col("x.str").alias("_s"))
-    cands = cands.where(~F.col("_s").rlike("^(?:" + "|".join(allow) + ")$"))
+    wordlike = F.col("_s").rlike(f"^{WORDS}$") & ~F.col("_s").rlike(HUMP)
+    cands = cands.where(~wordlike & ~F.col("_s").rlike("^(?:" + "|".join(allow) + ")$"))
     cands = cands.withColumn("_class", F.when(F.col("_s").rlike("^[0-9a-fA-F]+$"), "hex").otherwise("base64"))
-    # candidates are spread before their characters are: the exchange carries strings, not characters
-    chars = cands.repartition("_rid", "_k").select("_rid", "_k", "start", "_class", F.posexplode(F.split("_s", "")).alias("_p", "_c"))
-    same = Window.partitionBy("_rid", "_k", "_c").orderBy("_p")
+    # pieces are spread before their characters are: the exchange carries strings, not characters (all ASCII, cut as bytes)
+    plain = F.regexp_replace("_s", PLACEHOLDER, FILLER).cast("binary")
+    last = F.greatest(F.lit(0), F.octet_length("_b") - window)
+    pieces = cands.withColumn("_b", plain).select("_rid", "_k", "start", "_class", "_b", F.explode(F.sequence(F.lit(0), last, F.lit(PIECE))).alias("_a"))
+    pieces = pieces.withColumns({"_b": F.substring("_b", F.col("_a") + 1, F.lit(PIECE + window - 1)).cast("string"), "start": F.col("start") + F.col("_a")})
+    chars = pieces.repartition("_rid", "_k", "_a").select("_rid", "_k", "_a", "start", "_class", F.posexplode(F.split("_b", "")).alias("_p", "_c"))
+    same = Window.partitionBy("_rid", "_k", "_a", "_c").orderBy("_p")
     micro = F.array(*[F.lit(x).cast("long") for x in _micro(window)])
 
     def rise(count: Column) -> Column:
         return F.get(micro, count.cast("int")) - F.get(micro, count.cast("int") - 1)
     chars = chars.withColumns({"_in": rise(F.count(F.lit(1)).over(same.rangeBetween(1 - window, 0))),
                                "_out": rise(F.count(F.lit(1)).over(same.rangeBetween(0, window - 1)))})
-    run = Window.partitionBy("_rid", "_k").orderBy("_p")
+    run = Window.partitionBy("_rid", "_k", "_a").orderBy("_p")
     total = (F.sum("_in").over(run.rowsBetween(Window.unboundedPreceding, 0))
              - F.coalesce(F.sum("_out").over(run.rowsBetween(Window.unboundedPreceding, -window)), F.lit(0).cast("long")))
     most = F.when(F.col("_class") == "hex", F.lit(_most(window, bits["hex"]))).otherwise(F.lit(_most(window, bits["base64"])))
@@ -115,7 +126,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (pattern matches, leftmost and not overlapping within a kind, kept when long
     enough) and ``entropy``.  Spans of different kinds may overlap; an entropy span
     never removes another.  Null text counts as empty and has no span (an empty
-    array).  Repeated rows have a result each.  Other columns are not looked at.  An
+    array).  Texts and runs of any length are scanned whole.  Repeated rows have a result each.  Other columns are not looked at.  An
     empty table gives an empty result.
     """
     scan = staged(scan_rows(docs, id_col, text_col), "secret-scan")

@@ -4,6 +4,9 @@
 ``Tokenizer.from_file(...).encode(text, add_special_tokens=False)`` (``tests/llm`` holds them against
 it); the rank file is about three times faster and is the default.  The string of an added token in a
 text (``<|endoftext|>``) gets that token's id.  The encoder is built once per Python worker from its path.
+
+``tiktoken`` gives up on texts with a very long run of white space (its pattern backtracks); such a text
+is encoded whole with the ``tokenizers`` file that lies beside the rank file.
 """
 
 from __future__ import annotations
@@ -34,7 +37,13 @@ def encoder(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         added = ADDED.get(os.path.basename(path), {})
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        return lambda text: own.encode(text, allowed_special="all")
+
+        def ids(text: str) -> list[int]:
+            try:
+                return own.encode(text, allowed_special="all")
+            except ValueError:                                   # the pattern's stack is exhausted
+                return encoder(path.removesuffix(".tiktoken") + ".json")(text)
+        return ids
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
     return lambda text: t.encode(text, add_special_tokens=False).ids
