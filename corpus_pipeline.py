@@ -23,13 +23,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the one whose id names the group.
+    """One document of each group of similar texts: the smallest id (nulls last), of equal ids any one.
 
-    Texts without words have no group and stay; so do rows without an id.
+    Rows are told apart by a number of their own, whatever their ids.  Texts without words have no group and stay.
     """
-    groups = staged(jaccard_join.jaccard_components(docs), "near-groups")
-    drop = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(staged(drop, "near-drop"), "doc_id", "left_anti").select(*docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
+    groups = staged(jaccard_join.jaccard_components(docs, row).select(row, "component_id"), "near-groups")
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component_id")
+    members = staged(groups.join(several, "component_id").join(docs.select(row, "doc_id"), row), "near-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
+    drop = staged(members.select(row).join(first.select(row), row, "left_anti"), "near-drop")
+    return docs.join(drop, row, "left_anti").drop(row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
