@@ -35,14 +35,43 @@ def test_half_even_rounding(spark):
 
 
 def test_same_seed_same_split_any_partitioning(spark):
-    a = S.three_way_split(_ids(spark, 100), train=0.7, validation=0.2, test=0.1, seed=7, num_partitions=3)
-    b = S.three_way_split(_ids(spark, 100).repartition(5), train=0.7, validation=0.2, test=0.1, seed=7, num_partitions=11)
+    a = S.three_way_split(_ids(spark, 100), train=0.7, validation=0.2, test=0.1, seed=7)
+    b = S.three_way_split(_ids(spark, 100).repartition(5), train=0.7, validation=0.2, test=0.1, seed=7)
     assert S.split_overlap(a, b).count() == 0
     assert _sizes(a) == {"train": 70, "validation": 20, "test": 10}
     c = S.three_way_split(_ids(spark, 100), train=0.7, validation=0.2, test=0.1, seed=8)
     assert S.split_overlap(a, c).count() > 0
 
 
+def test_places_are_selected_from_histograms(spark):
+    """The keys at given places, for unique ids, and for ids that fill a third of the rows; wide rows don't move."""
+    import hashlib
+    from tunedata.plans.ordered import select_places
+    ids = [None, *range(500), *[77] * 250]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "id long, text string").repartition(5)
+    digest = sorted((hashlib.md5(f"3:{'' if i is None else i}".encode()).hexdigest(), i) for i in ids)
+    keys = df.select(S.order_key("id", 3).alias("key"), "id", F.lit(1).cast("long").alias("weight"))
+    for digits in (1, 4):
+        total, cuts = select_places(keys, lambda n: [0, 1, 333, n - 1, n], digits)
+        assert total == len(ids) and [c and (c.key, c.id) for c in cuts] == [digest[0], digest[1], digest[333], digest[-1], None]
+        assert all(c.before <= p < c.before + c.weight for c, p in zip(cuts[:4], [0, 1, 333, len(ids) - 1]))
+    place = next(p for p, (_, i) in enumerate(digest) if i == 77) + 100              # a cut between rows of one id
+    share = (place + 0.25) / len(ids)
+    out = S.two_way_split(df, test_size=1 - share, seed=3)
+    rows = out.collect()
+    assert sorted(r.text for r in rows) == sorted(r.text for r in df.collect())
+    assert sum(r.split == "train" for r in rows) == place and sum(r.split == "train" and r.id == 77 for r in rows) == 100
+    assert {r.id for r in rows if r.split == "train"} == {i for _, i in digest[:place]}
+    assert {r.split for r in S.three_way_split(df, train=0.0, validation=1.0, test=0.0).collect()} == {"validation"}
+    assert S.three_way_split(df.limit(0)).count() == 0
+
+
+def test_split_moves_no_row(spark):
+    df = spark.range(1000).select("id", F.col("id").cast("string").alias("instruction"))
+    for out in (S.three_way_split(df), S.two_way_split(df)):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bad_ratios_raise():
     with pytest.raises(ValueError):
         S.check_ratios(0.8, 0.2, 0.2)

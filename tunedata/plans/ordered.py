@@ -10,10 +10,13 @@ equi-joins on unique keys, which spread evenly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunedata.session import ensure_checkpoint_dir
+from tunedata.session import ensure_checkpoint_dir, staged
 
 
 def _order_cols(cols) -> list[Column]:
@@ -121,34 +124,72 @@ def position_by_stretch(df: DataFrame, group_cols: list[str], order_cols: list[s
             .select(*df.columns, (F.col("_before") + F.col("_at")).cast("long").alias(out_col)))
 
 
-def uniform_key_rank(df: DataFrame, key_col: str, tie_col: str, rank_col: str = "_rank",
-                     total_col: str | None = None, buckets: int | None = None,
-                     weight_col: str | None = None) -> DataFrame:
-    """Global rank by (``key_col``, ``tie_col``) when ``key_col`` is a uniformly
-    distributed lowercase hex string (an md5 digest).
+class Cut(NamedTuple):
+    """The key that covers a place of an order: ``before`` places lie before it, and it takes ``weight`` of them."""
+    key: str
+    id: object
+    before: int
+    weight: int
+
+
+def select_places(keys: DataFrame, places: Callable[[int], list[int]], digits: int = 4) -> tuple[int, list[Cut | None]]:
+    """Total weight, and for each wanted 0-based place the key that covers it (None: beyond the last).
 
-    The digest prefix itself is the range bound: bucket = prefix * B / 16^8,
-    so buckets are balanced without sampling, every expression is
-    deterministic (no checkpoint needed), and the rank inside a bucket is a
-    window over one balanced bucket.  Bucket offsets are a B-row table
-    (broadcast, a proven bound).  With ``weight_col`` a row takes that many places and gets its first.
+    ``keys``: ``key`` (lowercase hex of 32 digits, uniformly distributed), ``id`` and ``weight``, in the order (key, id).
+    Order-statistic selection by histograms: weights are counted by the first ``digits`` digits (65,536 rows at most), prefix sums name the
+    bucket of each place, and only those buckets are counted by the next digits; the last step looks at the keys of the buckets
+    that share ``2 * digits`` digits with a place (a 2^32nd of the different keys for four digits).  No row is moved or ranked;
+    the driver gets the counts.  ``keys`` is read three times and should be stored.
     """
-    spark = df.sparkSession
-    size = F.col(weight_col) if weight_col else F.lit(1)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a few buckets per partition smooths the load; the result depends only on bucket values
-    b = buckets or 4 * parts
-    bucket = (F.conv(F.substring(F.col(key_col), 1, 8), 16, 10).cast("long") * b / (16 ** 8)).cast("int")
-    tagged = df.withColumn("_bk", bucket)
-    counts = tagged.groupBy("_bk").agg(F.sum(size).alias("_n"))
-    w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total_col)] if total_col else []
-    offsets = counts.select("_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), *extra)
-    in_bucket = Window.partitionBy("_bk").orderBy(key_col, tie_col)
-    # contiguous bucket ranges per partition (a hash of the bucket id would pile several
-    # buckets onto some partitions); sampled bounds only move whole buckets, never rows
-    return (tagged.repartitionByRange(min(parts, b), "_bk")
-            .withColumn("_pos", F.coalesce(F.sum(size).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .join(F.broadcast(offsets), "_bk")
-            .withColumn(rank_col, (F.col("_off") + F.col("_pos")).cast("long"))
-            .drop("_bk", "_pos", "_off"))
+    def counted(rows: DataFrame, n: int) -> dict[str, int]:
+        found = rows.groupBy(F.substring("key", 1, n).alias("p")).agg(F.sum("weight").alias("w")).collect()
+        return {r.p: r.w for r in sorted(found)}
+
+    def narrowed(hist: dict[str, int], inside: str, before: int, place: int) -> tuple[str, int]:
+        for p, w in hist.items():
+            if p.startswith(inside):
+                if place < before + w:
+                    return p, before
+                before += w
+        raise ValueError("the keys changed while they were counted")
+    hist = counted(keys, digits)
+    total = sum(hist.values())
+    wanted = places(total)
+    at = {p: narrowed(hist, "", 0, p) for p in wanted if 0 <= p < total}
+    if at:
+        hist = counted(keys.where(F.substring("key", 1, digits).isin(sorted({b for b, _ in at.values()}))), 2 * digits)
+        at = {p: narrowed(hist, b, n, p) for p, (b, n) in at.items()}
+    cuts: dict[int, Cut] = {}
+    if at:
+        inside = keys.where(F.substring("key", 1, 2 * digits).isin(sorted({b for b, _ in at.values()})))
+        rows = inside.groupBy("key", "id").agg(F.sum("weight").alias("w")).orderBy("key", F.col("id").asc_nulls_first()).collect()
+        for p, (b, before) in at.items():
+            for r in rows:
+                if r.key.startswith(b):
+                    if p < before + r.w:
+                        cuts[p] = Cut(r.key, r.id, before, r.w)
+                        break
+                    before += r.w
+    return total, [cuts.get(p) for p in wanted]
+
+
+def before_cut(key: Column, id_col: Column, cut: Cut | None, id_type) -> Column:
+    """Whether (key, id) lies before the cut's key (nulls first)."""
+    if cut is None:
+        return F.lit(True)
+    return F.struct(key.alias("k"), id_col.alias("i")) < F.struct(F.lit(cut.key).alias("k"), F.lit(cut.id).cast(id_type).alias("i"))
+
+
+def at_cut(key: Column, id_col: Column, cut: Cut, id_type) -> Column:
+    return (key == cut.key) & id_col.eqNullSafe(F.lit(cut.id).cast(id_type))
+
+
+def numbered(df: DataFrame, col: str) -> DataFrame:
+    """Stored rows with a 0-based number: position in the task, after all rows of earlier tasks (one broadcast row each)."""
+    tagged = staged(df.withColumn(col, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(F.col(col), 33)
+    sizes = tagged.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_pid", before.alias("_off"))
+    own = F.col(col) - F.shiftleft(part, 33)
+    return tagged.withColumn("_pid", part).join(F.broadcast(starts), "_pid").withColumn(col, (F.col("_off") + own).cast("long")).drop("_pid", "_off")

@@ -112,8 +112,8 @@ FROM sft_docs WHERE false""")
 def q_split_overlap(spark, d):
     """C11: the same seed over differently partitioned inputs gives the same split."""
     docs = clean_docs(spark, d)
-    a = S.three_way_split(docs, num_partitions=7)
-    b = S.three_way_split(docs.repartition(3), num_partitions=2)
+    a = S.three_way_split(docs.repartition(7))
+    b = S.three_way_split(docs.repartition(3))
     return S.split_overlap(a, b)
 
 
