@@ -8,6 +8,7 @@ from tunedata.operators import catalog as R
 from tunedata.plans import fixtures as X
 from tunedata.plans.registry import query
 from tunedata.plans.sqlfrag import rnd
+from tunedata.streaming import tracking as S
 
 _LATEST_JOBS = """
 lj AS (SELECT job_id, version, ts, state, dataset_id, step, total_steps FROM (
@@ -217,6 +218,19 @@ def q_status_overlay(spark, d):
     return _overlay(spark, d)
 
 
+@query("status_overlay_stream", ctes=("job_log", "metric_history"), sql=f"""
+WITH {_LATEST_JOBS}, {_PROGRESS} SELECT job_id, state, ts, CAST(step AS BIGINT) AS step, loss FROM ov""")
+def q_status_overlay_stream(spark, d):
+    """R12 while jobs run: metric files stream in, stored rows are overlaid batch by batch."""
+    stored = latest_jobs(spark, d).select("job_id", "state", "ts", F.col("step").cast("long").alias("step"),
+                                          F.lit(None).cast("double").alias("loss"))
+    live = X.metric_history(spark, d).select(F.concat(F.lit("job"), F.expr("substr(run_id, 4)")).alias("job_id"), "ts", "step",
+                                             F.coalesce("loss", "eval_loss").alias("loss"))
+    w = S.workdir(spark, "stream-overlay")
+    S.stage_arrivals(live, w["src"])
+    return S.live_overlay(spark, stored, w["src"], live.schema, w["sink"], w["checkpoint"], "job_id", ["step", "loss"], "step", max_files_per_trigger=1)
+
+
 @query("history_view", ctes=("job_log", "metric_history"), sql=f"""
 WITH {_LATEST_JOBS}, {_PROGRESS}
 SELECT substr(job_id, 1, 8) AS short_id, upper(state) AS state, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated,

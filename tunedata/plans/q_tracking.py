@@ -117,8 +117,9 @@ def q_stream_progress(spark, d):
 
 @query("stream_window_loss", ctes=("metric_history",), sql=_WINDOW_SQL)
 def q_stream_window_loss(spark, d):
-    """Event-time windows over the metric stream; late files count."""
+    """Event-time windows with a watermark; files arrive newest first (late rows) and a slice is re-sent."""
     h = hist(spark, d)
     w = S.workdir(spark, "stream-window")
     S.stage_arrivals(h, w["src"])
+    S.stage_files(h.filter(F.col("loss") > 2).coalesce(1), w["src"])       # a re-sent slice
     return S.windowed_loss_stream(spark, w["src"], h.schema, w["sink"], w["checkpoint"], max_files_per_trigger=1)
