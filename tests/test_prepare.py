@@ -36,3 +36,20 @@ def test_prepare_requires_mapped_columns(spark, tmp_dir):
         f.write("a,b\n1,2\n")
     with pytest.raises(ValueError):
         prepare_training_data(spark, raw, os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "v"))
+
+
+def test_first_row_by_file_name_and_line(spark, tmp_dir):
+    """Of equal rows in several files the one of the first file and line stays, however large the files are."""
+    kept = []
+    for folder in ("x", "elsewhere"):
+        raw = os.path.join(tmp_dir, folder)
+        os.mkdir(raw)
+        with open(os.path.join(raw, "a.csv"), "w") as f:
+            f.write("instruction,input,output\nsame,,one\nonly a,,one\n")
+        with open(os.path.join(raw, "b.csv"), "w") as f:
+            f.write("instruction,input,output\n" + "".join(f"row {i},,two {i}\n" for i in range(500)) + "same,,one\n")
+        tr, va = os.path.join(tmp_dir, folder + "-t"), os.path.join(tmp_dir, folder + "-v")
+        assert prepare_training_data(spark, raw, tr, va)["duplicates_removed"] == 1
+        kept.append([sorted(json.loads(line)["messages"][1]["content"] for fn in os.listdir(d) if fn.endswith(".json")
+                            for line in open(os.path.join(d, fn))) for d in (tr, va)])
+    assert kept[0] == kept[1] and sum(map(len, kept[0])) == 502

@@ -101,3 +101,35 @@ def test_jsonl_quarantine_keeps_good_rows(spark, tmp_dir):
     good, bad = S.read_jsonl_quarantine(spark, p, spark.createDataFrame([], "a long").schema)
     assert sorted(r.a for r in good.collect()) == [1, 3]
     assert [r[S.CORRUPT] for r in bad.collect()] == ['{"a": 2']
+
+
+def test_line_numbers_in_files_cut_into_many_blocks(spark, tmp_dir):
+    import random
+    import pytest
+    r = random.Random(4)
+    want = []
+    for name in ("b.jsonl", "a.jsonl"):
+        lines = [r.choice(['{"k": %d}' % i, "", "  ", '{"k": ', "x" * r.randint(1, 200), '{"t": "é"}']) for i in range(3000)]
+        (open(f"{tmp_dir}/{name}", "w", encoding="utf-8")).write("\n".join(lines) + ("\n" if name[0] == "a" else ""))
+        want += [(name, i + 1, x) for i, x in enumerate(lines) if x.strip() and x[-1] != "}"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "20000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [(x.file.rsplit("/", 1)[1], x.line, x.value) for x in S.malformed_lines(spark, tmp_dir).collect()]
+            assert sorted(got) == sorted(want)
+            assert S.text_lines(spark, tmp_dir).select("_file", "_block").distinct().count() > (20 if size == "700" else 1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    file, line, _ = min(want)
+    with pytest.raises(ValueError, match=f"{file}, line {line}:"):
+        S.check_jsonl(spark, tmp_dir)
+
+
+def test_ingest_names_the_broken_line(spark, tmp_dir):
+    import pytest
+    from tunedata.plans.ingest import ingest_dataset
+    with open(f"{tmp_dir}/d.jsonl", "w") as f:
+        f.write('{"instruction": "a", "output": "b"}\n\n{"instruction": \n')
+    with pytest.raises(ValueError, match="d.jsonl, line 3:"):
+        ingest_dataset(spark, f"{tmp_dir}/d.jsonl", ".jsonl", "d", f"{tmp_dir}/out", f"{tmp_dir}/registry")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tunedata.functions.text import WS_CLASS, is_missing, ustrip
 from tunedata.plans.ordered import position_by_stretch
+from tunedata.sources.files import PLACE, row_numbers, text_lines
 
 # Severities, the columns an instruction record needs, chat roles,
 # and the texts of the audit issues (printf formats).
@@ -234,13 +235,14 @@ def chat_turn_violations_long(turns: DataFrame, key_col: str, order_col: str = "
     return rec.unionByName(per_turn.select(key_col, "rule", "turn_index"))
 
 
-def assert_chat_schema(violations: DataFrame, key_col: str) -> None:
-    """V7 ``fail_fast``: raise on a violation (only one row is brought to the driver)."""
-    first = violations.orderBy(key_col, "turn_index").limit(1).collect()
+def assert_chat_schema(violations: DataFrame, *key_cols: str) -> None:
+    """V7 ``fail_fast``: raise on the first violation by ``key_cols`` (only one row is brought to the driver)."""
+    first = violations.orderBy(*key_cols, F.col("turn_index").asc_nulls_first()).limit(1).collect()
     if first:
         r = first[0]
         where = "" if r["turn_index"] is None else f" in turn {r['turn_index']}"
-        raise ValueError(f"Dataset schema error: rule '{r['rule']}' broken by record {r[key_col]}{where}")
+        record = ", ".join(f"{c} {r[c]}" for c in key_cols)
+        raise ValueError(f"Dataset schema error: rule '{r['rule']}' broken by {record}{where}")
 
 
 def chat_text_violations(lines: DataFrame, key_col: str, value_col: str = "value") -> DataFrame:
@@ -281,6 +283,13 @@ def chat_text_violations(lines: DataFrame, key_col: str, value_col: str = "value
     return bad.unionByName(per_turn.select(key_col, "rule", "turn_index"))
 
 
+def chat_file_violations(spark: SparkSession, path: str) -> DataFrame:
+    """V7 on JSONL files: (file, line, rule, turn_index) of every rule that a line breaks."""
+    scan = text_lines(spark, path)
+    broken = chat_text_violations(scan.select(F.struct(*PLACE).alias("_k"), "value"), "_k").select("_k.*", "rule", "turn_index")
+    return row_numbers(broken, scan).withColumnRenamed("_file", "file")
+
+
 def empty_files(spark: SparkSession, path: str) -> DataFrame:
     """V7: files without a byte below ``path``, from the folder listing (a Spark scan skips such files)."""
     jvm = spark.sparkContext._jvm
@@ -295,5 +304,5 @@ def empty_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 __all__ = ["missing_counts", "duplicate_count", "audit_counts", "validation_issues", "validation_report",
-           "ingest_gate", "require_columns", "chat_turn_violations", "chat_text_violations", "empty_files",
+           "ingest_gate", "require_columns", "chat_turn_violations", "chat_text_violations", "chat_file_violations", "empty_files",
            "row_fingerprint", "WS_CLASS", "is_missing"]

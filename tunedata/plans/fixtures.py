@@ -174,6 +174,20 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("messages")))
 
 
+#: consecutive ids that share one text file of ``write_text_files``
+FILE_IDS = 1000
+
+
+def write_text_files(lines: DataFrame, id_col: str, path: str) -> None:
+    """Column ``value`` as text files ``part=<k>`` of ``FILE_IDS`` ids each, in the order of the ids."""
+    parts = lines.withColumn("part", F.floor(F.col(id_col) / FILE_IDS)).repartition("part").sortWithinPartitions("part", id_col)
+    parts.select("part", "value").write.partitionBy("part").text(path)
+
+
+def part_of(file: str = "file") -> Column:
+    return F.regexp_extract(file, "part=([0-9]+)", 1).cast("long").alias("part")
+
+
 # ---------------------------------------------------------------- oracle CTEs
 _WS = WS_RUN
 

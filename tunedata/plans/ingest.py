@@ -67,11 +67,16 @@ def ingest_dataset(spark: SparkSession, path: str, ext: str, dataset_name: str,
         version[0] += 1
 
     log("uploaded")
-    records = S.load_dataset(spark, path, ext)
-    if records.columns:                                   # parsed once; the steps below read the parsed rows
-        parsed = scratch_dir(spark, "ingest")
-        records.write.parquet(parsed)
-        records = spark.read.schema(records.schema).parquet(parsed)
+    try:
+        records = S.load_dataset(spark, path, ext)
+        if records.columns:                               # parsed once; the steps below read the parsed rows
+            parsed = scratch_dir(spark, "ingest")
+            records.write.parquet(parsed)
+            records = spark.read.schema(records.schema).parquet(parsed)
+    except Exception:
+        if S.detect_format(ext) == "jsonl":
+            S.check_jsonl(spark, path)                    # names the file and line that failed
+        raise
     report = V.validation_report(records).first()
     log("validated", is_valid=bool(report["is_valid"]), n_issues=int(report["n_issues"]))
     if not report["is_valid"]:                                               # V10 gate

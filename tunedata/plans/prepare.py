@@ -16,9 +16,8 @@ from tunedata.sources import files as S
 
 
 def audit_chat_jsonl(spark: SparkSession, path: str) -> None:
-    """V7 with ``fail_fast``: read the written lines as text and raise on the first violation."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    V.assert_chat_schema(V.chat_text_violations(lines, "line"), "line")
+    """V7 with ``fail_fast``: read the written lines as text and raise on the first violation, by file and line."""
+    V.assert_chat_schema(V.chat_file_violations(spark, path), "file", "line")
 
 
 def prepare_training_data(spark: SparkSession, raw_csv: str, train_path: str, val_path: str,
@@ -27,12 +26,15 @@ def prepare_training_data(spark: SparkSession, raw_csv: str, train_path: str, va
     """Returns the cleaning funnel, or None when both outputs already exist."""
     if S.path_exists(spark, train_path) and S.path_exists(spark, val_path):
         return None
-    raw = S.apply_na(S.read_csv(spark, raw_csv))
     scratch = scratch_dir(spark, "prepare")
-    mapped = C.map_columns(raw, columns)                    # C1 + V8 (raises on missing columns)
-    # parsed once: the row id (position in the scan) is written with the rows and stays as it is;
-    # C5 keeps the first row of each key in that order
-    mapped.select(F.monotonically_increasing_id().alias("id"), "instruction", "input", "output").write.parquet(f"{scratch}/parsed")
+    scan = S.placed(S.read_csv(spark, raw_csv))
+    columns_only = [c for c in scan.columns if c not in S.PLACE]
+    mapped = C.map_columns(S.apply_na(scan, cols=columns_only), columns)    # C1 + V8 (raises on missing columns)
+    # parsed once; a row is named by its file and its number in it, so "first" (C5) and the split depend neither on how the
+    # scan was cut nor on where the files lie
+    rows = S.row_numbers(mapped.select(*S.PLACE, "instruction", "input", "output"), scan)
+    name = F.concat_ws(":", F.element_at(F.split("_file", "/"), -1), F.lpad(F.col("line").cast("string"), 20, "0"))
+    rows.select(name.alias("id"), "instruction", "input", "output").write.parquet(f"{scratch}/parsed")
     keyed = spark.read.parquet(f"{scratch}/parsed")
     split = SP.two_way_split(C.clean_instructions(keyed), "id", test_size=test_size, seed=seed)
     H.chat_messages(split, system_prompt).select("split", "messages").write.partitionBy("split").parquet(f"{scratch}/chat")

@@ -192,29 +192,36 @@ def _cases(cases: dict) -> str:
     return "CASE conv_id % 20 " + " ".join(f"WHEN {k} THEN '{rule}'" for k, (_, rule) in cases.items()) + " END"
 
 
-@query("chat_raw_audit", sql=f"""
-WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index,
+_RAW_SQL = f"""
+t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index,
                   role, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 c AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id),
-k AS (SELECT * FROM t WHERE conv_id % 20 > 5 AND n + (conv_id % 20 < 15)::INT >= 2)
+k AS (SELECT * FROM t WHERE conv_id % 20 > 5 AND n + (conv_id % 20 < 15)::INT >= 2),
+broken AS (
 SELECT conv_id, {_cases(_BROKEN_RECORDS)} AS rule, CAST(NULL AS INTEGER) AS turn_index FROM c WHERE conv_id % 20 <= 5
 UNION ALL SELECT conv_id, 'too_few_turns', NULL FROM c WHERE conv_id % 20 >= 15 AND n < 2
 UNION ALL SELECT conv_id, {_cases(_BROKEN_TURNS)}, n FROM c WHERE conv_id % 20 BETWEEN 6 AND 14
 UNION ALL SELECT conv_id, 'missing_role_or_content', turn_index FROM k WHERE role IS NULL OR text IS NULL
 UNION ALL SELECT conv_id, 'invalid_role', turn_index FROM k WHERE role NOT IN ('system', 'user', 'assistant')
-UNION ALL SELECT conv_id, 'blank_content', turn_index FROM k WHERE {strip('text')} = ''
-UNION ALL SELECT NULL, 'empty_file', NULL""")
-def q_chat_raw_audit(spark, d):
-    """V7, V9 on raw JSONL files: one line per conversation, most with one fault, and an empty file."""
+UNION ALL SELECT conv_id, 'blank_content', turn_index FROM k WHERE {strip('text')} = '')"""
+
+
+def _raw_records(spark, d):
+    """(conv_id, value): one JSON line per conversation, most with one fault."""
     kind = F.col("conv_id") % 20
 
     def case(cases: dict) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for k, (text, _) in cases.items() for x in (k, text)]), kind.cast("int"))
-    messages = F.to_json("messages")
     added = F.concat(F.expr("substr(_m, 1, length(_m) - 1)"), F.lit(","), case(_BROKEN_TURNS), F.lit("]"))
-    lines = X.conversation_messages(spark, d).withColumn("_m", messages)
+    lines = X.conversation_messages(spark, d).withColumn("_m", F.to_json("messages"))
     whole = F.concat(F.lit('{"messages": '), F.coalesce(added, F.col("_m")), F.lit("}"))
-    lines = lines.select(F.concat(F.col("conv_id").cast("string"), F.lit("\t"), F.coalesce(case(_BROKEN_RECORDS), whole)).alias("value"))
+    return lines.select("conv_id", F.coalesce(case(_BROKEN_RECORDS), whole).alias("value"))
+
+
+@query("chat_raw_audit", sql=f"WITH {_RAW_SQL} SELECT * FROM broken UNION ALL SELECT NULL, 'empty_file', NULL")
+def q_chat_raw_audit(spark, d):
+    """V7, V9 on raw JSONL files: one line per conversation, most with one fault, and an empty file."""
+    lines = _raw_records(spark, d).select(F.concat(F.col("conv_id").cast("string"), F.lit("\t"), F.col("value")).alias("value"))
     path = scratch_dir(spark, "chat-raw")
     lines.write.text(f"{path}/records")
     lines.limit(0).coalesce(1).write.text(f"{path}/empty")
@@ -227,6 +234,17 @@ def q_chat_raw_audit(spark, d):
     return broken.unionByName(empty)
 
 
+@query("chat_file_audit", sql=f"""
+WITH {_RAW_SQL}, f AS (SELECT conv_id, conv_id // {X.FILE_IDS} AS part,
+  row_number() OVER (PARTITION BY conv_id // {X.FILE_IDS} ORDER BY conv_id) AS line FROM c)
+SELECT CAST(part AS BIGINT) AS part, CAST(line AS BIGINT) AS line, rule, turn_index FROM broken JOIN f ON broken.conv_id = f.conv_id""")
+def q_chat_file_audit(spark, d):
+    """V7 on JSONL files: file and line number of every rule broken."""
+    path = scratch_dir(spark, "chat-files")
+    X.write_text_files(_raw_records(spark, d), "conv_id", path)
+    return V.chat_file_violations(spark, path).select(X.part_of(), "line", "rule", "turn_index")
+
+
 # ------------------------------------------------------------------- profiling
 _PROMPT = strip("coalesce(instruction, '') || ' ' || coalesce(input, '')")
 

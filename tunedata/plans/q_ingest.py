@@ -82,6 +82,19 @@ def q_read_jsonl_quarantine(spark, d):
     return good
 
 
+@query("jsonl_error_lines", sql=f"""
+WITH {_MJ}, n AS (SELECT *, event_id // {X.FILE_IDS} AS part, row_number() OVER (PARTITION BY event_id // {X.FILE_IDS} ORDER BY event_id) AS line FROM mj)
+SELECT CAST(part AS BIGINT) AS part, CAST(line AS BIGINT) AS line, event_id FROM n WHERE NOT json_valid(metrics_json)""")
+def q_jsonl_error_lines(spark, d):
+    """The number of every malformed line in its file."""
+    mt = _metrics_text(spark, d)
+    path = scratch_dir(spark, "jsonl-lines")
+    line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", "), F.expr("substr(metrics_json, 2)"))
+    X.write_text_files(mt.select("event_id", line.alias("value")), "event_id", path)
+    bad = S.malformed_lines(spark, path)
+    return bad.select(X.part_of(), "line", F.regexp_extract("value", '"event_id": ([0-9]+)', 1).cast("long").alias("event_id"))
+
+
 @query("scores_csv_roundtrip", ctes=("predictions",), sql=_BLEU_SQL + f"""
 SELECT bl.id, bl.model_id, bl.bleu1, {_EM} AS exact_match
 FROM bl JOIN predictions p ON bl.id = p.id AND bl.model_id = p.model_id""")
