@@ -134,16 +134,53 @@ def test_pairs_follow_turn_order_without_dense_turns(spark):
 def test_stretches_equal_plain_windows(spark):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
-    from tunedata.plans.ordered import neighbour_by_stretch, position_by_stretch
+    from tunedata.plans.ordered import neighbour_by_stretch, position_by_rows
     df = spark.range(600).select((F.col("id") % 3 % 2).alias("g"), (F.col("id") * 7 % 601).alias("t"), "id")
     w = Window.partitionBy("g").orderBy("t")
     for k, plain in ((1, F.lead("id").over(w)), (-1, F.lag("id").over(w))):
         out = neighbour_by_stretch(df, ["g"], ["t"], ["id"], F.floor(F.col("t") / 10), offset=k, prefix="n_")
         assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, df.withColumn("n_id", plain).collect()), key=repr)
-    out = position_by_stretch(df, ["g"], ["t"], F.floor(F.col("t") / 10), "p")
+    out = position_by_rows(df, ["g"], ["t"], "p")
     assert sorted(out.collect()) == sorted(df.withColumn("p", (F.row_number().over(w) - 1).cast("long")).collect())
 
 
+def test_rows_without_key_or_order_are_kept(spark):
+    """Null keys are a group, null orders come first; by stretches and by runs of rows, as plain windows."""
+    from tunedata.plans.ordered import neighbour_by_rows, neighbour_by_stretch, position_by_rows
+    df = spark.range(900).select(F.when(F.col("id") % 5 < 3, F.col("id") % 5).alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") * 7 % 901).alias("t"), "id")
+    w = Window.partitionBy("g").orderBy("t", "id")
+    for k, plain in ((1, F.lead("id").over(w)), (-1, F.lag("id").over(w))):
+        want = sorted(map(tuple, df.withColumn("n_id", plain).collect()), key=repr)
+        out = neighbour_by_stretch(df, ["g"], ["t", "id"], ["id"], F.floor(F.col("t") / 10), offset=k, prefix="n_")
+        assert sorted(map(tuple, out.collect()), key=repr) == want
+        assert sorted(map(tuple, neighbour_by_rows(df, ["g"], ["t", "id"], ["id"], k, "n_").collect()), key=repr) == want
+    out = position_by_rows(df, ["g"], ["t", "id"], "p")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, df.withColumn("p", (F.row_number().over(w) - 1).cast("long")).collect()), key=repr)
+    assert neighbour_by_rows(df.limit(0), ["g"], ["t", "id"], ["id"]).count() == 0 and position_by_rows(df.limit(0), ["g"], ["t"], "p").count() == 0
+
+
+def test_runs_are_bounded_when_one_instant_has_all_events(spark, monkeypatch):
+    import datetime as dt
+    from tunedata.operators import catalog as R
+    from tunedata.plans import ordered as O
+    monkeypatch.setattr(O, "RUN_BITS", 6)
+    log = spark.range(5000).select(F.when(F.col("id") % 10 > 0, F.lit("hot")).alias("dataset_id"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"),
+                                   F.col("id").alias("event_id"), (F.col("id") * 7 % 6).alias("ord"))
+    runs = O.in_order(log, ["dataset_id", "ts", "event_id"]).groupBy(F.shiftright("_at", 6).alias("run")).count()
+    sizes = [r["count"] for r in runs.collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 64
+    same = log.select("dataset_id", "ts")                        # rows that are equal in all columns are spread too
+    parts = O.in_order(same, ["dataset_id", "ts"]).groupBy(F.shiftright("_at", 33).alias("part")).count().collect()
+    assert max(r["count"] for r in parts) < 2500
+    got = {r.dataset_id: (r.n_events, r.n_forward, r.n_repeat, r.n_reversed, r.n_skipped) for r in R.lifecycle_audit(log).collect()}
+    rows = {None: [], "hot": []}
+    for i in range(5000):
+        rows["hot" if i % 10 else None].append(i * 7 % 6)
+    for k, o in rows.items():
+        steps = [b - a for a, b in zip(o, o[1:])]
+        assert got[k] == (len(o), steps.count(1), steps.count(0), sum(s < 0 for s in steps), sum(s > 1 for s in steps))
+
+
 def test_eval_split_choice_prefers_validation_then_train(spark):
     from tunedata.sources.files import eval_split_choice
     splits = spark.createDataFrame([("a", "train"), ("a", "validation"), ("b", "train"), ("b", "test"),

@@ -105,3 +105,10 @@ def test_chat_fail_fast(spark):
     good = spark.createDataFrame([(1, '{"messages": [{"role": "user", "content": "a"}, '
                                       '{"role": "assistant", "content": "b"}]}')], "k int, value string")
     V.assert_chat_schema(V.chat_text_violations(good, "k"), "k")
+
+
+def test_turn_audit_keeps_rows_without_number_or_key(spark):
+    rows = [(1, 0, "user", "a"), (1, None, "tool", "b"), (None, 0, "bot", "c"), (2, 5, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, V.chat_turn_violations_long(df, "conv_id").collect()), key=repr)
+    assert got == sorted([(1, "invalid_role", 0), (None, "invalid_role", 0), (None, "too_few_turns", None), (2, "missing_role_or_content", 0), (2, "too_few_turns", None)], key=repr)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import round4
-from tunedata.plans.ordered import global_rank, neighbour_by_stretch
+from tunedata.plans.ordered import global_rank, neighbour_by_rows, neighbour_by_stretch
 
 READY = "ready"
 # The dataset lifecycle, in order (uploaded first, ready last).
@@ -114,13 +114,16 @@ def lifecycle_audit(log: DataFrame, key: str = "dataset_id", ts_col: str = "ts",
     """Transitions checked against the lifecycle order, and the current state.
 
     The log is ordered by ``seq_col`` (a number that grows along the log, dense or not), else by time and
-    ``tie_col``.  The previous state of each event is a ``lag`` inside stretches (``span`` sequence numbers, or
-    one hour), so a dataset with a third of all events is many small windows.  A
-    step is legal when it moves exactly one state forward.
+    ``tie_col``.  The previous state of each event is a ``lag`` inside stretches of ``span`` sequence numbers, or, by time, inside
+    runs of equal numbers of rows (``neighbour_by_rows``), so a dataset with a third of all events, or an hour with all of
+    them, is many small windows.  Events without a dataset are audited as one.  A step is legal when it moves
+    exactly one state forward.
     """
     order = [seq_col] if seq_col else [ts_col, tie_col]
-    stretch = F.floor(F.col(seq_col) / span) if seq_col else F.date_trunc("hour", F.col(ts_col))
-    prev = neighbour_by_stretch(log, [key], order, [ord_col], stretch, offset=-1, prefix="prev_")
+    if seq_col:
+        prev = neighbour_by_stretch(log, [key], order, [ord_col], F.floor(F.col(seq_col) / span), offset=-1, prefix="prev_")
+    else:
+        prev = neighbour_by_rows(log.select(key, *order, ord_col), [key], order, [ord_col], offset=-1, prefix="prev_")
     p, o = F.col(f"prev_{ord_col}"), F.col(ord_col)
     kind = (F.when(p.isNull(), F.when(o == 0, "start").otherwise("bad_start"))
             .when(o == p + 1, "forward").when(o == p, "repeat").when(o < p, "reversed").otherwise("skipped"))

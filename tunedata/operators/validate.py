@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import WS_CLASS, is_missing, ustrip
-from tunedata.plans.ordered import position_by_stretch
+from tunedata.plans.ordered import position_by_rows
 from tunedata.sources.files import PLACE, row_numbers, text_lines
 
 # Severities, the columns an instruction record needs, chat roles,
@@ -220,19 +220,21 @@ def chat_turn_violations_long(turns: DataFrame, key_col: str, order_col: str = "
                               role_col: str = "role", content_col: str = "text") -> DataFrame:
     """V7 over turn-per-row conversations: the same rules, no conversation array built.
 
-    The turn index is the turn's position in the conversation (turn numbers need not be dense).
+    The turn index is the turn's position in the conversation: by turn number (nulls first; numbers need not be dense), ties by
+    role and the md5 of the content.  A null key is a conversation like others.  Rules are checked before rows are
+    ordered, so no text is moved.
     """
-    turns = position_by_stretch(turns, [key_col], [order_col], F.floor(F.col(order_col) / 1024), "_index")
     role, content = F.col(role_col), F.col(content_col)
-    rec = (turns.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < 2)
-           .select(key_col, F.lit("too_few_turns").alias("rule"), F.lit(None).cast("int").alias("turn_index")))
     rules = F.array(
         F.when(role.isNull() | content.isNull(), F.lit("missing_role_or_content")),
         F.when(role.isNotNull() & ~role.isin(*CHAT_ROLES), F.lit("invalid_role")),
         F.when(content.isNotNull() & (ustrip(content) == ""), F.lit("blank_content")))
-    per_turn = turns.select(key_col, F.col("_index").cast("int").alias("turn_index"),
-                            F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
-    return rec.unionByName(per_turn.select(key_col, "rule", "turn_index"))
+    narrow = turns.select(F.col(key_col).alias("_key"), F.col(order_col).alias("_turn"), role.alias("_role"), F.md5(content).alias("_digest"),
+                          F.filter(rules, lambda r: r.isNotNull()).alias("_rules"))
+    rec = (narrow.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < 2)
+           .select(F.col("_key").alias(key_col), F.lit("too_few_turns").alias("rule"), F.lit(None).cast("int").alias("turn_index")))
+    placed = position_by_rows(narrow, ["_key"], ["_turn", "_role", "_digest"], "_index")
+    return rec.unionByName(placed.select(F.col("_key").alias(key_col), F.explode("_rules").alias("rule"), F.col("_index").cast("int").alias("turn_index")))
 
 
 def assert_chat_schema(violations: DataFrame, *key_cols: str) -> None:

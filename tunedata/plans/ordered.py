@@ -11,6 +11,7 @@ equi-joins on unique keys, which spread evenly.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,7 +99,9 @@ def neighbour_by_stretch(df: DataFrame, group_cols: list[str], order_cols: list[
     ``stretch`` cuts a group into runs of bounded length (it must not decrease along the order, e.g. the
     hour of a time or ``floor(n / 1024)`` of a number).  The window runs inside a stretch, so a hot group is
     many small windows; the last row of a stretch gets the edge row of the next stretch that has rows,
-    and only these edge rows (one for each stretch) are ordered per group.  Nothing is checkpointed.
+    and only these edge rows (one for each stretch) are ordered per group.  Nothing is stored.  Null keys are a group, and rows
+    without an order (null stretch) a stretch of it, before the others.  Where stretches can't be bounded by a number, use
+    ``neighbour_by_rows``.
     """
     def sort(c) -> Column:
         return F.col(c).asc() if offset > 0 else F.col(c).desc()
@@ -106,24 +109,86 @@ def neighbour_by_stretch(df: DataFrame, group_cols: list[str], order_cols: list[
     w = Window.partitionBy(*group_cols, "_cut").orderBy(*map(sort, order_cols))
     led = cut.withColumns({"_near": F.lead(F.struct(*value_cols)).over(w), "_edge": F.row_number().over(w) == 1})
     along = Window.partitionBy(*group_cols).orderBy(sort("_cut"))
-    edges = (led.where("_edge").select(*group_cols, "_cut", F.struct(*value_cols).alias("_far"))
-             .withColumn("_cut", F.lag("_cut").over(along)).where(F.col("_cut").isNotNull()))
-    out = led.join(edges, [*group_cols, "_cut"], "left")
+    # the struct tells a null stretch (rows without an order) from no stretch at all
+    edges = (led.where("_edge").select(*group_cols, F.lag(F.struct("_cut")).over(along).alias("_to"), F.struct(*value_cols).alias("_far"))
+             .where(F.col("_to").isNotNull()))
+    keys = [F.col(g).alias(f"_e_{g}") for g in group_cols]
+    edges = edges.select(*keys, F.col("_to._cut").alias("_e__cut"), "_far")
+    out = led.join(edges, _same([*group_cols, "_cut"], "_e_"), "left")
     near = F.coalesce("_near", "_far")
     return out.select(*df.columns, *[near[c].alias(prefix + c) for c in value_cols])
 
 
-def position_by_stretch(df: DataFrame, group_cols: list[str], order_cols: list[str], stretch: Column, out_col: str) -> DataFrame:
-    """0-based position of a row in its group; stretches as in ``neighbour_by_stretch``."""
-    cut = df.withColumn("_cut", stretch)
-    w = Window.partitionBy(*group_cols, "_cut").orderBy(*order_cols)
-    sizes = cut.groupBy(*group_cols, "_cut").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*group_cols).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
-    return (cut.withColumn("_at", F.row_number().over(w) - 1).join(before, [*group_cols, "_cut"])
-            .select(*df.columns, (F.col("_before") + F.col("_at")).cast("long").alias(out_col)))
+def _same(cols: list[str], prefix: str) -> Column:
+    """Null-safe equality of ``cols`` and their prefixed counterparts."""
+    both = [F.col(c).eqNullSafe(F.col(prefix + c)) for c in cols]
+    return reduce(lambda a, b: a & b, both, F.lit(True))
+
+
+# ------------------------------------------------------- runs of equal numbers of rows
+#: rows of a run (a power of two)
+RUN_BITS = 10
+
+
+def in_order(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Stored rows with ``_at``, a number that grows along ``cols`` (nulls first); ``_at >> RUN_BITS`` names runs of at most
+    2^RUN_BITS rows.
+
+    The bounds of the range exchange are quantiles that Spark samples, so parts hold about as many rows each, whatever the
+    values: a group or an instant with a third of all rows is spread like any other, and so are rows that are equal in all columns.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in cols]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(n, *order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie"))
+    return staged(ranged.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "in-order")
 
 
+def neighbour_by_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
+                      offset: int = 1, prefix: str = "next_") -> DataFrame:
+    """``lead`` (offset 1) / ``lag`` (offset -1) by a total order (nulls first) inside groups; null keys are a group.
+
+    No window holds more than 2^RUN_BITS rows: rows are stored in order and cut into runs by number.  The row beyond the
+    end of a run comes from the run beside it (one row per run); runs are ordered per task, and tasks among each other (one row per task).
+    """
+    run, part = F.shiftright("_at", RUN_BITS), F.shiftright("_at", 33)
+    rows = in_order(df, [*group_cols, *order_cols]).withColumns({"_run": run, "_g": F.struct(*group_cols)})
+    along = Window.partitionBy("_run").orderBy(F.col("_at") if offset > 0 else F.col("_at").desc())
+    both = F.struct("_g", F.struct(*value_cols).alias("v"))
+    led = rows.withColumns({"_near": F.lead(both).over(along), "_last": F.lead("_at").over(along).isNull()})
+    pick = F.min_by if offset > 0 else F.max_by
+    ends = rows.groupBy("_run", part.alias("_part")).agg(pick(both, F.col("_at")).alias("_far"))          # the row that a neighbouring run sees
+    step = F.col("_run") if offset > 0 else F.col("_run").desc()
+    task = F.col("_part") if offset > 0 else F.col("_part").desc()
+    tasks = ends.groupBy("_part").agg((F.max if offset > 0 else F.min)("_run").alias("_edge"))             # one row per task
+    tasks = tasks.select("_part", F.lag("_edge").over(Window.orderBy(task)).alias("_edge"))
+    to = F.coalesce(F.lag("_run").over(Window.partitionBy("_part").orderBy(step)), "_edge")
+    seen = ends.join(F.broadcast(tasks), "_part").select(to.alias("_to"), "_far").where(F.col("_to").isNotNull())
+    out = led.join(seen, (F.col("_run") == F.col("_to")) & F.col("_last"), "left")
+    near = F.coalesce("_near", "_far")
+    same = near["_g"].eqNullSafe(F.col("_g"))
+    return out.select(*df.columns, *[F.when(same, near["v"][c]).alias(prefix + c) for c in value_cols])
+
+
+def position_by_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str) -> DataFrame:
+    """0-based position of a row in its group by a total order (nulls first); null keys are a group.
+
+    A row's number in the whole order is its place in its task plus the rows of earlier tasks (one broadcast row per task); its
+    group starts at the least of its numbers, a pre-aggregated minimum.
+    """
+    part = F.shiftright("_at", 33)
+    rows = in_order(df, [*group_cols, *order_cols])
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    number = F.col("_before") + F.col("_at") - F.shiftleft(part, 33)
+    ranked = rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_no", number)
+    first = ranked.groupBy(*[F.col(g).alias(f"_s_{g}") for g in group_cols]).agg(F.min("_no").alias("_start"))
+    out = ranked.join(first, _same(group_cols, "_s_"))
+    return out.select(*df.columns, (F.col("_no") - F.col("_start")).cast("long").alias(out_col))
+
+
+# ----------------------------------------------------------- places without ranks
 class Cut(NamedTuple):
     """The key that covers a place of an order: ``before`` places lie before it, and it takes ``weight`` of them."""
     key: str

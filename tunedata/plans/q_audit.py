@@ -153,10 +153,11 @@ def q_ingest_gate(spark, d):
     return V.ingest_gate(V.validation_report(doc_records(spark, d), "dataset_id"), "dataset_id")
 
 
-_CHAT_AUDIT_SQL = f"""
-WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index,
-                  role, text FROM conversations),
-rec AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+def _chat_audit_sql(turns: str) -> str:
+    return f"""
+t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) - 1 AS INTEGER)
+        AS turn_index, role, text FROM {turns}),
+rec AS (SELECT conv_id, count(*) AS n FROM {turns} GROUP BY conv_id)
 SELECT conv_id, 'too_few_turns' AS rule, CAST(NULL AS INTEGER) AS turn_index FROM rec WHERE n < 2
 UNION ALL SELECT conv_id, 'missing_role_or_content', turn_index FROM t WHERE role IS NULL OR text IS NULL
 UNION ALL SELECT conv_id, 'invalid_role', turn_index FROM t
@@ -164,12 +165,29 @@ UNION ALL SELECT conv_id, 'invalid_role', turn_index FROM t
 UNION ALL SELECT conv_id, 'blank_content', turn_index FROM t WHERE text IS NOT NULL AND {strip('text')} = ''"""
 
 
-@query("chat_schema_audit", sql=_CHAT_AUDIT_SQL)
+@query("chat_schema_audit", sql="WITH " + _chat_audit_sql("conversations"))
 def q_chat_schema_audit(spark, d):
     return V.chat_turn_violations_long(X.table(spark, d, "conversations"), "conv_id")
 
 
-@query("chat_schema_audit_records", sql=_CHAT_AUDIT_SQL)
+@query("chat_broken_turns_audit", sql="""
+WITH broken AS (SELECT CASE WHEN conv_id % 9 <> 4 THEN conv_id END AS conv_id, CASE WHEN (conv_id + 5 * turn) % 7 <> 3 THEN turn END AS turn,
+  CASE (conv_id * 3 + turn) % 13 WHEN 2 THEN 'tool' WHEN 5 THEN NULL ELSE role END AS role,
+  CASE (conv_id * 5 + turn) % 11 WHEN 2 THEN chr(10) || '  ' WHEN 5 THEN NULL ELSE text END AS text
+  FROM conversations WHERE conv_id % 10 <> 7 OR turn = 0),
+""" + _chat_audit_sql("broken"))
+def q_chat_broken_turns_audit(spark, d):
+    """V7 on turn rows with faults: no conversation id, no number, other or no roles, blank or no text, single turns."""
+    c, t = F.col("conv_id"), F.col("turn")
+    rows = X.table(spark, d, "conversations").where((c % 10 != 7) | (t == 0))
+    role, text = (c * 3 + t) % 13, (c * 5 + t) % 11
+    rows = rows.select(F.when(c % 9 != 4, c).alias("conv_id"), F.when((c + 5 * t) % 7 != 3, t).alias("turn"),
+                       F.when(role == 2, "tool").when(role != 5, F.col("role")).alias("role"),
+                       F.when(text == 2, "\n  ").when(text != 5, F.col("text")).alias("text"))
+    return V.chat_turn_violations_long(rows, "conv_id")
+
+
+@query("chat_schema_audit_records", sql="WITH " + _chat_audit_sql("conversations"))
 def q_chat_schema_audit_records(spark, d):
     """V7 on chat records (``messages`` arrays)."""
     return V.chat_turn_violations(X.conversation_messages(spark, d), "conv_id")
