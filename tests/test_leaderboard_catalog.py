@@ -98,3 +98,23 @@ def test_typed_json_columns_round_trip(spark):
     assert isinstance(typed.schema["hyperparameters"].dataType, T.MapType)
     back = typed.select(F.to_json("tags").alias("t")).first().t
     assert back == '["a","b"]'
+
+
+def test_ranks_by_counting_equal_windows(spark):
+    """Many equal values, nulls, a group with most rows; nothing runs while the plan is built."""
+    from pyspark.sql import Window
+    from tunedata.plans.ordered import rank_by_counting
+    df = spark.range(800).select(F.when(F.col("id") % 9 > 0, (F.col("id") % 9 > 2).cast("int")).alias("g"),
+                                 F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("a"), (F.col("id") * 31 % 5).alias("b"), "id")
+    w = Window.partitionBy("g").orderBy("a", "b", "id")
+    want = sorted(map(tuple, df.withColumn("r", F.row_number().over(w).cast("long")).collect()), key=repr)
+    for levels, order in (([["a"], ["b"]], ["id"]), ([["a", "b"]], ["id"]), ([], ["a", "b", "id"])):
+        assert sorted(map(tuple, rank_by_counting(df, ["g"], levels, order, "r").collect()), key=repr) == want
+
+
+def test_list_positions(spark):
+    import datetime as dt
+    rows = [(f"k{i}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=[0, 30, 30, 3600, 90000][i % 5], microseconds=i % 2)) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp")
+    got = [r.k for r in R.list_recent(df, "ts", "k", "pos").orderBy("pos").collect()]
+    assert got == [k for k, t in sorted(sorted(rows), key=lambda r: r[1], reverse=True)]

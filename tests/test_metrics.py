@@ -6,7 +6,9 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tunedata.functions.pairstats import bigrams, lcs_length, overlap_count
+from pyspark.sql import functions as F
+
+from tunedata.functions.pairstats import bigrams, lcs_length, overlap
 from tunedata.operators import metrics as M
 
 PAIR = "id long, model_id string, reference string, prediction string"
@@ -24,7 +26,6 @@ def _dp_lcs(a, b):
 @given(st.lists(st.sampled_from("abcde"), max_size=70), st.lists(st.sampled_from("abcde"), max_size=70))
 def test_lcs_equals_dp(a, b):
     assert lcs_length(a, b) == _dp_lcs(a, b) == lcs_length(b, a) <= min(len(a), len(b))
-    assert overlap_count(a, b) == sum((Counter(a) & Counter(b)).values())
 
 
 def _scores(spark, pred, ref):
@@ -90,8 +91,16 @@ def test_pair_scores_equal_plain_python(spark):
         assert all(0.0 <= v <= 1.0 for v in (g.bleu1, g.rouge_l, g.rouge1, g.rouge2, g.rougeL, g.word_f1))
 
 
-def test_bigrams_helper():
-    assert bigrams(["a", "b", "c"]) == [("a", "b"), ("b", "c")] and bigrams(["a"]) == []
+def test_overlaps_equal_counters(spark):
+    rnd = random.Random(9)
+    sides = [[rnd.choice(["a", "b", "B", "é", "a1", "1"]) for _ in range(rnd.choice([0, 1, 2, 5, 40]))] for _ in range(400)]
+    rows = list(zip(range(200), sides[:200], sides[200:])) + [(200, ["x"] * 20000, ["y", "x"] * 15000)]
+    df = spark.createDataFrame(rows, "id int, a array<string>, b array<string>")
+    got = {r.id: (r.o, r.o2) for r in df.select("id", overlap(F.col("a"), F.col("b")).alias("o"),
+                                                overlap(bigrams(F.col("a")), bigrams(F.col("b"))).alias("o2")).collect()}
+    for i, a, b in rows:
+        pairs = [Counter(zip(x, x[1:])) for x in (a, b)]
+        assert got[i] == (sum((Counter(a) & Counter(b)).values()), sum((pairs[0] & pairs[1]).values()))
 
 
 def test_stemmed_rouge_with_a_stems_table(spark):

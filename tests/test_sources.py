@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tunedata.sources import files as S
 
 
@@ -133,3 +135,21 @@ def test_ingest_names_the_broken_line(spark, tmp_dir):
         f.write('{"instruction": "a", "output": "b"}\n\n{"instruction": \n')
     with pytest.raises(ValueError, match="d.jsonl, line 3:"):
         ingest_dataset(spark, f"{tmp_dir}/d.jsonl", ".jsonl", "d", f"{tmp_dir}/out", f"{tmp_dir}/registry")
+
+
+def test_partitioned_writes_make_files_by_size(spark, tmp_dir):
+    import glob
+    rows = spark.range(20000).repartition(40).select("id", F.when(F.col("id") % 50 > 0, "train").when(F.col("id") % 100 == 0, "test").otherwise("validation").alias("split"),
+                                                     F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    S.write_jsonl(rows, f"{tmp_dir}/whole", ["split"])
+    assert len(glob.glob(f"{tmp_dir}/whole/split=*/part-*")) == 3
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400k")
+    try:
+        S.write_jsonl(rows, f"{tmp_dir}/cut", ["split"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    n = {s: len(glob.glob(f"{tmp_dir}/cut/split={s}/part-*")) for s in ("train", "validation", "test")}
+    assert n["train"] >= 3 and sum(n.values()) < 20
+    for path in ("whole", "cut"):
+        assert sorted(spark.read.json(f"{tmp_dir}/{path}").select("id", "split").collect()) == sorted(rows.select("id", "split").collect())

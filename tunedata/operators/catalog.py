@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import round4
-from tunedata.plans.ordered import global_rank, neighbour_by_rows, neighbour_by_stretch
+from tunedata.plans.ordered import neighbour_by_rows, neighbour_by_stretch, rank_by_counting
 
 READY = "ready"
 # The dataset lifecycle, in order (uploaded first, ready last).
@@ -37,10 +37,13 @@ def lookup(df: DataFrame, key_set: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def list_recent(df: DataFrame, ts_col: str, key: str, pos_col: str | None = None) -> DataFrame:
-    """Newest first (a range sort); with ``pos_col`` also the position, by a global rank."""
+    """Newest first (a range sort); with ``pos_col`` also the 0-based position, by counts per day, minute and instant."""
     if pos_col is None:
         return df.orderBy(F.col(ts_col).desc(), F.col(key).asc())
-    return global_rank(df, [F.col(ts_col).desc(), F.col(key).asc()], pos_col)
+    late = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    keyed = df.withColumns({"_us": -late, "_min": -F.floor(late / 60_000_000), "_day": -F.floor(late / 86_400_000_000)})
+    ranked = rank_by_counting(keyed, [], [["_day"], ["_min"], ["_us"]], [key], pos_col)
+    return ranked.withColumn(pos_col, F.col(pos_col) - 1).drop("_us", "_min", "_day")
 
 
 def parse_json_column(df: DataFrame, col: str, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:

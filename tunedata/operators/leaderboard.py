@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import round2, round4
-from tunedata.plans.ordered import row_number_in_group
+from tunedata.plans.ordered import rank_by_counting
 
 # Fallbacks used when a model has no registered checkpoint.
 UNKNOWN_BASE = "N/A"
@@ -55,8 +55,9 @@ def leaderboard(entries: DataFrame, checkpoints: DataFrame, per_metric: bool = F
         w = Window.partitionBy(*part).orderBy(F.col("metric_value").desc(), F.col("metric_raw").desc(), "model_id")
         ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
     else:
-        ranked = row_number_in_group(best.withColumn("_nv", -F.col("metric_value")).withColumn("_nr", -F.col("metric_raw")),
-                                     part, ["_nv", "_nr", "model_id"], "rank").drop("_nv", "_nr")
+        # by rounded value, then raw value and the first characters of the id, then the id
+        keyed = best.withColumns({"_nv": -F.col("metric_value"), "_nr": -F.col("metric_raw"), "_id": F.substring("model_id", 1, 6)})
+        ranked = rank_by_counting(keyed, part, [["_nv"], ["_nr", "_id"]], ["model_id"], "rank").drop("_nv", "_nr", "_id")
     return enrich(ranked, checkpoints).select(
         *part, "rank", "model_id", "model_name", "base_model",
         *([] if per_metric else ["metric_name"]), "metric_value", "evaluated_at")

@@ -1,7 +1,7 @@
 """Evaluation metrics (E1-E14) as per-pair tables plus aggregates.
 
-Per-pair scores are row expressions: multiset overlaps (BLEU-1, ROUGE-1/2)
-are a sort-and-count pass inside each row, so the per-pair table needs no
+Per-pair scores are row expressions: multiset overlaps (BLEU-1, ROUGE-1/2) number
+the equal tokens of a sorted array and intersect, so the per-pair table needs no
 shuffle at all and is as parallel as the input.  LCS (ROUGE-L) is the only
 Python step (Arrow UDF over token arrays).  Means are ordinary aggregates.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunedata.functions.pairstats import token_pair_stats
+from tunedata.functions.pairstats import bigrams, lcs, overlap
 from tunedata.functions.text import lower_tokens, round2, round4, rouge_tokens, ustrip
 
 GENERATION, CLASSIFICATION = "generation", "classification"
@@ -75,9 +75,8 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
     """Per-pair metric table as one projection (no shuffle).
 
     * bleu1 (E2), rouge1 / rouge2 (E4): clipped multiset overlaps of tokens or
-      bigrams; rouge_l (E3, reference tokens) and rougeL (E4, rouge-score
-      tokens): LCS.  Overlaps and LCS lengths come from one Arrow UDF call per
-      batch (functions/pairstats.py) -- the only Python step.
+      bigrams, native; rouge_l (E3, reference tokens) and rougeL (E4, rouge-score
+      tokens): LCS by an Arrow UDF (functions/pairstats.py) -- the only Python step.
     * exact_match (E5), word_f1 (E6, ``array_intersect``): row expressions.
     Token arrays are materialised once as columns and shared by all metrics.
     With ``stems``, the rouge-score tokens are stemmed first (``stem_tokens``).
@@ -96,13 +95,10 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
     staged = pairs.select(*cols)
     if stems is not None and need_rs:
         staged = stem_tokens(stem_tokens(staged, keys, "_pr", stems), keys, "_rr", stems)
-    want = ("bleu1" in metrics, "rouge_l" in metrics, "rouge1" in metrics, "rouge2" in metrics,
-            "rougeL" in metrics)
-    if any(want):
-        empty = F.array().cast("array<string>")
-        arrays = [F.col(c) if need else empty
-                  for c, need in (("_pl", need_ref), ("_rl", need_ref), ("_pr", need_rs), ("_rr", need_rs))]
-        staged = staged.withColumn("_st", token_pair_stats(*arrays, want))
+    stats = {"bleu1": lambda: overlap(F.col("_pl"), F.col("_rl")), "rouge_l": lambda: lcs(F.col("_pl"), F.col("_rl")),
+             "rouge1": lambda: overlap(F.col("_pr"), F.col("_rr")), "rougeL": lambda: lcs(F.col("_pr"), F.col("_rr")),
+             "rouge2": lambda: overlap(bigrams(F.col("_pr")), bigrams(F.col("_rr")))}
+    staged = staged.withColumns({f"_st_{m}": stats[m]() for m in metrics if m in stats})
 
     def n_grams(arr: str, n: int) -> Column:
         return F.greatest(F.size(arr) - (n - 1), F.lit(0))
@@ -112,17 +108,17 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
         if m == "bleu1":
             n_p, n_r = F.size("_pl"), F.size("_rl")
             out.append(F.when((n_p == 0) | (n_r == 0), F.lit(0.0))
-                       .otherwise(F.col("_st.ov_ref").cast("double") / n_p).alias("bleu1"))
+                       .otherwise(F.col("_st_bleu1").cast("double") / n_p).alias("bleu1"))
         elif m in ("rouge1", "rouge2"):
             n = 1 if m == "rouge1" else 2
-            ov = F.col("_st.ov_rs1" if n == 1 else "_st.ov_rs2").cast("double")
+            ov = F.col(f"_st_{m}").cast("double")
             p = ov / F.greatest(n_grams("_pr", n), F.lit(1))
             r = ov / F.greatest(n_grams("_rr", n), F.lit(1))
             out.append(_f(p, r).alias(m))
         elif m == "rouge_l":
-            out.append(_lcs_score(F.col("_st.lcs_ref"), F.size("_pl"), F.size("_rl"), True).alias("rouge_l"))
+            out.append(_lcs_score(F.col("_st_rouge_l"), F.size("_pl"), F.size("_rl"), True).alias("rouge_l"))
         elif m == "rougeL":
-            out.append(_lcs_score(F.col("_st.lcs_rs"), F.size("_pr"), F.size("_rr"), False).alias("rougeL"))
+            out.append(_lcs_score(F.col("_st_rougeL"), F.size("_pr"), F.size("_rr"), False).alias("rougeL"))
         elif m == "word_f1":
             out.append(word_f1_from_counts(F.size(F.array_intersect("_pl", "_rl")), F.size("_pl"), F.size("_rl")).alias("word_f1"))
         else:

@@ -188,6 +188,26 @@ def position_by_rows(df: DataFrame, group_cols: list[str], order_cols: list[str]
     return out.select(*df.columns, (F.col("_no") - F.col("_start")).cast("long").alias(out_col))
 
 
+def rank_by_counting(df: DataFrame, group_cols: list[str], levels: list[list[str]], order_cols: list[str], out_col: str) -> DataFrame:
+    """1-based rank of a row in its group by ``order_cols`` (ascending, nulls first), from counts.
+
+    ``levels`` refine the order step by step: all rows of a smaller key of a level lie before all of a greater one.  The rows of a key
+    are counted (pre-aggregated), prefix sums over the keys inside the key above say how many rows lie before, and only rows that agree in all
+    levels are numbered by a window.  Nothing is sorted as a whole, stored or run while the plan is built; a window holds the different keys of
+    one level inside one key, or the rows of one last key.
+    """
+    out, keys, before = df, list(group_cols), F.lit(0)
+    for k, level in enumerate(levels):
+        counts = df.groupBy(*keys, *level).agg(F.count(F.lit(1)).alias("_n"))
+        along = Window.partitionBy(*keys).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
+        keys = keys + level
+        offset = counts.select(*[F.col(c).alias(f"_k{k}_{c}") for c in keys], F.coalesce(F.sum("_n").over(along), F.lit(0)).alias(f"_b{k}"))
+        out = out.join(offset, _same(keys, f"_k{k}_")).drop(*[f"_k{k}_{c}" for c in keys])
+        before = before + F.col(f"_b{k}")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols))
+    return out.select(*df.columns, (before + inside).cast("long").alias(out_col))
+
+
 # ----------------------------------------------------------- places without ranks
 class Cut(NamedTuple):
     """The key that covers a place of an order: ``before`` places lie before it, and it takes ``weight`` of them."""

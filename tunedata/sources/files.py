@@ -139,11 +139,16 @@ def check_jsonl(spark: SparkSession, path: str) -> None:
 
 # ------------------------------------------------------------------ writers
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "error") -> None:
-    """JSON lines (Spark does not escape non-ASCII); one directory per split if asked."""
-    w = df.write.mode(mode).options(**JSON_TIME_OPTIONS)
+    """JSON lines (Spark does not escape non-ASCII); one directory per split if asked.
+
+    Partitioned rows are rebalanced on the partition columns first: AQE cuts a large split into tasks of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and puts small ones together, so the number of files follows the bytes
+    written, not tasks times splits.
+    """
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.json(path)
+        df.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode(mode).options(**JSON_TIME_OPTIONS).partitionBy(*partition_by).json(path)
+    else:
+        df.write.mode(mode).options(**JSON_TIME_OPTIONS).json(path)
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
