@@ -154,6 +154,13 @@ def test_a_long_path_does_not_count_its_labels_again_and_a_different_branch_stay
     assert abs(got["http://h.net/p/good/1"].bad_share - 10 * node / 40) < 1e-12
 
 
+def test_long_segments_are_linear(spark):
+    segments = ["a1b" + "c" * 400_000 + "!", "7" * 400_000, "x" * 400_000, "a1" * 200_000 + ".html"]
+    df = spark.createDataFrame([(i, f"http://h.net/{x}/1") for i, x in enumerate(segments)], "page_id long, url string")
+    got = {r.page_id: r.template for r in url_filter.judge_urls(df).collect()}
+    assert [got[i].count("*") for i in range(4)] == [1, 2, 1, 2]
+
+
 # ---- 4 and 5 tokens
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aA1é'sß \n\t\u00a0\u3000中.<|>endoftext🙂")), max_size=60))
@@ -419,6 +426,14 @@ def test_bad_hosts_go_and_small_ones_do_not(spark):
     assert not any(kept[i] for i in range(400)) and all(kept[1000 + i] for i in range(2000)) and kept[5001]
 
 
+def test_windows_of_very_long_texts_are_counted_exactly(spark):
+    """Two million different words: no repeated window, though positions take 21 bits of the sorted numbers."""
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"),
+                                 F.expr("array_join(transform(sequence(1, 2000000), x -> concat('w', x)), ' ') || ' w7 w8 w9 w10'").alias("text"))
+    row = quality_rules.document_features(docs).select("n_words", "n_repeat_words").first()
+    assert tuple(row) == (2_000_004, 8)
+
+
 # ---- 10 exact dedup
 @pytest.mark.parametrize("keep, rounds, radix", [("max", 2, None), ("min", 3, 2)])
 def test_copies(docs, none, keep, rounds, radix):

@@ -2,7 +2,9 @@
 
 Document rules are counted inside the row, without exploding words:
 repeated three-word windows are found by sorting one 64-bit number per window
-(hash above, position below) and comparing neighbours.
+(hash above, position below) and comparing neighbours; as the position takes bits of the hash, the windows
+found are sorted and compared again by the whole hash.  What remains is a chance of about
+(windows of a text)^2 / 2^65 that two different ones share all 64 bits.
 
 Host rules: the failures of each rule are summed per host (pre-aggregated before
 the shuffle), the rates of all hosts fit a beta prior by moments, and each host's
@@ -45,7 +47,15 @@ def repeated_words(words: Column) -> Column:
         hit = F.filter(s["k"], lambda x, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
         low = F.expr("1L")
         mask = F.call_function("shiftleft", low, s["b"]) - 1
-        return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(mask)))
+
+        def full(x: Column) -> Column:
+            p = x.bitwiseAND(mask).cast("int")
+            return F.struct(F.xxhash64(*[F.xxhash64(F.get(s["w"], p + j)) for j in range(3)]).alias("h"), p.cast("long").alias("p"))
+
+        def again(t: Column) -> Column:
+            """Windows whose whole hash is found twice."""
+            return F.filter(t, lambda x, i: F.coalesce((x["h"] == F.get(t, i - 1)["h"]), F.lit(False)) | F.coalesce(x["h"] == F.get(t, i + 1)["h"], F.lit(False)))
+        return F.sort_array(F.transform(let(F.sort_array(F.transform(hit, full)), again), lambda x: x["p"]))
 
     def covered(p: Column) -> Column:
         """Union length of [p, p + 3) over sorted positions."""
@@ -53,11 +63,11 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def count(s: Column) -> Column:
-        return let(F.struct(F.sort_array(s["k"]).alias("k"), s["b"].alias("b")), lambda t: let(starts(t), covered))
+        return let(F.struct(F.sort_array(s["k"]).alias("k"), s["b"].alias("b"), s["w"].alias("w")), lambda t: let(starts(t), covered))
 
     low = F.ceil(F.log2(F.size(words).cast("double") + 1)).cast("int")
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(
-        let(F.struct(_windows(words).alias("k"), low.alias("b")), count))
+        let(F.struct(_windows(words).alias("k"), low.alias("b"), words.alias("w")), count))
 
 
 def document_features(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50,

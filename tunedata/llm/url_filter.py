@@ -30,9 +30,10 @@ from tunedata.llm.common import ascii_lower, staged
 #: (verdict, host, path): given rules of the production query, longest first wins
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: segments that are values by their form
+#: segments that are values by their form; the last form has two digits or more (written so that only one way of matching
+#: exists, which keeps long segments linear)
 VALUE = (r"^(?:[0-9]+|[0-9]+\.[A-Za-z]{1,5}|[0-9a-fA-F]{8,}|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|[0-9a-fA-F-]{32,36}"
-         r"|[A-Za-z_-]*[0-9][A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*(?:\.[A-Za-z]{1,5})?)$")
+         r"|[A-Za-z_-]*[0-9][A-Za-z_-]*[0-9][A-Za-z0-9_-]*(?:\.[A-Za-z]{1,5})?)$")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
