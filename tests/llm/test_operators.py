@@ -341,6 +341,49 @@ def test_targets_reshare_the_excess():
     assert got[0] == 20 and abs(got[1] - 295 * 2 / 3) < 1e-9 and abs(got[2] - 295 / 3) < 1e-9
 
 
+def test_source_targets_against_the_plain_list(spark):
+    names = [f"s{i:04d}" for i in range(3000)] + [None]
+    words = [(i * 7919) % 5003 * (1000 if i % 97 == 0 else 1) for i in range(len(names))]
+    hist = spark.createDataFrame([(s, w, 1) for s, w in zip(names, words)], "__mix_source string, __mix_size long, n long")
+    for share in (0.3, 1.5, 1.99, 2.5):
+        got = {r.source: r for r in mixing.source_table(hist, share=share).collect()}
+        want = mixing.targets(list(zip(names, words)), (5, 2, 1), share, 2)
+        assert [got[s].sid for s in names] == list(range(len(names)))
+        assert all(abs(got[s].target - t) <= 1e-9 * max(t, 1) for s, t in zip(names, want))
+
+
+def test_mixing_rates_against_bisection(spark):
+    """The tilted rates of every source, from plain bisection over its documents."""
+    sizes = {s: [1 + (i * i * k) % 97 + (3000 if i == 5 and k == 3 else 0) for i in range(40 * k)] for k, s in enumerate(["a", "b", "c", None], 1)}
+    docs = spark.createDataFrame([(n, s, " ".join(["w"] * w)) for n, (s, w) in enumerate((s, w) for s, ws in sizes.items() for w in ws)],
+                                 "doc_id long, source string, text string")
+    got = mixing.mix_sources(docs).collect()
+    for s, ws in sizes.items():
+        target, mean = next(r.target for r in got if r.source == s), sum(ws) / len(ws)
+
+        def taken(lam):
+            return sum(w * min(2.0, math.exp(min(lam * w / mean, 1.0))) for w in ws)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if taken(mid) < target else (low, mid)
+        for r in got:
+            if r.source == s:
+                assert abs(r.rate - (2.0 if target >= 2 * sum(ws) else min(2.0, math.exp(min(low * r.size / mean, 1.0))))) < 1e-4
+
+
+def test_mixing_many_sources(spark):
+    """More sources than a driver loop should hold: one row each, targets add up, no document beyond two copies."""
+    n = 120_000
+    docs = spark.range(n * 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % n).cast("string")).alias("source"),
+                                     F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    got = mixing.mix_sources(docs)
+    row = got.agg(F.count("*").alias("n"), F.max(F.col("taken") / F.col("size")).alias("most"), F.sum("size").alias("size"),
+                  F.sum(F.col("target") * F.col("size") / F.col("source_size")).alias("target"), F.sum("taken").alias("taken")).first()
+    assert row.n == 2 * n and row.most <= 2 and abs(row.target - 1.5 * row.size) < 1e-6 * row.size
+    assert abs(row.taken - row.target) < 0.05 * row.target
+
+
 # ---- 8 Jaccard join
 def word_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
