@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import warnings
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -377,7 +378,9 @@ def test_mixing_many_sources(spark):
     n = 120_000
     docs = spark.range(n * 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % n).cast("string")).alias("source"),
                                      F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text"))
-    got = mixing.mix_sources(docs)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)                          # every source must reach its target
+        got = mixing.mix_sources(docs)
     row = got.agg(F.count("*").alias("n"), F.max(F.col("taken") / F.col("size")).alias("most"), F.sum("size").alias("size"),
                   F.sum(F.col("target") * F.col("size") / F.col("source_size")).alias("target"), F.sum("taken").alias("taken")).first()
     assert row.n == 2 * n and row.most <= 2 and abs(row.target - 1.5 * row.size) < 1e-6 * row.size

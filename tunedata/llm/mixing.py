@@ -59,7 +59,7 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], sha
 
 
 def _exact_sum(c: Column) -> Column:
-    return F.sum(F.round(c, 4).cast("decimal(38,4)"))
+    return F.sum(F.round(c, 9).cast("decimal(38,9)"))
 
 
 def _rate(size: Column, max_copies: int) -> Column:
