@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunedata.plans.ordered import sums_by_rows
+
 # Default prompts and the ChatML markers of the Qwen2.5 chat template.
 DEFAULT_SYSTEM_PROMPT = "You are a helpful assistant."
 TEMPLATE_DEFAULT_SYSTEM = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."
@@ -122,14 +124,17 @@ def sft_tokens(df: DataFrame, bos: str = "", eos: str = "", max_length: int = MA
 
 
 # ---------------------------------------------------- turn-per-row conversations
-# The same formatting for tables that keep one row per turn.  Everything is an
-# aggregate per conversation (ordered ``listagg``, ``min_by``), partially
-# aggregated before the shuffle; no array of the whole conversation is built.
+# The same formatting for tables that keep one row per turn.  ``min_by`` is partially aggregated before the
+# shuffle; ``listagg`` gathers a conversation's text in one buffer.  ``render_chunks`` and ``message_chunks`` are the
+# forms for conversations of any length.
+def _turn_text(role_col: str, text_col: str) -> Column:
+    return F.concat(F.lit(IM_START), F.col(role_col), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")), F.lit(IM_END + "\n"))
+
+
 def render_turns(turns: DataFrame, key: str = "conv_id", order_col: str = "turn", role_col: str = "role",
                  text_col: str = "text", default_system: str | None = TEMPLATE_DEFAULT_SYSTEM) -> DataFrame:
     """F3 over turn rows: ChatML text per conversation."""
-    piece = F.concat(F.lit(IM_START), F.col(role_col), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")),
-                     F.lit(IM_END + "\n")).alias("_piece")
+    piece = _turn_text(role_col, text_col).alias("_piece")
     body = F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY {order_col})")
     agg = (turns.select(key, order_col, role_col, piece).groupBy(key)
            .agg(body.alias("_body"), F.min_by(role_col, order_col).alias("_first_role")))
@@ -140,6 +145,44 @@ def render_turns(turns: DataFrame, key: str = "conv_id", order_col: str = "turn"
     return agg.select(key, text.alias("text"))
 
 
+def render_chunks(turns: DataFrame, key: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text",
+                  default_system: str | None = TEMPLATE_DEFAULT_SYSTEM, chunk_chars: int = 1 << 20) -> DataFrame:
+    """F3 for conversations of any length: rows (key, ``chunk``, ``first_turn``, ``n_turns``, ``start``, ``text``); the texts of a
+    conversation's chunks, in order of ``chunk``, are its ChatML text.
+
+    ``first_turn`` is the position of the chunk's first turn, ``start`` the number of characters of the turns before it (an added
+    system turn, which leads the first chunk, is not counted).  Turns are never cut: a turn belongs to chunk
+    ``floor(start of the turn / chunk_chars)``, so a chunk is shorter than ``chunk_chars`` and one turn, and numbers that a long turn
+    runs over are missing.  No task and no buffer holds more of a conversation than a chunk.  Turns of equal number stay in stored order, null
+    numbers come first, null keys are one conversation; a turn with a null role has no text.
+    """
+    piece = turns.select(F.col(key).alias("_key"), F.col(order_col).alias("_order"), F.col(role_col).alias("_role"),
+                         _turn_text(role_col, text_col).alias("_piece"))
+    placed = sums_by_rows(piece, ["_key"], ["_order"], {"_pos": F.lit(1), "_start": F.length("_piece")})
+    if default_system is not None:
+        lead = F.lit(f"{IM_START}system\n{default_system}{IM_END}\n")
+        missing = (F.col("_pos") == 0) & (F.coalesce(F.col("_role"), F.lit("")) != "system")
+        placed = placed.withColumn("_piece", F.when(missing, F.concat(lead, F.coalesce("_piece", F.lit("")))).otherwise(F.col("_piece")))
+    return (placed.groupBy(F.col("_key").alias(key), F.floor(F.col("_start") / chunk_chars).alias("chunk"))
+            .agg(F.min("_pos").alias("first_turn"), F.count(F.lit(1)).alias("n_turns"), F.min("_start").alias("start"),
+                 F.coalesce(F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _pos)"), F.lit("")).alias("text")))
+
+
+def message_chunks(turns: DataFrame, key: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text",
+                   chunk_turns: int = 1024) -> DataFrame:
+    """F11 for conversations of any length: rows (key, ``chunk``, ``messages``) of ``chunk_turns`` turns each (the last one of fewer),
+    numbered from 0; order as in ``render_chunks``."""
+    named = turns.select(F.col(key).alias("_key"), F.col(order_col).alias("_order"), F.col(role_col).alias("role"), F.col(text_col).alias("content"))
+    placed = sums_by_rows(named, ["_key"], ["_order"], {"_pos": F.lit(1)})
+    messages = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "role", "content"))), lambda m: message(m["role"], m["content"]))
+    return placed.groupBy(F.col("_key").alias(key), F.floor(F.col("_pos") / chunk_turns).alias("chunk")).agg(messages.alias("messages"))
+
+
+def joined_chunks(chunks: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Whole texts of the conversations in ``chunks`` (from ``render_chunks``; filter it to those asked for first)."""
+    return chunks.groupBy(key).agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY chunk)").alias("text"))
+
+
 def first_contents(turns: DataFrame, key: str = "conv_id", order_col: str = "turn", role_col: str = "role",
                    text_col: str = "text", defaults: dict[str, str] | None = None) -> DataFrame:
     """F5 over turn rows: the first content of each role, with defaults."""

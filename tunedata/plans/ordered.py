@@ -188,6 +188,33 @@ def position_by_rows(df: DataFrame, group_cols: list[str], order_cols: list[str]
     return out.select(*df.columns, (F.col("_no") - F.col("_start")).cast("long").alias(out_col))
 
 
+def sums_by_rows(df: DataFrame, group_cols: list[str], order_cols: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums over the earlier rows of a group, by a total order (nulls first): ``sums`` names a non-negative long per result column
+    (null counts as 0).  Null keys are a group.
+
+    The sum before a row is that of its run (a window of at most 2^RUN_BITS rows), of the earlier runs of its task and of the earlier
+    tasks (one broadcast row per task); a group starts at the least of its sums, a pre-aggregated minimum.
+    """
+    names = {c: f"_s{i}" for i, c in enumerate(sums)}
+    part, run = F.shiftright("_at", 33), F.shiftright("_at", RUN_BITS)
+    rows = in_order(df.withColumns({names[c]: F.coalesce(v, F.lit(0)).cast("long") for c, v in sums.items()}), [*group_cols, *order_cols])
+    rows = rows.withColumns({"_run": run, "_part": part})
+
+    def before(c: str, w) -> Column:
+        return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = list(names.values())
+    runs = rows.groupBy("_part", "_run").agg(*[F.sum(c).alias(c) for c in own])
+    tasks = runs.groupBy("_part").agg(*[F.sum(c).alias(c) for c in own])
+    tasks = tasks.select("_part", *[before(c, Window.orderBy("_part")).alias(f"_t{c}") for c in own])
+    runs = runs.join(F.broadcast(tasks), "_part")
+    runs = runs.select("_run", *[(F.col(f"_t{c}") + before(c, Window.partitionBy("_part").orderBy("_run"))).alias(f"_r{c}") for c in own])
+    inside = rows.withColumns({f"_i{c}": before(c, Window.partitionBy("_run").orderBy("_at")) for c in own}).join(runs, "_run")
+    summed = inside.withColumns({f"_n{c}": F.col(f"_i{c}") + F.col(f"_r{c}") for c in own})
+    first = summed.groupBy(*[F.col(g).alias(f"_s_{g}") for g in group_cols]).agg(*[F.min(f"_n{c}").alias(f"_g{c}") for c in own])
+    out = summed.join(first, _same(group_cols, "_s_"))
+    return out.select(*df.columns, *[(F.col(f"_n{names[c]}") - F.col(f"_g{names[c]}")).alias(c) for c in sums])
+
+
 def rank_by_counting(df: DataFrame, group_cols: list[str], levels: list[list[str]], order_cols: list[str], out_col: str) -> DataFrame:
     """1-based rank of a row in its group by ``order_cols`` (ascending, nulls first), from counts.
 

@@ -160,6 +160,33 @@ def q_render_chat(spark, d):
     return H.render_turns(X.table(spark, d, "conversations"))
 
 
+_LEAD = f"{_IM} || 'system' || {_NL} || '{H.TEMPLATE_DEFAULT_SYSTEM}' || {_IE} || {_NL}"
+_PLACED_SQL = f"""
+t AS (SELECT conv_id, turn, role, text, {_IM} || role || {_NL} || coalesce(text, '') || {_IE} || {_NL} AS piece,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations),
+p AS (SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                     AS BIGINT) AS start FROM t)"""
+
+
+@query("render_chat_chunks", sql=f"""
+WITH {_PLACED_SQL}
+SELECT conv_id, start // 1024 AS chunk, min(pos) AS first_turn, count(*) AS n_turns, min(start) AS start,
+       coalesce(string_agg(CASE WHEN pos = 0 AND coalesce(role, '') <> 'system' THEN {_LEAD} || coalesce(piece, '') ELSE piece END, '' ORDER BY pos), '') AS text
+FROM p GROUP BY conv_id, start // 1024""")
+def q_render_chat_chunks(spark, d):
+    """F3 in chunks of about a thousand characters, cut between turns."""
+    return H.render_chunks(X.table(spark, d, "conversations"), chunk_chars=1024)
+
+
+@query("conversation_message_chunks", sql=f"""
+WITH {_PLACED_SQL}
+SELECT conv_id, pos // 2 AS chunk, pos % 2 AS place, role, text AS content FROM t""")
+def q_message_chunks(spark, d):
+    """F11 in chunks of two messages."""
+    chunks = H.message_chunks(X.table(spark, d, "conversations"), chunk_turns=2)
+    return chunks.select("conv_id", "chunk", F.posexplode("messages").alias("place", "m")).select("conv_id", "chunk", "place", "m.role", "m.content")
+
+
 @query("role_extract", sql="""
 SELECT c.conv_id,
        coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), 'You are a helpful assistant.') AS system,
