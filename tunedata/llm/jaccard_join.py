@@ -43,7 +43,8 @@ ROWS, HELD = 256, 1 << 20
 #: index entries at the boundary are counted for set sizes up to this
 MAX_SMALL = 64
 ENTRY = np.dtype([("k", "<u4"), ("c", "<i8"), ("n", "<u4"), ("p", "<u4")])
-BITS = 24
+#: bitmap of wanted rows: bits for each of them, and its size as a power of two at least and at most (16 MB)
+BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 16, 27
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -260,8 +261,13 @@ def _labelled(index: DataFrame, roots: DataFrame | None) -> DataFrame:
     return staged(out.join(open_keys, "key", "left_semi"), "join-index")
 
 
+def bitmap_bits(wanted: int) -> int:
+    """Size of the bitmap for so many wanted rows (power of two)."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_PER_ROW * wanted).bit_length()))
+
+
 def _fetch(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    mask = (1 << BITS) - 1
+    mask = 64 * len(wanted) - 1
     for part, bounds, h in _sets(batches, k):
         cls, row = _classes(bounds, h), part.column(0).to_numpy()
         slot = (cls ^ row) & mask
@@ -271,22 +277,25 @@ def _fetch(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Ite
                                              ["cls", "row", "shingles"])
 
 
-def fetch_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
+def fetch_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame, unique: bool) -> DataFrame:
     """(cls, shingles) of the wanted (cls, rep): one more pass over the texts instead of a shuffle of them.
 
-    A bitmap of 2^24 bits (fixed size) of the wanted rows goes to the tasks; rows that
-    pass it by chance leave in the join.
+    A bitmap of the wanted rows goes to the tasks; rows that pass it by chance (1 in 16) leave in the
+    join.  Its size follows the number of wanted rows up to ``MOST_BITS``; with many more rows than that
+    it lets most through, and the join alone decides.  ``unique``: no wanted row is there twice.  Copies need not
+    be dropped then, and the join by class that follows reads its shuffle directly, so that a hot class may be split.
     """
-    wanted = wanted.select("cls", F.xxhash64("rep").alias("row"))
-    slot = F.col("cls").bitwiseXOR(F.col("row")).bitwiseAND((1 << BITS) - 1)
+    wanted = staged(wanted.select("cls", F.xxhash64("rep").alias("row")), "join-wanted")
+    bits = bitmap_bits(wanted.count())
+    slot = F.col("cls").bitwiseXOR(F.col("row")).bitwiseAND((1 << bits) - 1)
     words = (wanted.select(slot.alias("s")).groupBy(F.expr("shiftright(s, 6)").alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).collect())      # at most 2^18 rows
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-    for w, bits in words:
-        bitmap[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow())      # at most 2^21 rows
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     rows = docs.select(F.xxhash64(id_col).alias("row"), F.col(text_col).alias("_text"))
     found = rows.mapInArrow(lambda it: _fetch(it, k, bitmap), "cls long, row long, shingles binary")
-    return found.join(wanted, ["cls", "row"], "left_semi").dropDuplicates(["cls"]).select("cls", "shingles")
+    found = found.join(wanted, ["cls", "row"], "left_semi")
+    return (found if unique else found.dropDuplicates(["cls"])).select("cls", "shingles")
 
 
 @F.pandas_udf(T.LongType())
@@ -317,8 +326,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     parts = fan_out(spark)
     sets = staged(set_table(docs, id_col, text_col, k), "join-sets")
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("_id").alias("rep"), F.max("n").alias("n"))
-    classes = staged(classes.where(F.col("rep").isNotNull()), "join-classes")
+    named = sets.where("n > 0 and _id is not null").groupBy("cls", "_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    first = F.min(F.struct("_id", "rows"))
+    classes = named.groupBy("cls").agg(first.alias("_r"), F.max("n").alias("n"))
+    classes = staged(classes.select("cls", F.col("_r._id").alias("rep"), "n", F.col("_r.rows").alias("rows")), "join-classes")
+    unique = classes.where("rows > 1").isEmpty()
 
     counts = staged(shingle_counts(docs, text_col, k, parts), "join-counts")
     names, df = frequent(counts, max_frequent)
@@ -344,13 +356,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "join-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         wanted = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct().join(classes, "cls")
-        found = staged(verified(pairs, fetch_sets(docs, id_col, text_col, k, wanted), pct), "join-links")
+        found = staged(verified(pairs, fetch_sets(docs, id_col, text_col, k, wanted, unique), pct), "join-links")
         if not found.isEmpty() or roots is None:
             # the components so far stand for their links
             roots = components(found if roots is None else roots.unionByName(found))
     labels = classes.join(roots.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "rep", F.coalesce("v", "cls").alias("comp"))
-    least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    answer = staged(labels.join(least, "comp").select(F.col("cls").alias("_cls"), "component_id"), "join-components")
+    # a class alone in its component needs no join; the others meet a stored table of one row per component
+    least = labels.groupBy("comp").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("comp", "least")
+    least = staged(least, "join-least")
+    answer = labels.join(least, "comp", "left").select(F.col("cls").alias("_cls"), F.coalesce("least", "rep").alias("component_id"))
+    answer = staged(answer, "join-components")
     out = sets.join(answer, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
