@@ -44,7 +44,7 @@ ROWS, HELD = 256, 1 << 20
 MAX_SMALL = 64
 ENTRY = np.dtype([("k", "<u4"), ("c", "<i8"), ("n", "<u4"), ("p", "<u4")])
 #: bitmap of wanted rows: bits for each of them, and its size as a power of two at least and at most (16 MB)
-BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 16, 27
+BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 24, 27
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -277,13 +277,13 @@ def _fetch(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Ite
                                              ["cls", "row", "shingles"])
 
 
-def fetch_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame, unique: bool) -> DataFrame:
+def fetch_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the wanted (cls, rep): one more pass over the texts instead of a shuffle of them.
 
-    A bitmap of the wanted rows goes to the tasks; rows that pass it by chance (1 in 16) leave in the
+    A bitmap of the wanted rows goes to the tasks; rows that pass it by chance (1 in 16 at most) leave in the
     join.  Its size follows the number of wanted rows up to ``MOST_BITS``; with many more rows than that
-    it lets most through, and the join alone decides.  ``unique``: no wanted row is there twice.  Copies need not
-    be dropped then, and the join by class that follows reads its shuffle directly, so that a hot class may be split.
+    it lets most through, and the join alone decides.  The shuffle that drops repeated rows is the one that both
+    sides of the verification read, so the texts are shingled once.
     """
     wanted = staged(wanted.select("cls", F.xxhash64("rep").alias("row")), "join-wanted")
     bits = bitmap_bits(wanted.count())
@@ -295,7 +295,7 @@ def fetch_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: Data
     rows = docs.select(F.xxhash64(id_col).alias("row"), F.col(text_col).alias("_text"))
     found = rows.mapInArrow(lambda it: _fetch(it, k, bitmap), "cls long, row long, shingles binary")
     found = found.join(wanted, ["cls", "row"], "left_semi")
-    return (found if unique else found.dropDuplicates(["cls"])).select("cls", "shingles")
+    return found.dropDuplicates(["cls"]).select("cls", "shingles")
 
 
 @F.pandas_udf(T.LongType())
@@ -326,11 +326,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     parts = fan_out(spark)
     sets = staged(set_table(docs, id_col, text_col, k), "join-sets")
-    named = sets.where("n > 0 and _id is not null").groupBy("cls", "_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    first = F.min(F.struct("_id", "rows"))
-    classes = named.groupBy("cls").agg(first.alias("_r"), F.max("n").alias("n"))
-    classes = staged(classes.select("cls", F.col("_r._id").alias("rep"), "n", F.col("_r.rows").alias("rows")), "join-classes")
-    unique = classes.where("rows > 1").isEmpty()
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min("_id").alias("rep"), F.max("n").alias("n"))
+    classes = staged(classes.where(F.col("rep").isNotNull()), "join-classes")
 
     counts = staged(shingle_counts(docs, text_col, k, parts), "join-counts")
     names, df = frequent(counts, max_frequent)
@@ -356,7 +353,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "join-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         wanted = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct().join(classes, "cls")
-        found = staged(verified(pairs, fetch_sets(docs, id_col, text_col, k, wanted, unique), pct), "join-links")
+        found = staged(verified(pairs, fetch_sets(docs, id_col, text_col, k, wanted), pct), "join-links")
         if not found.isEmpty() or roots is None:
             # the components so far stand for their links
             roots = components(found if roots is None else roots.unionByName(found))
