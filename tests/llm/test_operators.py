@@ -162,6 +162,24 @@ def test_long_segments_are_linear(spark):
     assert [got[i].count("*") for i in range(4)] == [1, 2, 1, 2]
 
 
+def test_urls_deep_paths_against_sql(spark):
+    """Merges and shares at every depth: the query's SQL walks the same tree."""
+    import duckdb
+    import pandas as pd
+
+    from tunedata.llm.oracles import ORACLE
+    rng, rows = random.Random(5), []
+    for i in range(1500):
+        path = [rng.choice(["de", "fr", "de", "p", "q"])] + [rng.choice("uvwx") for _ in range(rng.randrange(5))]
+        rows.append((i, f"http://{rng.choice(['a.com', 'b.com', 'x.example.org', 'c.net'])}/" + "/".join(path)))
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url"]))
+    want = {r[:1] + r[4:] for r in con.execute(ORACLE["op3_url_filter"]).fetchall()}
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {(r.page_id, r.verdict, r.template) for r in got} == want
+    assert max(r.template.count("+") for r in got) >= 3
+
+
 # ---- 4 and 5 tokens
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aA1é'sß \n\t\u00a0\u3000中.<|>endoftext🙂")), max_size=60))
@@ -388,6 +406,10 @@ def test_mixing_many_sources(spark):
 
 
 # ---- 8 Jaccard join
+def test_bitmap_follows_the_wanted_rows():
+    assert [jaccard_join.bitmap_bits(n) for n in (0, 10 ** 5, 1 << 20, 1 << 21, 10 ** 12)] == [24, 24, 25, 26, 27]
+
+
 def word_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}

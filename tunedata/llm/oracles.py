@@ -97,16 +97,16 @@ s AS (SELECT h.page_id, host, path, rule, verdict, (verdict = 'block')::INT AS l
       FROM h LEFT JOIN v ON h.page_id = v.page_id),
 l AS (SELECT page_id, host, path, rule, verdict, label, CASE WHEN len(s0) > 6 THEN list_concat(s0[1:6], ['**']) ELSE s0 END AS t0 FROM s),
 __DEPTHS__
-t AS (SELECT host, t6 AS template, coalesce(sum(label), 0) AS bad, count(label) AS n FROM l6 GROUP BY ALL),
-f AS (SELECT *, CASE WHEN len(template) > 0 THEN list_concat(['+'], template[2:]) ELSE template END AS family FROM t),
-g AS (SELECT *, sum(bad) OVER w AS fb, sum(n) OVER w AS fl FROM f WINDOW w AS (PARTITION BY host, family)),
-m AS (SELECT *, CASE WHEN n > 0 AND fl > n THEN abs(bad / n - (fb - bad) / (fl - n)) <= 1.96 * sqrt(fb / fl * (1 - fb / fl) * (1 / n + 1 / (fl - n))) ELSE false END AS merged FROM g),
-q AS (SELECT *, CASE WHEN merged THEN sum(bad) OVER w ELSE bad END AS gb, CASE WHEN merged THEN sum(n) OVER w ELSE n END AS gl
-      FROM m WINDOW w AS (PARTITION BY host, family, merged)),
-tot AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END AS base FROM t),
-ho AS (SELECT host, (sum(bad) + 10 * any_value(base)) / (sum(n) + 10) AS hs FROM t, tot GROUP BY host),
-j AS (SELECT q.host, template, '/' || array_to_string(CASE WHEN merged THEN family ELSE template END, '/') AS name, (gb + 10 * hs) / (gl + 10) AS share
-      FROM q JOIN ho ON q.host = ho.host)
+m8 AS (SELECT host, t6 AS template, t6 AS branch, t6 AS name, coalesce(sum(label), 0) AS bad, count(label) AS n FROM l6 GROUP BY ALL),
+__MERGES__
+tot AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END AS base FROM m8),
+ho AS (SELECT host, (sum(bad) + 10 * any_value(base)) / (sum(n) + 10) AS hs FROM m8, tot GROUP BY host),
+gr AS (SELECT *, CASE WHEN list_contains(branch, '+') THEN list_position(branch, '+') - 1 ELSE greatest(len(branch) - 1, 0) END AS q
+      FROM (SELECT host, branch, sum(bad) AS bad, sum(n) AS n FROM m1 GROUP BY ALL)),
+s0 AS (SELECT gr.*, hs AS share FROM gr JOIN ho ON gr.host = ho.host),
+__SHARES__
+j AS (SELECT m1.host, template, '/' || array_to_string(name, '/') AS name, (s6.bad + 10 * share) / (s6.n + 10) AS share
+      FROM m1 JOIN s6 ON m1.host = s6.host AND m1.branch = s6.branch)
 SELECT page_id, l6.host, path, rule, coalesce(verdict, CASE WHEN share >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, j.name AS template
 FROM l6 JOIN j ON l6.host = j.host AND l6.t6 = j.template
 """
@@ -114,6 +114,24 @@ _DEPTH = """
 c{d} AS (SELECT host, t{e}[1:{e}] AS node FROM l{e} WHERE len(t{e}) >= {d} GROUP BY ALL HAVING count(DISTINCT t{e}[{d}]) > 50),
 l{d} AS (SELECT l{e}.*, CASE WHEN c{d}.host IS NOT NULL AND len(t{e}) >= {d} THEN list_concat(t{e}[1:{e}], ['*'], t{e}[{d}+1:]) ELSE t{e} END AS t{d}
   FROM {src} l{e} LEFT JOIN c{d} ON l{e}.host = c{d}.host AND l{e}.t{e}[1:{e}] = c{d}.node),"""
-ORACLE["op3_url_filter"] = (ORACLE["op3_url_filter"].replace("__UP__", UP).replace("__LOW__", LOW).replace("__VALUE__", url_filter.VALUE)
+#: step 4 at depth {d}: families of the branches of depth {d} or more; m1 is the last one
+_MERGE = """
+f{d} AS (SELECT *, sum(bad) OVER w AS fb, sum(n) OVER w AS fl FROM (
+        SELECT host, branch, list_concat(branch[1:{e}], ['+'], branch[{d}+1:]) AS family, sum(bad) AS bad, sum(n) AS n FROM m{u} WHERE len(branch) >= {d} GROUP BY ALL)
+      WINDOW w AS (PARTITION BY host, family)),
+g{d} AS (SELECT *, CASE WHEN n > 0 AND fl > n THEN abs(bad / n - (fb - bad) / (fl - n)) <= 1.96 * sqrt(fb / fl * (1 - fb / fl) * (1 / n + 1 / (fl - n))) ELSE false END AS alike FROM f{d}),
+k{d} AS (SELECT * FROM g{d} QUALIFY (alike OR n = 0) AND bool_or(alike) OVER (PARTITION BY host, family)),
+m{d} AS (SELECT x.host, template, coalesce(k.family, x.branch) AS branch, CASE WHEN k.alike THEN list_concat(name[1:{e}], ['+'], name[{d}+1:]) ELSE name END AS name, x.bad, x.n
+      FROM m{u} x LEFT JOIN k{d} k ON x.host = k.host AND x.branch = k.branch),"""
+#: step 5: share of the node at depth {d}, without the labels of the next node on the path (of the group itself at its last node)
+_SHARE = """
+n{d} AS (SELECT host, template[1:{d}] AS node, sum(bad) AS b, sum(n) AS c FROM m1 WHERE len(template) >= {d} GROUP BY ALL),
+s{d} AS (SELECT x.host, x.branch, x.bad, x.n, x.q, CASE WHEN x.q >= {d} THEN
+        (a.b - CASE WHEN x.q = {d} THEN x.bad ELSE z.b END + 10 * x.share) / (a.c - CASE WHEN x.q = {d} THEN x.n ELSE z.c END + 10) ELSE x.share END AS share
+      FROM s{e} x LEFT JOIN n{d} a ON x.host = a.host AND x.q >= {d} AND x.branch[1:{d}] = a.node
+        LEFT JOIN (SELECT host, template[1:{u}] AS node, sum(bad) AS b, sum(n) AS c FROM m1 WHERE len(template) >= {u} GROUP BY ALL) z
+          ON x.host = z.host AND x.q >= {u} AND x.branch[1:{u}] = z.node),"""
+ORACLE["op3_url_filter"] = (ORACLE["op3_url_filter"].replace("__MERGES__", "".join(_MERGE.format(d=d, e=d - 1, u=d + 1) for d in range(7, 0, -1)))
+                            .replace("__SHARES__", "".join(_SHARE.format(d=d, e=d - 1, u=d + 1) for d in range(1, 7))).replace("__UP__", UP).replace("__LOW__", LOW).replace("__VALUE__", url_filter.VALUE)
                             .replace("__RULES__", ", ".join(str(r) for r in url_filter.RULES))
                             .replace("__DEPTHS__", "".join(_DEPTH.format(d=d, e=d - 1, src="l" if d == 1 else f"l{d - 1}") for d in range(1, 7)).replace("l0.*", "l0.*").replace("FROM l0 WHERE", "FROM l WHERE")))
