@@ -75,6 +75,37 @@ def test_history_pretty_json_per_run(spark, tmp_dir):
     assert sorted((r.run_id, r.step) for r in df.collect()) == [("r1", 1), ("r1", 2), ("r2", 1)]
 
 
+def test_packed_history_gives_the_rows_of_the_files(spark, tmp_dir):
+    rows = [(f"run{i % 700}", i, i / 8 if i % 3 else None) for i in range(4000)]
+    rows += [("run5", 10000 + i, 0.5) for i in range(2500)] + [("a/b +%é", 1, 1.0), (None, 2, 2.0), (None, 3, None)]
+    df = spark.createDataFrame(rows, "run_id string, step long, loss double")
+    many, few, body = os.path.join(tmp_dir, "many"), os.path.join(tmp_dir, "few"), df.drop("run_id").schema
+    S.write_json_arrays(df, few, group_col="run_id", order_cols=["step"], num_partitions=4, pack=100)
+    assert len([f for _, _, fs in os.walk(few) for f in fs if f.endswith(".parquet")]) <= 4           # not one for each run
+    docs = spark.read.parquet(few)
+    assert docs.select("path").distinct().count() == docs.count()
+    assert docs.select(F.max(F.size(F.from_json("content", "array<string>")))).first()[0] == 100      # a long run is many documents
+    got = S.load_history(spark, few, body, r"run_id=([^/]+)/", packed=True).select(*df.columns).collect()
+    named = sorted(((r or S.NULL_GROUP, s, x) for r, s, x in rows), key=str)
+    assert sorted(map(tuple, got), key=str) == named
+    S.write_json_arrays(df.where("run_id like 'run%' or run_id is null"), many, group_col="run_id", order_cols=["step"], num_partitions=4)
+    files = S.load_history(spark, many, body, r"run_id=([^/]+)/").select(*df.columns).collect()
+    assert sorted(map(tuple, files), key=str) == [r for r in named if r[0][0] != "a"]
+
+
+def test_packed_history_empty_and_malformed_documents(spark, tmp_dir):
+    texts = ["[]", '[{"step": 1, "loss": 2.5}, {"step": 2}]', '{"step": 3}', '[{"step": 4']
+    for i, t in enumerate(texts):
+        os.makedirs(os.path.join(tmp_dir, "files", f"r{i}"))
+        _write(os.path.join(tmp_dir, "files", f"r{i}", "h.json"), t)
+    few = os.path.join(tmp_dir, "few")
+    spark.createDataFrame([(f"r{i}/h.json", t) for i, t in enumerate(texts)], "path string, content string").write.parquet(few)
+    schema, pattern = "step long, loss double", r"(r[0-9])/h\.json$"
+    want = S.load_history(spark, os.path.join(tmp_dir, "files", "*"), schema, pattern).collect()
+    got = S.load_history(spark, few, schema, pattern, packed=True).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) == 4
+
+
 def test_content_and_file_hash(spark, tmp_dir):
     import hashlib
     p = _write(os.path.join(tmp_dir, "h.txt"), "héllo")

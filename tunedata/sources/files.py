@@ -8,11 +8,13 @@ or written through the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from tunedata.functions.text import ustrip
 
@@ -22,6 +24,8 @@ FORMATS = ("json", "jsonl", "csv", "parquet")
 PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 CORRUPT = "_corrupt_record"
+# the group of rows without one in the path of a document (the name Hive and Spark give such a folder)
+NULL_GROUP = "__HIVE_DEFAULT_PARTITION__"
 # JSON keeps full microsecond timestamps (Spark's default text format stops at milliseconds)
 JSON_TIME_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                      "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -186,12 +190,39 @@ def _frame_arrays(group_col: str | None):
     return frame
 
 
+def _pack_arrays(group_col: str, rows: int):
+    """mapInPandas body: each run of equal groups as JSON array documents of at most ``rows`` elements, named ``<group_col>=<group>/part-<n>.json``."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seq = TaskContext.get().partitionId(), 0
+        current, held = None, []
+
+        def document() -> tuple[str, str]:
+            name = NULL_GROUP if current is None else quote(current, safe="")
+            return f"{group_col}={name}/part-{part:05d}-{seq:09d}.json", "[" + ",".join(held) + "]"
+        for pdf in batches:
+            out = []
+            for g, j in zip(pdf["_g"].tolist(), pdf["_j"].tolist()):
+                if held and (g != current or len(held) == rows):
+                    out.append(document())
+                    seq, held = seq + 1, []
+                current = g
+                held.append(j)
+            yield pd.DataFrame(out, columns=["path", "content"])
+        if held:
+            yield pd.DataFrame([document()], columns=["path", "content"])
+    return pack
+
+
 def write_json_arrays(df: DataFrame, path: str, group_col: str | None = None, order_cols: list[str] | None = None,
-                      num_partitions: int | None = None, mode: str = "error") -> None:
+                      num_partitions: int | None = None, mode: str = "error", pack: int | None = None) -> None:
     """Write JSON array documents (one per task and group) -- the format S1 / S15 read.
 
     Rows are range-partitioned on (group, order) so a big group spans several
     tasks (and files) instead of one; each task frames its rows with mapInPandas.
+
+    With many small groups a file each costs more than its rows (create, commit, list, open).  ``pack`` keeps the documents and their paths
+    (``<group_col>=<group>/part-<n>.json``, the group percent-encoded) but stores them as rows ``path``, ``content`` of parquet files, so
+    that the number of files follows the tasks; a document holds at most ``pack`` elements, so a big group is many rows.
     """
     order_cols = order_cols or []
     cols = [c for c in df.columns if c != group_col]
@@ -201,6 +232,12 @@ def write_json_arrays(df: DataFrame, path: str, group_col: str | None = None, or
     if keys:
         n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         j = j.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    if pack:
+        if not group_col:
+            raise ValueError("only documents of groups are packed")
+        docs = j.select(F.col(group_col).cast("string").alias("_g"), "_j").mapInPandas(_pack_arrays(group_col, pack), "path string, content string")
+        docs.write.mode(mode).parquet(path)
+        return
     gtype = dict(df.dtypes)[group_col] if group_col else "string"
     framed = j.select(*gcol, "_j").mapInPandas(_frame_arrays(group_col), f"_g {gtype}, _seq long, value string")
     framed = framed.sortWithinPartitions("_g", "_seq")
@@ -275,9 +312,19 @@ def parse_train_log(lines: DataFrame, value_col: str = "value") -> DataFrame:
         F.regexp_extract(v, TRAIN_LOG_PATTERN, 3).cast("double").alias("loss"))
 
 
-def load_history(spark: SparkSession, path: str, schema: StructType, run_pattern: str | None = None,
-                 multi_line: bool = True) -> DataFrame:
-    """Metric-history JSON arrays of many runs; the run id comes from the file path."""
+def load_history(spark: SparkSession, path: str, schema: StructType | str, run_pattern: str | None = None,
+                 multi_line: bool = True, packed: bool = False) -> DataFrame:
+    """Metric-history JSON arrays of many runs; the run id comes from the file path.
+
+    ``packed`` reads documents stored by ``write_json_arrays(pack=...)``: rows ``path``, ``content`` instead of a file each, with
+    the same rows for a document (none for an empty array, one of nulls for a malformed one).
+    """
+    if packed:
+        element = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        docs = spark.read.schema("path string, content string").parquet(path)
+        parsed = F.coalesce(F.from_json("content", ArrayType(element), JSON_TIME_OPTIONS), F.array(F.lit(None).cast(element)))
+        run = [F.url_decode(F.regexp_extract("path", run_pattern, 1)).alias("run_id")] if run_pattern else []
+        return docs.select(F.inline(parsed), *run)
     r = spark.read.options(**JSON_TIME_OPTIONS).schema(schema).option("multiLine", multi_line)
     df = r.json(path)
     if run_pattern:
