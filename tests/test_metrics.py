@@ -1,14 +1,16 @@
 """Metrics: the reference's literal cases, brute-force checks of LCS and overlaps, F-score bounds."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from tunedata.functions.pairstats import bigrams, lcs_length, overlap
+from tunedata.functions.pairstats import _lcs_udf, bigrams, lcs_length, overlap
 from tunedata.operators import metrics as M
 
 PAIR = "id long, model_id string, reference string, prediction string"
@@ -28,6 +30,32 @@ def test_lcs_equals_dp(a, b):
     assert lcs_length(a, b) == _dp_lcs(a, b) == lcs_length(b, a) <= min(len(a), len(b))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=70), st.lists(st.sampled_from("abcde"), max_size=70), st.integers(1, 40))
+def test_lcs_in_blocks_equals_dp(a, b, block):
+    assert lcs_length(a, b, block) == _dp_lcs(a, b)
+
+
+def _traced_peak(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lcs_of_long_texts_needs_memory_in_proportion():
+    peak = [_traced_peak(lambda: lcs_length([str(i) for i in range(n)], ["0", str(n - 1)]))[1] for n in (20000, 40000)]
+    assert peak[1] < 2.5 * peak[0]                   # one bit vector for each word of the whole text: four times as much
+
+
+def test_lcs_batch_is_not_held_as_python_objects(spark):
+    words = [str(i) for i in range(1000)]
+    a, udf = pa.array([words] * 2000), _lcs_udf()
+    got, peak = _traced_peak(lambda: udf.func(a, a))
+    assert got.to_pylist() == [1000] * 2000 and peak < 40e6         # 4 million tokens are over 200 MB of strings
+
+
 def _scores(spark, pred, ref):
     df = spark.createDataFrame([(1, "m", ref, pred)], PAIR)
     return M.pair_scores(df, ["id", "model_id"]).first()

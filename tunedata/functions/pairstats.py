@@ -1,16 +1,17 @@
-"""Token-pair statistics: clipped multiset overlaps on the JVM, LCS lengths in one Arrow-batched pandas UDF.
+"""Token-pair statistics: clipped multiset overlaps on the JVM, LCS lengths in one Arrow UDF.
 
 * Overlap: sum over tokens of min(count in a, count in b).  Equal tokens of a side are numbered (sorted array, starts of
   runs), which makes a multiset a set of (token, occurrence); the built-in ``array_intersect`` hashes both sides.  Linear but
   for the sort, inside the row, no shuffle.
 * LCS has no built-in; a nested higher-order function would be quadratic and interpreted.  Spark ships the token arrays in Arrow
   batches, and a small helper runs the bit-parallel algorithm of Allison-Dix / Hyyro over Python integers used as bit
-  vectors, O(m*n/64) instead of the O(m*n) table.
+  vectors, O(m*n/64) instead of the O(m*n) table.  A token takes several times its Arrow bytes as a Python string, so a batch
+  becomes Python objects a few rows at a time, and the bit vectors of a long text are made for one block of it at a time.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,33 +51,55 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 # ------------------------------------------------------------------------ LCS
-def lcs_length(a, b) -> int:
-    """LCS length of two token sequences."""
-    if a is None or b is None:
-        return 0
-    m = len(a)
-    if m == 0 or len(b) == 0:
+#: tokens of a text whose bit vectors are in memory together, and rows of a batch that are Python objects together
+BLOCK, ROWS = 8192, 64
+
+
+def lcs_length(a, b, block: int = BLOCK) -> int:
+    """LCS length of two token sequences.
+
+    The bit vector over ``a`` is cut into blocks: a block runs through all of ``b`` and leaves the carry of each step to the next one,
+    as in an addition of many words.
+    """
+    if a is None or b is None or len(b) == 0:
         return 0
-    positions: dict = {}
-    for i, tok in enumerate(a):
-        positions[tok] = positions.get(tok, 0) | (1 << i)
-    full = (1 << m) - 1
-    v = full
-    for tok in b:
-        match = positions.get(tok)
-        if match:
-            u = v & match
-            v = ((v + u) | (v - u)) & full
-    return m - bin(v).count("1")
+    found, carry = 0, bytearray(len(b) if len(a) > block else 0)
+    for start in range(0, len(a), block):
+        part = a[start:start + block]
+        m = len(part)
+        positions: dict = {}
+        for i, tok in enumerate(part):
+            positions[tok] = positions.get(tok, 0) | (1 << i)
+        v = full = (1 << m) - 1
+        if carry:
+            for k, tok in enumerate(b):
+                match = positions.get(tok)
+                if match or carry[k]:
+                    u = v & match if match else 0
+                    total = v + u + carry[k]
+                    carry[k] = total >> m
+                    v = (total | (v - u)) & full
+        else:
+            for tok in b:
+                match = positions.get(tok)
+                if match:
+                    u = v & match
+                    v = ((v + u) | (v - u)) & full
+        found += m - v.bit_count()
+    return found
 
 
 _UDFS: dict = {}
 
 
 def _lcs_udf():
-    @F.pandas_udf(T.IntegerType())
-    def lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+    @F.arrow_udf(T.IntegerType())
+    def lcs_lengths(a: pa.Array, b: pa.Array) -> pa.Array:
+        out: list[int] = []
+        for i in range(0, len(a), ROWS):
+            some = (x.slice(i, ROWS).to_numpy(zero_copy_only=False) for x in (a, b))
+            out += [lcs_length(x, y) for x, y in zip(*some)]
+        return pa.array(out, pa.int32())
     return lcs_lengths
 
 
