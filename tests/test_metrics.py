@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from tunedata.functions.pairstats import _lcs_udf, bigrams, lcs_length, overlap
+from tunedata.functions.pairstats import _lcs_udf, bigrams, lcs_length, overlap, replaced
 from tunedata.operators import metrics as M
 
 PAIR = "id long, model_id string, reference string, prediction string"
@@ -140,3 +140,47 @@ def test_stemmed_rouge_with_a_stems_table(spark):
     # tokens of length <= 3 are never stemmed ("cat", "was", "a"); "cats"->"cat", "running"/"runs"->"run"
     ref, pred = ["the", "cat", "were", "run"], ["a", "cat", "was", "run"]
     assert plain == 0.0 and abs(stemmed - _py_rouge_n(pred, ref, 1)) < 1e-12 and stemmed == 0.5
+
+
+def test_replaced_tokens_equal_a_dict(spark):
+    rnd = random.Random(5)
+    words = ["a", "ab", "é", "zz", "b", "Ab"]
+    rows = [(i, [rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 30]))],
+             {w: rnd.choice(["x", "a", ""]) for w in rnd.sample(words, rnd.randint(0, 6))}) for i in range(200)]
+    rows.append((200, [f"w{i % 30000}" for i in range(60000)], {f"w{i}": f"s{i}" for i in range(30000)}))  # a map would be searched 30,000 x 60,000 times
+    df = spark.createDataFrame([(i, t, [(k, -1, v) for k, v in d.items()]) for i, t, d in rows],
+                               "id int, t array<string>, e array<struct<t:string,i:int,s:string>>")
+    got = {r.id: r.o for r in df.select("id", replaced(F.col("t"), F.col("e")).alias("o")).collect()}
+    assert all(got[i] == [d.get(x, x) for x in t] for i, t, d in rows)
+
+
+def _exchanged(df):
+    """Columns of each exchange by keys in the plan, with their types."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, nodes = [], [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            found.append([(node.output().apply(i).name(), node.output().apply(i).dataType().simpleString()) for i in range(node.output().size())])
+    return found
+
+
+def test_stemming_moves_texts_and_changed_words_only(spark):
+    rows = [(i, "m", "walking dogs barked at cats " * 3, "dogs walked and barking cat") for i in range(50)]
+    df = spark.createDataFrame(rows, PAIR)
+    table = [("walking", "walk"), ("walked", "walk"), ("dogs", "dog"), ("barked", "bark"), ("barking", "bark"), ("cats", "cat"), ("and", "no")]
+    scored = M.pair_scores(df, ["id", "model_id"], ["rouge1", "rouge2"], stems=spark.createDataFrame(table, "token string, stem string"))
+    moved = _exchanged(scored)
+    assert moved and not [c for cols in moved for c in cols if c[1] == "array<string>" or c[0] == "_pos"]
+    ref, pred = ["walk", "dog", "bark", "at", "cat"] * 3, ["dog", "walk", "and", "bark", "cat"]
+    want = tuple(_py_rouge_n(pred, ref, n) for n in (1, 2))
+    assert {(round(r.rouge1 - want[0], 12), round(r.rouge2 - want[1], 12)) for r in scored.collect()} == {(0.0, 0.0)}
+
+
+def test_rows_that_share_keys_share_stemmed_tokens(spark):
+    df = spark.createDataFrame([(1, "m", "cats sing", "cats"), (1, "m", "dogs", "dogs walk"), (2, "m", "cats", "cat")], PAIR)
+    stems = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, stem string")
+    got = sorted((r.id, r.rouge1, r.rouge2) for r in M.pair_scores(df, ["id", "model_id"], ["rouge1", "rouge2"], stems=stems).collect())
+    one = tuple(_py_rouge_n(["cat", "dog", "walk"], ["cat", "dog", "sing"], n) for n in (1, 2))
+    assert got == [(1, *one), (1, *one), (2, 1.0, 0.0)]

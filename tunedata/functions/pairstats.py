@@ -50,6 +50,32 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
+# --------------------------------------------------------------- replaced tokens
+def replaced(tokens: Column, entries: Column) -> Column:
+    """Tokens with those of ``entries`` (structs ``t`` token, ``i`` -1, ``s`` replacement; the greatest of a token counts) replaced, in their order.
+
+    Both sorted together, an entry stands before its tokens; a map would be searched from its start for each token.
+    """
+    first = F.array(F.struct(F.lit("").alias("t"), F.lit(-1).alias("i"), F.lit("").alias("s")))          # before all tokens
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.lit(None).cast("string").alias("s")))
+
+    def put(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.get(s, k)["i"] < 0)
+
+        def run(head: Column, a: Column, to: Column) -> Column:
+            return F.transform(F.slice(s, a + 2, to - a - 1), lambda x: F.struct(
+                x["i"].alias("i"), F.when(x["t"] == head["t"], head["s"]).otherwise(x["t"]).alias("t")))
+        runs = _let(heads, lambda h: F.flatten(F.transform(h, lambda a, j: run(F.get(s, a), a, F.coalesce(F.get(h, j + 1), F.size(s))))))
+        return F.transform(F.array_sort(runs), lambda x: x["t"])
+    return _let(F.array_sort(F.concat(first, entries, placed)), put)
+
+
+def in_position_order(lists: Column) -> Column:
+    """Token arrays as one array: all first tokens, all second ones, and so on."""
+    placed = F.flatten(F.transform(lists, lambda a: F.transform(a, lambda t, i: F.struct(i.alias("i"), t.alias("t")))))
+    return F.transform(F.array_sort(placed), lambda x: x["t"])
+
+
 # ------------------------------------------------------------------------ LCS
 #: tokens of a text whose bit vectors are in memory together, and rows of a batch that are Python objects together
 BLOCK, ROWS = 8192, 64

@@ -8,10 +8,10 @@ Python step (Arrow UDF over token arrays).  Means are ordinary aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunedata.functions.pairstats import bigrams, lcs, overlap
+from tunedata.functions.pairstats import bigrams, in_position_order, lcs, overlap, replaced
 from tunedata.functions.text import lower_tokens, round2, round4, rouge_tokens, ustrip
 
 GENERATION, CLASSIFICATION = "generation", "classification"
@@ -49,24 +49,40 @@ def _lcs_score(l: Column, n_pred: Column, n_ref: Column, reference_order: bool)
     return F.when((n_pred == 0) | (n_ref == 0), F.lit(0.0)).otherwise(f)
 
 
-def stem_tokens(df: DataFrame, keys: list[str], col: str, stems: DataFrame, min_len: int = 4) -> DataFrame:
-    """Replace tokens of the array ``col`` by their stem from a ``stems(token, stem)`` table.
+#: characters of text whose words one task of ``stem_tokens`` regroups
+TASK_CHARS = 8_000_000
+
+
+def stem_tokens(df: DataFrame, keys: list[str], texts: dict[str, str], stems: DataFrame, min_len: int = 4) -> DataFrame:
+    """``df`` with columns of rouge-score tokens (``texts``: name -> text column), each token replaced by its stem from a
+    ``stems(token, stem)`` table.
 
     The rouge-score package stems tokens longer than three characters with a
     Porter stemmer; here the stemmer is a table (any stemmer's output, computed
-    once per vocabulary).  Tokens are exploded with their position, joined to
-    the table on the token (AQE splits a very frequent token's partition), and
-    regrouped per row in position order -- each group is one row's own tokens.
+    once per vocabulary).  The different long tokens of a row are exploded and joined to
+    the table on the token (AQE splits a very frequent token's partition); only those with another stem are regrouped
+    and joined back on the keys.  The arrays are made after that join, so that it sorts texts and short lists of words, not arrays,
+    and the number of its tasks follows the texts (their length is summed while the plan is built).
+    Rows that share their keys share their tokens, in position order.
     """
-    ex = df.select(*keys, F.posexplode(col).alias("_pos", "_tok"))
-    st = stems.select(F.col("token").alias("_tok"), F.col("stem").alias("_stem"))
-    mapped = ex.join(st, "_tok", "left").select(
-        *keys, "_pos", F.when(F.length("_tok") >= min_len, F.coalesce("_stem", "_tok")).otherwise(F.col("_tok"))
-        .alias("_t"))
-    back = mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_t"))).alias("_a"))
-    out = back.select(*keys, F.transform("_a", lambda x: x["_t"]).alias("_stemmed"))
-    return (df.join(out, keys, "left")
-              .withColumn(col, F.coalesce(F.col("_stemmed"), F.array().cast("array<string>"))).drop("_stemmed"))
+    tokens = {c: rouge_tokens(t) for c, t in texts.items()}
+    chars = sum((F.coalesce(F.length(t), F.lit(0)) for t in texts.values()), F.lit(0))
+    total = df.agg(F.sum(chars.cast("long"))).first()[0] or 0
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_CHARS))
+    rows = df.withColumn("_key", F.struct(*keys))                   # never null, so that null keys match too
+    table = stems.select(F.col("token").alias("_tok"), F.col("stem").alias("_stem"))
+    words = F.array_distinct(F.filter(F.concat(*tokens.values()), lambda t: F.length(t) >= min_len))
+    entry = F.struct(F.col("_tok").alias("t"), F.lit(-1).alias("i"), F.col("_stem").alias("s"))
+    # a left join: of an inner one Spark may broadcast the words, whose number it does not know
+    changed = rows.select("_key", F.explode(words).alias("_tok")).join(table, "_tok", "left").where(F.coalesce("_stem", "_tok") != F.col("_tok"))
+    found = changed.select("_key", entry.alias("_entry")).repartition(n, "_key").groupBy("_key").agg(F.collect_set("_entry").alias("_stems"))
+    joined = rows.repartition(n, "_key").join(found, "_key", "left")
+    none = F.array().cast("array<struct<t:string,i:int,s:string>>")
+    stemmed = joined.withColumns({c: replaced(t, F.coalesce("_stems", none)) for c, t in tokens.items()})
+    shared = Window.partitionBy("_key")
+    lists = stemmed.withColumns({f"_l_{c}": F.collect_list(c).over(shared) for c in tokens})
+    return lists.select(*df.columns, *[F.when(F.size(f"_l_{c}") > 1, in_position_order(F.col(f"_l_{c}"))).otherwise(F.col(c)).alias(c)
+                                       for c in tokens])
 
 
 def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
@@ -89,12 +105,14 @@ def pair_scores(pairs: DataFrame, keys: list[str], metrics=PAIR_METRICS,
     if need_ref:
         cols += [lower_tokens(pred).alias("_pl"), lower_tokens(ref).alias("_rl")]
     if need_rs:
-        cols += [rouge_tokens(pred).alias("_pr"), rouge_tokens(ref).alias("_rr")]
+        if stems is None:
+            cols += [rouge_tokens(pred).alias("_pr"), rouge_tokens(ref).alias("_rr")]
+        else:
+            pairs = stem_tokens(pairs, keys, {"_pr": pred, "_rr": ref}, stems)
+            cols += ["_pr", "_rr"]
     if "exact_match" in metrics:
         cols.append(exact_match(pred, ref).alias("exact_match"))
     staged = pairs.select(*cols)
-    if stems is not None and need_rs:
-        staged = stem_tokens(stem_tokens(staged, keys, "_pr", stems), keys, "_rr", stems)
     stats = {"bleu1": lambda: overlap(F.col("_pl"), F.col("_rl")), "rouge_l": lambda: lcs(F.col("_pl"), F.col("_rl")),
              "rouge1": lambda: overlap(F.col("_pr"), F.col("_rr")), "rougeL": lambda: lcs(F.col("_pr"), F.col("_rr")),
              "rouge2": lambda: overlap(bigrams(F.col("_pr")), bigrams(F.col("_rr")))}
