@@ -115,6 +115,36 @@ def test_content_and_file_hash(spark, tmp_dir):
     assert df.select(S.content_hash("t").alias("h")).first().h == r.content_hash
 
 
+def test_hashes_of_long_files_in_rounds(spark, tmp_dir, monkeypatch):
+    import hashlib
+    import random
+    from tunedata.sources import large_files as LF
+    r = random.Random(8)
+    noise = r.randbytes(60000)
+    texts = {"noise.parquet": noise, "end.bin": noise[:9999] + b"\n", "mark.txt": b"\xef\xbb\xbf" + noise[:5000].replace(b"\n", b"") + b"\nx",
+             "mark_end.txt": b"\xef\xbb\xbfabc\r\n\n" * 2000, "lines.txt": b"\n" * 7000, "one line.txt": b"a\r" * 4000, "short.txt": b"h\n",
+             "x.gz": noise[:8000]}
+    for name, text in texts.items():
+        with open(os.path.join(tmp_dir, name), "wb") as f:
+            f.write(text)
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    whole = LF.large_file_hashes
+    monkeypatch.setattr(LF, "large_file_hashes", lambda *a: whole(*a, round_bytes=10000))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        # no file of over 9,000 bytes may become one value
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "9000")
+        got = S.file_hashes(spark, os.path.join(tmp_dir, "*"), whole=3000).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    names = {x.path.rsplit("/", 1)[1]: (x.length, x.content_hash) for x in got}
+    assert len(got) == len(texts) and names == {n: (len(t), hashlib.sha256(t).hexdigest()) for n, t in texts.items()}
+
+
 def test_write_once_is_idempotent(spark, tmp_dir):
     out = os.path.join(tmp_dir, "once")
     S.write_once(spark.createDataFrame([(1,)], "a int"), out)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from tunedata.functions.text import ustrip
+from tunedata.sources import large_files
 
 # Supported record formats, and the NA tokens of the pandas CSV
 # reader (its documented defaults) for the NA-aware CSV path.
@@ -253,10 +254,30 @@ def content_hash(col) -> F.Column:
     return F.sha2(F.col(col) if isinstance(col, str) else col, 256)
 
 
-def file_hashes(spark: SparkSession, path_glob: str) -> DataFrame:
-    """S6 for files: SHA-256 of the file bytes (``binaryFile`` source: one row per file, files up to 2 GB)."""
+#: files up to this length are hashed as one value each
+WHOLE_FILE = 128 * 1024 * 1024
+
+
+def file_hashes(spark: SparkSession, path_glob: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """S6 for files: SHA-256 of the file bytes.
+
+    Files up to ``whole`` bytes come from the ``binaryFile`` source, one row each; longer ones are hashed piece by piece in rounds
+    (``large_files``), so no task reads a whole one.  Without OpenSSL's library, and for files that the text reader would unpack, they
+    are one row each as well, up to the 2 GB of a value.
+    """
     b = spark.read.format("binaryFile").load(path_glob)
-    return b.select("path", "length", F.sha2(F.col("content"), 256).alias("content_hash"))
+    length, packed = F.col("_metadata.file_size"), F.col("_metadata.file_name").rlike(large_files.PACKED)
+
+    def one_row(files: DataFrame) -> DataFrame:
+        return files.select("path", "length", F.sha2(F.col("content"), 256).alias("content_hash"))
+    files = b.where((length > whole) & ~packed).select("path", "length", F.col("_metadata.file_path").alias("file"))
+    longest, count = files.agg(F.max("length"), F.count("length")).first() if large_files.resumable() else (None, 0)
+    if not count:
+        return one_row(b)
+    hashes = large_files.large_file_hashes(spark, path_glob, whole, longest, count)
+    parts = files.join(hashes, "file").select("path", "length", "content_hash")
+    # conditions on the file alone, so that the content of others is not read
+    return one_row(b.where(length <= whole)).unionByName(one_row(b.where((length > whole) & packed))).unionByName(parts)
 
 
 def combined_hash(hashes: DataFrame, col: str = "content_hash") -> DataFrame:
